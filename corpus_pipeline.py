@@ -3,18 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, langid, minhash, packing, queries, toxicity
 from tidemark.llm.common import documents, saved
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least share of a document's words that its language must have.
+LANGUAGE_FROM = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no language that has a fair share of the words, go."""
+    model = langid.fit(documents(spark, sf_dir).filter(queries.fold("doc_id", 5) != 0))
+    out = langid.identify(docs, model, keep=COLUMNS)
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_FROM)).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier toxic than the threshold go."""
+    net = queries.toxicity_network(spark, docs, sf_dir)
+    return toxicity.score(docs, net, keep=COLUMNS).filter(F.col("score") < queries.TOXIC_FROM).select(*COLUMNS)
+
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
-    return exact_dedup.keep_first(docs)
+    return exact_dedup.keep_first(docs).select(*COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by sets of five-word shingles at 0.8 or more, the smallest id stays."""
+    return minhash.keep_one(docs, words=5, percent=80).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's pieces with their places in sequences of several permitted lengths."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("toxicity", drop_toxic),
     ("exact dedup", dedup_exact),
+    ("near-dedup", dedup_near),
+    ("packing", pack),
 ]
 
 #: Language, toxicity, sketches and packing are not expressible in SQL.

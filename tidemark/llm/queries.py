@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup
+from tidemark.llm import bpe, exact_dedup, html_extract, langid, minhash, packing, topk, toxicity
 from tidemark.llm.common import documents
 
+TOXIC_FROM = 0.3
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -17,11 +19,71 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(id_col: str, folds: int) -> Column:
+    """CRC-32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def held_out(id_col: str, folds: int, at: int) -> Column:
+    return F.coalesce(fold(id_col, folds) == at, F.lit(False))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     return bpe.digest_documents(bpe.encode_documents(documents(spark, sf_dir), ranks), ranks)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = topk.search(vectors, vectors.filter(F.col("id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP3_SQL = """
+WITH t AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT * FROM t WHERE vec_id % 50 = 0), s AS (
+  SELECT q.vec_id AS query_id, t.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM q JOIN t ON q.vec_id <> t.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.group(documents(spark, sf_dir), words=2, percent=80)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("id").eqNullSafe(F.col("group")).alias("kept"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
+    out = langid.identify(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Network | None:
+    """Fitted on labelled rows outside the held-out quarter."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("_id"), "toxic")
+    seen = docs.filter(fold("doc_id", 4) != 2).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id"))
+    return toxicity.fit(seen.select("doc_id", "text", "toxic"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = toxicity.score(docs, toxicity_network(spark, docs, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,9 +98,16 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
+    "op3_topk": op3_topk,
+    "op5_minhash": op5_minhash,
+    "op6_langid": op6_langid,
+    "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk": OP3_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
