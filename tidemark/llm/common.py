@@ -69,3 +69,16 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = TOKENIZER_ROWS) ->
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a folder or file in shared storage."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def halve(cache: dict) -> None:
+    """Drop the older half of a cache's entries."""
+    for key in list(cache)[: len(cache) // 2]:
+        del cache[key]

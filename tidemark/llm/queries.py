@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_extract, langid, minhash, packing, topk, toxicity
+from tidemark.llm import bpe, exact_dedup, html_extract, langid, minhash, packing, token_store, topk, toxicity, warc
 from tidemark.llm.common import documents
 
 TOXIC_FROM = 0.3
@@ -55,6 +55,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.planned(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return warc.read(warc.merge(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM t),
+w AS (SELECT payload_digest, max(page_id) AS winner FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN d.page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id < winner THEN winner END AS refers_to
+FROM d LEFT JOIN w ON d.payload_digest = w.payload_digest AND payload_bytes >= 1000
+"""
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.group(documents(spark, sf_dir), words=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("id").eqNullSafe(F.col("group")).alias("kept"))
@@ -74,6 +89,11 @@ def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxic
     return toxicity.fit(seen.select("doc_id", "text", "toxic"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read(manifest).withColumnRenamed("key", "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = toxicity.score(docs, toxicity_network(spark, docs, sf_dir), keep=["doc_id"])
@@ -100,8 +120,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
     "op3_topk": op3_topk,
+    "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
     "op6_langid": op6_langid,
+    "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
@@ -109,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_topk": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
