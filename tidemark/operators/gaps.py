@@ -1,8 +1,10 @@
-"""Price gaps and how they fill, over bars that carry ``idx`` and ``atr``: windows and one range join."""
+"""Price gaps and how they fill, over bars that carry ``idx`` and ``atr``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,28 +32,44 @@ def detect(bars: DataFrame, least: float = LEAST_ATR, warm_up: int = WARM_UP) ->
     return kept.withColumn("related", (F.col("kind") == "fvg") & (F.min("kind").over(same) == "classic"))
 
 
-def fill_pct(by: str = "wick") -> Column:
-    """How far a later bar reaches into the zone from its near edge, in hundredths of its height, held to [0, 100]."""
-    low, high = (F.col("low"), F.col("high")) if by == "wick" else (F.least("open", "close"), F.greatest("open", "close"))
-    reach = F.when(F.col("direction") == "bullish", F.col("zone_top") - low).otherwise(high - F.col("zone_bottom"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(reach, F.col("zone_top") - F.col("zone_bottom")) * 100))
+GAP = ["ticker", "kind", "direction", "created_idx"]
 
 
-GAP = ["ticker", "kind", "direction", "created_idx"]
+FILL = "ticker string, kind string, direction string, created_idx int, zone_bottom double, zone_top double, idx int, ts date, pct double, max_pct double"
 
 
 def fills(gaps: DataFrame, bars: DataFrame, by: str = "wick") -> DataFrame:
-    """Each gap's later bars with pct and its running maximum so far.
+    """Each gap's later bars with pct and its running maximum, up to the bar that fills it.
 
-    A gap is done at 100, so its later bars are cut there: the first bar that fills it is the first whose
-    price reaches the far edge.  What remains is at most the open life of each gap.
+    A join of gaps with all later bars would be quadratic in a series' length before anything is cut, so
+    one series' gaps and bars meet in a kernel: each gap reads ahead in growing blocks until it is full, and
+    only its open life comes out.
     """
-    later = bars.select(F.col("ticker").alias("_t"), "idx", "ts", "open", "high", "low", "close", F.col("atr").alias("bar_atr"))
-    met = gaps.join(later, (F.col("ticker") == F.col("_t")) & (F.col("idx") > F.col("created_idx"))).drop("_t").withColumn("pct", fill_pct(by))
-    w = Window.partitionBy(*GAP).orderBy("idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    run = met.withColumn("max_pct", F.max("pct").over(upto)).withColumn("_before", F.coalesce(F.lag("max_pct").over(w), F.lit(0.0)))
-    return run.filter("_before < 100").drop("_before")
+
+    def run(own: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable")
+        lo, hi = (pdf["low"], pdf["high"]) if by == "wick" else (pdf[["open", "close"]].min(axis=1), pdf[["open", "close"]].max(axis=1))
+        lo, hi, idx, ts = lo.to_numpy(float), hi.to_numpy(float), pdf["idx"].to_numpy(), pdf["ts"].to_numpy()
+        parts = []
+        for g in own.itertuples(index=False):
+            start = at = int(np.searchsorted(idx, g.created_idx, side="right"))
+            found, block = [], 32
+            while at < len(idx):
+                reach = g.zone_top - lo[at : at + block] if g.direction == "bullish" else hi[at : at + block] - g.zone_bottom
+                pct = np.clip(reach / (g.zone_top - g.zone_bottom) * 100, 0, 100)
+                full = np.flatnonzero(pct >= 100)
+                found.append(pct[: full[0] + 1] if len(full) else pct)
+                if len(full):
+                    break
+                at, block = at + block, block * 2
+            if found:
+                pct = np.concatenate(found)
+                span = slice(start, start + len(pct))
+                parts.append(pd.DataFrame({"ticker": g.ticker, "kind": g.kind, "direction": g.direction, "created_idx": g.created_idx, "zone_bottom": g.zone_bottom, "zone_top": g.zone_top, "idx": idx[span], "ts": ts[span], "pct": pct, "max_pct": np.maximum.accumulate(pct)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in FILL.split(", ")])
+
+    left = gaps.select(*GAP, "zone_bottom", "zone_top").groupBy("ticker")
+    return left.cogroup(bars.select("ticker", "idx", "ts", "open", "high", "low", "close").groupBy("ticker")).applyInPandas(run, FILL)
 
 
 def lifecycle(gaps: DataFrame, bars: DataFrame, by: str = "wick", soft: float = SOFT) -> DataFrame:
