@@ -50,23 +50,25 @@ def fills(gaps: DataFrame, bars: DataFrame, by: str = "wick") -> DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
         lo, hi = (pdf["low"], pdf["high"]) if by == "wick" else (pdf[["open", "close"]].min(axis=1), pdf[["open", "close"]].max(axis=1))
         lo, hi, idx, ts = lo.to_numpy(float), hi.to_numpy(float), pdf["idx"].to_numpy(), pdf["ts"].to_numpy()
-        parts = []
-        for g in own.itertuples(index=False):
-            start = at = int(np.searchsorted(idx, g.created_idx, side="right"))
-            found, block = [], 32
+        begin, found = [], []
+        for far, near, made, rising in zip(*(own[c].to_numpy() for c in ("zone_top", "zone_bottom", "created_idx")), (own["direction"] == "bullish").to_numpy(), strict=True):
+            start = at = int(np.searchsorted(idx, made, side="right"))
+            parts, block = [np.empty(0)], 32
             while at < len(idx):
-                reach = g.zone_top - lo[at : at + block] if g.direction == "bullish" else hi[at : at + block] - g.zone_bottom
-                pct = np.clip(reach / (g.zone_top - g.zone_bottom) * 100, 0, 100)
+                reach = far - lo[at : at + block] if rising else hi[at : at + block] - near
+                pct = np.clip(reach / (far - near) * 100, 0, 100)
                 full = np.flatnonzero(pct >= 100)
-                found.append(pct[: full[0] + 1] if len(full) else pct)
+                parts.append(pct[: full[0] + 1] if len(full) else pct)
                 if len(full):
                     break
                 at, block = at + block, block * 2
-            if found:
-                pct = np.concatenate(found)
-                span = slice(start, start + len(pct))
-                parts.append(pd.DataFrame({"ticker": g.ticker, "kind": g.kind, "direction": g.direction, "created_idx": g.created_idx, "zone_bottom": g.zone_bottom, "zone_top": g.zone_top, "idx": idx[span], "ts": ts[span], "pct": pct, "max_pct": np.maximum.accumulate(pct)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in FILL.split(", ")])
+            begin.append(start)
+            found.append(np.concatenate(parts))
+        sizes = np.array([len(x) for x in found], dtype=int)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.array(begin, dtype=int), sizes)
+        out = own.iloc[of].reset_index(drop=True)
+        return out.assign(idx=idx[place], ts=ts[place], pct=np.concatenate([np.empty(0), *found]), max_pct=np.concatenate([np.empty(0), *map(np.maximum.accumulate, found)]))
 
     left = gaps.select(*GAP, "zone_bottom", "zone_top").groupBy("ticker")
     return left.cogroup(bars.select("ticker", "idx", "ts", "open", "high", "low", "close").groupBy("ticker")).applyInPandas(run, FILL)
