@@ -11,6 +11,5 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     )
-    session.conf.set("spark.checkpoint.dir", f"file://{shared}")
     session.sparkContext.setLogLevel("ERROR")
     return session

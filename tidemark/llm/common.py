@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 TOKENIZER_ROWS = 256
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder all executors share; one of our own only where none is configured, as in local tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
