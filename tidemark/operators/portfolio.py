@@ -73,7 +73,7 @@ def evolve(gross: np.ndarray, objective: str = "sharpe", seed: int = 0, populati
 
     def worth(w: np.ndarray) -> np.ndarray:
         r = gross @ w.T
-        return r.prod(axis=0) if objective == "return" else (r.mean(axis=0) - 1) / (r.std(axis=0, ddof=1) + 1e-9)
+        return np.log(r).sum(axis=0) if objective == "return" else (r.mean(axis=0) - 1) / (r.std(axis=0, ddof=1) + 1e-9)
 
     for r in range(rounds):
         best = pool[np.argsort(-worth(pool), kind="stable")[: population // 4]]

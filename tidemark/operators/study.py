@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -10,19 +12,14 @@ from tidemark.functions.kernels import student_t_two_sided
 from tidemark.functions.windows import percentile_rank
 
 
-@F.pandas_udf(DoubleType())
-def t_test(r, n):  # one row for each pair of columns, not for each observation
-    import numpy as np
-    import pandas as pd
-
+def t_test(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-values of correlations; one row for each pair of columns, not for each observation."""
     out = []
     for x, k in zip(r, n, strict=True):
         if x is None or x != x or k < 3:
             out.append(None)
-        elif abs(x) >= 1:
-            out.append(0.0)
         else:
-            out.append(student_t_two_sided(x * np.sqrt((k - 2) / (1 - x * x)), int(k) - 2))
+            out.append(0.0 if abs(x) >= 1 else student_t_two_sided(x * np.sqrt((k - 2) / (1 - x * x)), int(k) - 2))
     return pd.Series(out, dtype="float64")
 
 
@@ -37,7 +34,8 @@ def correlations(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ranked = both.withColumn("rx", percentile_rank("x", "signal", "target")).withColumn("ry", percentile_rank("y", "signal", "target"))
     varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y")) & (F.count(F.lit(1)) >= 3)
     out = ranked.groupBy("signal", "target").agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("x", "y")).alias("pearson_r"), F.when(varied, F.corr("rx", "ry")).alias("spearman_rho"))
-    return out.withColumn("pearson_p", t_test("pearson_r", "n")).withColumn("spearman_p", t_test("spearman_rho", "n"))
+    p_value = F.pandas_udf(t_test, DoubleType())
+    return out.withColumn("pearson_p", p_value("pearson_r", "n")).withColumn("spearman_p", p_value("spearman_rho", "n"))
 
 
 def summary(studied: DataFrame) -> DataFrame:

@@ -31,7 +31,6 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})  # adding 0 makes a negative zero plain
 
 
-W = wd.series()
 HEAD = "WITH RECURSIVE " + inp.WALK_SQL
 ATR_HEAD = HEAD + ", " + inp.ATR_SQL
 OVER = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -115,20 +114,20 @@ def load_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ratios", HEAD + f" SELECT ticker, ts, round(high / open, 9) AS high_open, round(low / open, 9) AS low_open, round(\"close\" / open, 9) AS close_open, round(open / lag(\"close\") {OVER} - 1, 9) + 0.0 AS overnight_gap FROM walk")
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, o = inp.walk_bars(spark, sf_dir), F.col("open")
-    out = b.select("ticker", "ts", scalar.ratio(F.col("high"), o).alias("high_open"), scalar.ratio(F.col("low"), o).alias("low_open"), scalar.ratio(F.col("close"), o).alias("close_open"), (scalar.ratio(o, F.lag("close").over(W)) - 1).alias("overnight_gap"))
+    out = b.select("ticker", "ts", scalar.ratio(F.col("high"), o).alias("high_open"), scalar.ratio(F.col("low"), o).alias("low_open"), scalar.ratio(F.col("close"), o).alias("close_open"), (scalar.ratio(o, F.lag("close").over(wd.series())) - 1).alias("overnight_gap"))
     return rounded(out, "high_open", "low_open", "close_open", "overnight_gap", digits=9)
 
 
 @query("sma", HEAD + f' SELECT ticker, ts, round({sma_sql(chr(34) + "close" + chr(34), 50)}, 6) AS sma50, round({sma_sql(chr(34) + "close" + chr(34), 200)}, 6) AS sma200, round({sma_sql("volume", 20)}, 6) AS volume20 FROM walk')
 def sma(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.walk_bars(spark, sf_dir)
-    return rounded(b.select("ticker", "ts", wd.sma(F.col("close"), 50, W).alias("sma50"), wd.sma(F.col("close"), 200, W).alias("sma200"), wd.sma(F.col("volume"), 20, W).alias("volume20")), "sma50", "sma200", "volume20")
+    return rounded(b.select("ticker", "ts", wd.sma(F.col("close"), 50, wd.series()).alias("sma50"), wd.sma(F.col("close"), 200, wd.series()).alias("sma200"), wd.sma(F.col("volume"), 20, wd.series()).alias("volume20")), "sma50", "sma200", "volume20")
 
 
 @query("bollinger", HEAD + f""", b AS (SELECT ticker, ts, {sma_sql('"close"', 20)} AS mid, CASE WHEN count("close") {frame(20)} = 20 THEN stddev_pop("close") {frame(20)} END AS dev FROM walk)
  SELECT ticker, ts, round(mid + 2 * dev, 5) AS upper, round(mid, 5) AS middle, round(mid - 2 * dev, 5) AS lower, round(4 * dev / mid * 100, 5) AS width FROM b""")
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up, mid, low = wd.bollinger(F.col("close"), 20, 2, 2, W)
+    up, mid, low = wd.bollinger(F.col("close"), 20, 2, 2, wd.series())
     out = inp.walk_bars(spark, sf_dir).select("ticker", "ts", up.alias("upper"), mid.alias("middle"), low.alias("lower"))
     return rounded(out.withColumn("width", scalar.band_width(F.col("upper"), F.col("lower"), F.col("middle"))), "upper", "middle", "lower", "width", digits=5)
 
@@ -137,14 +136,14 @@ def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
  s AS (SELECT ticker, ts, {sma_sql('k', 3)} AS sk FROM k), d AS (SELECT ticker, ts, sk, {sma_sql('sk', 3)} AS sd FROM s)
  SELECT ticker, ts, round(CASE WHEN sd IS NOT NULL THEN sk END, 6) AS slow_k, round(sd, 6) AS slow_d FROM d""")
 def stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = inp.walk_bars(spark, sf_dir).withColumn("k", wd.fast_k(14, W)).withColumn("sk", wd.sma(F.col("k"), 3, W)).withColumn("slow_d", wd.sma(F.col("sk"), 3, W))
+    b = inp.walk_bars(spark, sf_dir).withColumn("k", wd.fast_k(14, wd.series())).withColumn("sk", wd.sma(F.col("k"), 3, wd.series())).withColumn("slow_d", wd.sma(F.col("sk"), 3, wd.series()))
     return rounded(b.select("ticker", "ts", F.when(F.col("slow_d").isNotNull(), F.col("sk")).alias("slow_k"), "slow_d"), "slow_k", "slow_d")
 
 
 @query("momentum", HEAD + f""" SELECT ticker, ts, round(("close" / lag("close", 10) {OVER} - 1) * 100, 6) + 0.0 AS roc10,
  round(CASE WHEN count(*) {frame(14)} = 14 THEN CASE WHEN max(high) {frame(14)} = min(low) {frame(14)} THEN 0 ELSE -100 * (max(high) {frame(14)} - "close") / (max(high) {frame(14)} - min(low) {frame(14)}) END END, 6) + 0.0 AS williams14 FROM walk""")
 def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rounded(inp.walk_bars(spark, sf_dir).select("ticker", "ts", wd.roc(F.col("close"), 10, W).alias("roc10"), wd.williams_r(14, W).alias("williams14")), "roc10", "williams14")
+    out = rounded(inp.walk_bars(spark, sf_dir).select("ticker", "ts", wd.roc(F.col("close"), 10, wd.series()).alias("roc10"), wd.williams_r(14, wd.series()).alias("williams14")), "roc10", "williams14")
     return out
 
 
@@ -152,7 +151,7 @@ def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
  d AS (SELECT a.ticker, a.ts, a.tp, a.mean, avg(abs(b.tp - a.mean)) AS dev FROM m a JOIN t b ON a.ticker = b.ticker AND b.idx BETWEEN a.idx - 19 AND a.idx GROUP BY ALL)
  SELECT ticker, ts, round(CASE WHEN mean IS NOT NULL THEN CASE WHEN dev = 0 THEN 0 ELSE (tp - mean) / (0.015 * dev) END END, 4) AS cci20 FROM d""")
 def cci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inp.walk_bars(spark, sf_dir).select("ticker", "ts", wd.cci(20, W).alias("cci20")), "cci20", digits=4)
+    return rounded(inp.walk_bars(spark, sf_dir).select("ticker", "ts", wd.cci(20, wd.series()).alias("cci20")), "cci20", digits=4)
 
 
 @query("volume_flow", HEAD + f""", f AS (SELECT *, (high + low + "close") / 3 AS tp, lag((high + low + "close") / 3) {OVER} AS ptp, "close" - lag("close") {OVER} AS move FROM walk),
@@ -160,9 +159,9 @@ def cci(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT ticker, ts, sum(signed) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS obv,
  round(CASE WHEN count(pos) {frame(14)} = 14 THEN CASE WHEN sum(pos) {frame(14)} + sum(neg) {frame(14)} < 1 THEN 0 ELSE 100 * sum(pos) {frame(14)} / (sum(pos) {frame(14)} + sum(neg) {frame(14)}) END END, 5) AS mfi14 FROM g""")
 def volume_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up, down = wd.mfi_flows(W)
-    b = inp.walk_bars(spark, sf_dir).withColumns({"signed": wd.obv(W), "pos": up, "neg": down})
-    return rounded(b.select("ticker", "ts", F.sum("signed").over(W.rowsBetween(Window.unboundedPreceding, 0)).alias("obv"), wd.mfi("pos", "neg", 14, W).alias("mfi14")), "mfi14", digits=5)
+    up, down = wd.mfi_flows(wd.series())
+    b = inp.walk_bars(spark, sf_dir).withColumns({"signed": wd.obv(wd.series()), "pos": up, "neg": down})
+    return rounded(b.select("ticker", "ts", F.sum("signed").over(wd.series().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"), wd.mfi("pos", "neg", 14, wd.series()).alias("mfi14")), "mfi14", digits=5)
 
 
 def _ema_sql(x: str, n: int) -> str:
@@ -338,6 +337,6 @@ def rs_sector_vs_market(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT b.ticker, b.ts, round(b."close", 6) AS close_a, round(o."close", 6) AS close_b, round(abs(b."close" - o."close") / o."close", 6) AS pct_diff FROM b JOIN o USING (ticker, ts) WHERE abs(b."close" - o."close") / o."close" > 0.01""")
 def compare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.brand(spark, sf_dir).select("ticker", "ts", "close")
-    n = F.row_number().over(W)
+    n = F.row_number().over(wd.series())
     other = b.withColumn("n", n).filter("n % 9 <> 0").withColumn("close", F.when(F.col("n") % 50 == 0, F.col("close") * 1.05).otherwise(F.col("close")))
     return rounded(jn.differing(b, other), "close_a", "close_b", "pct_diff")

@@ -73,7 +73,7 @@ def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("portfolio_walk_forward")
 def portfolio_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), list(range(1994, 1998)))
+    return pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), list(range(1997, 2001)))
 
 
 @query("tumbling_bars", "SELECT event_type AS ticker, CAST(date_trunc('day', ts) AS DATE) AS ts, round(max(value), 6) AS high, round(min(value), 6) AS low, count(*) AS n FROM events GROUP BY 1, 2")
