@@ -192,7 +192,7 @@ def test_language_mixture():
     en, de = "the of and that with from water house ", "der die und nicht ein wasser haus schön "
     model = langid.NgramModel.fit([("en", en * 30), ("de", de * 30)])
     who = langid.Identifier(model)
-    langs, scores = who.predict([en * 5, de * 5, en * 6 + de * 2, None, "", "123 !?", "x"])
+    langs, scores = who.predict([en * 5, de * 5, en * 6 + de * 2, None, "", "123 !? ½²", "x"])
     assert langs[:3] == ["en", "de", "en"] and langs[3:6] == ["und"] * 3 and scores[3:6] == [0.0] * 3
     assert scores[0] > 0.95 and 0.6 < scores[2] < 0.9 and all(0 <= s <= 1 for s in scores)
     assert langid.Identifier(langid.NgramModel.fit([])).predict(["word"]) == (["und"], [0.0])

@@ -147,6 +147,9 @@ class Identifier:
             fit = self.model.likelihoods(new)
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.odds = np.concatenate([self.odds, np.exp(fit - fit.max(axis=1, keepdims=True))])
+        for i, words in enumerate(found):
+            if not any(c.isalpha() for w in words for c in w):  # numbers that are no decimal digits pass for words, but are no letters
+                found[i] = []
         docs = [i for i, words in enumerate(found) if words]
         if docs:
             sizes = np.array([len(found[i]) for i in docs])
