@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from tidemark.functions import kernels
 from tidemark.functions.scalar import clip, interpolated
 from tidemark.functions.sides import encounters, reaction
-from tidemark.functions.windows import series
 from tidemark.operators.bars import arrays
 from tidemark.operators.joins import islands
 
@@ -259,5 +258,3 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker", "kind").orderBy("idx")
     return turns.select("ticker", "kind", "idx", "value", F.lead("idx").over(w).alias("next_idx"), F.lead("value").over(w).alias("next_value")).filter("next_idx is not null")
 
-
-__all__ = ["anchored", "anchors", "confluence", "divergences", "fib_sets", "interactions", "level_touches", "paired", "series", "swings", "turn_pairs"]
