@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BAR_SCHEMA = "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
-#: Series quoted for the day they are published on.
-SAME_DAY = ("VIXCLS", "DGS10", "DGS2", "T10Y2Y", "DFF")
+#: Series that count as published on the day they are quoted for.
+SAME_DAY = ("DFF", "DGS3MO", "DGS2", "DGS10", "T10Y2Y", "VIXCLS", "SP500")
 
 
 class LandedFile(InputPartition):
