@@ -154,6 +154,8 @@ def blocks(page: str) -> list[Block]:
             continue
         _, aside, hinted, inside = stack[-1]
         hidden, hint, head = _attributes(attributes) if attributes.strip() else (False, False, False)
+        if name == "main":  # nothing around it can be open but by a missing end tag
+            aside = hinted = False
         inside = inside or name in ("article", "main")
         aside = aside or hidden or name in ASIDE or (name == "header" and not inside)
         hinted = hinted or (name not in OPEN_TO_ALL and (hint or (head and not inside)))
