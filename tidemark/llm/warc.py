@@ -6,8 +6,10 @@ the archive with a sparse index of places in the run.  A run is as large as one
 
 Merging: splitters drawn from the runs' sparse indexes cut the (URL key, timestamp) order into ranges.  A
 merge task reads its range's slice of up to ``FAN_IN`` runs and merges them with a loser tree: one path of
-comparisons from leaf to root for each capture.  More runs than that are merged in several
-passes.  Ranges follow each other, so the last pass is the globally ordered capture history.
+comparisons from leaf to root for each capture.  More runs than that are merged in several passes: the
+first merges whole runs by the ``FAN_IN``, each later one cuts the ranges of the one before by as much, so tasks
+keep one size and every pass opens about as many slices as there are runs.  The last pass merges by the
+finest ranges, which follow each other: the globally ordered capture history.
 One URL with very many captures is cut by timestamp like everything else.
 
 Reading: the history's rows go to their archives, where each record is read at its offset; what is
@@ -221,41 +223,48 @@ def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_I
     many = min(ranges or width(spark), max(1, len(points)))
     cuts = [points[len(points) * i // many] for i in range(1, many)]
     bounds = [(lo, hi) for lo, hi in zip([None, *cuts], [*cuts, None], strict=True) if lo != hi or lo is None]
-    runs = {r: [p[0] for p in manifest.select("run").orderBy("run").collect()] for r in range(len(bounds))}
+    last = len(bounds)
+    # a group is what one pass has merged so far: its pieces, by the ranges they cover, each [a, b) of the finest
+    groups = [{(0, last): p[0]} for p in manifest.select("run").orderBy("run").collect()]
+    parts = [(0, last)]
 
-    def tasks(groups: dict[int, list[list[str]]]) -> DataFrame:
-        rows = [(r, g, paths) for r, gs in groups.items() for g, paths in enumerate(gs)]
-        return spark.createDataFrame(rows, "range int, grp int, paths array<string>").repartition(max(1, len(rows)), "range", "grp")
+    def tasks(rows: list[tuple]) -> DataFrame:
+        frame = spark.createDataFrame(rows, "grp int, a int, b int, paths array<string>")
+        return frame.repartition(max(1, len(rows)), "grp", "a")
 
-    def slices(r: int, paths: list[str]) -> LoserTree:
-        lo, hi = bounds[r]
-        return LoserTree([read_run(p, lo, hi) for p in paths])
+    def slices(a: int, b: int, paths: list[str]) -> LoserTree:
+        return LoserTree([read_run(p, bounds[a][0], bounds[b - 1][1]) for p in paths])
+
+    def holding(group: dict, a: int, b: int) -> str:
+        return next(path for (x, y), path in group.items() if x <= a and b <= y)
 
     def combine(batches):
-        for b in batches:
-            for r, paths in zip(b.column("range").to_pylist(), b.column("paths").to_pylist(), strict=True):
+        for batch in batches:
+            for g, a, b, paths in zip(*(batch.column(c).to_pylist() for c in ("grp", "a", "b", "paths")), strict=True):
                 name = f"{folder}/{uuid.uuid4().hex}.run"
-                write_run(name, iter(slices(r, paths)))
-                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([name])], ["range", "run"])
+                write_run(name, iter(slices(a, b, paths)))
+                yield pa.record_batch([pa.array([g], pa.int32()), pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([name])], ["grp", "a", "b", "run"])
 
     def finish(batches):
-        for b in batches:
-            for r, paths in zip(b.column("range").to_pylist(), b.column("paths").to_pylist(), strict=True):
+        for batch in batches:
+            for a, b, paths in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "paths")), strict=True):
                 held, place = [], 0
-                for e in slices(r, paths):
+                for e in slices(a, b, paths):
                     held.append(e)
                     if len(held) == 4096:
-                        yield _history(r, place, held)
+                        yield _history(a, place, held)
                         place, held = place + len(held), []
-                yield _history(r, place, held)
-
-    cut = lambda paths: [paths[i : i + fan_in] for i in range(0, len(paths), fan_in)] or [[]]
-    while max((len(p) for p in runs.values()), default=0) > fan_in:
-        done = saved(tasks({r: cut(p) for r, p in runs.items()}).mapInArrow(combine, "range int, run string"), "warc-pass")
-        runs = {r: [] for r in runs}
-        for row in done.orderBy("range", "run").collect():
-            runs[row["range"]].append(row["run"])
-    return saved(tasks({r: [p] for r, p in runs.items()}).mapInArrow(finish, HISTORY), "warc-history")
+                yield _history(a, place, held)
+
+    while len(groups) > fan_in:
+        met = [groups[i : i + fan_in] for i in range(0, len(groups), fan_in)]
+        rows = [(g, a, b, [holding(x, a, b) for x in some]) for g, some in enumerate(met) for a, b in parts]
+        groups = [{} for _ in met]
+        for row in saved(tasks(rows).mapInArrow(combine, "grp int, a int, b int, run string"), "warc-pass").collect():
+            groups[row["grp"]][row["a"], row["b"]] = row["run"]
+        parts = [(x, min(x + step, b)) for a, b in parts for step in [max(1, -(-(b - a) // fan_in))] for x in range(a, b, step)]
+    final = [(0, r, r + 1, [holding(g, r, r + 1) for g in groups]) for r in range(last)]
+    return saved(tasks(final).mapInArrow(finish, HISTORY), "warc-history")
 
 
 HISTORY = "range int, place long, url_key string, stamp string, id long, archive string, offset long, length long"
