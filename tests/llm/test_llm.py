@@ -109,6 +109,21 @@ def test_warc_round_trip_and_merge(spark):
     assert warc.read(warc.merge(warc.write(plan.limit(0)))).count() == 0
 
 
+def test_warc_keeps_repeated_captures(spark):
+    """Equal (URL key, stamp, id) triples around every place of the sparse index, and so on both sides of cuts."""
+    same = [(7, "https://a.example/x", "<p>same</p>")] * 300 + [(None, "https://b.example/y", "<p>none</p>")] * 300
+    around = [(i, "https://c.example/z", f"<p>{i}</p>") for i in range(100)]
+    plan = warc.planned(spark.createDataFrame([*same, *around], "page_id long, url string, html string"))
+    want = sorted([(7, "a")] * 300 + [(-1, "b")] * 300 + [(i, "c") for i in range(100)])
+    for parts, fan_in, ranges in ((1, 64, 5), (1, 64, 2), (9, 2, 5), (3, 2, 7)):
+        manifest = warc.write(plan.repartition(parts))
+        history = warc.merge(manifest, fan_in=fan_in, ranges=ranges).orderBy("range", "place").collect()
+        triples = [(r["url_key"], r["stamp"], r["id"]) for r in history]
+        assert triples == sorted(triples)
+        assert sorted((r["id"], r["url_key"].split(",")[1][0]) for r in history) == want
+        assert len({(r["archive"], r["offset"]) for r in history}) == len(want)
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):

@@ -154,7 +154,8 @@ def read_run(path: str, lo: list | None, hi: list | None) -> Iterator[Entry]:
         sparse = json.loads(f.read(size))
         first = 0
         if lo is not None:
-            first = sparse[max(0, bisect.bisect_right(sparse, [*lo, float("inf")]) - 1)][3] if sparse else 0
+            # equal entries may begin before the first sparse entry that equals lo, never before the one ahead of it
+            first = sparse[max(0, bisect.bisect_left(sparse, list(lo)) - 1)][3] if sparse else 0
         f.seek(first)
         left, rest = body - first, b""
         while left or rest:
@@ -264,7 +265,11 @@ def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_I
             groups[row["grp"]][row["a"], row["b"]] = row["run"]
         parts = [(x, min(x + step, b)) for a, b in parts for step in [max(1, -(-(b - a) // fan_in))] for x in range(a, b, step)]
     final = [(0, r, r + 1, [holding(g, r, r + 1) for g in groups]) for r in range(last)]
-    return saved(tasks(final).mapInArrow(finish, HISTORY), "warc-history")
+    history = saved(tasks(final).mapInArrow(finish, HISTORY), "warc-history")
+    met, wanted = history.count(), manifest.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
+    if met != wanted:
+        raise ValueError(f"the history has {met} captures, the manifest {wanted}")
+    return history
 
 
 HISTORY = "range int, place long, url_key string, stamp string, id long, archive string, offset long, length long"
