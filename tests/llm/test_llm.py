@@ -71,6 +71,26 @@ def test_html_extraction(spark):
     assert html_extract.extract(frame.limit(0), keep=["page_id", "url"]).count() == 0
 
 
+def test_html_scores_decide():
+    long = "Some long text, with points; and more of it, so that it counts. " * 4
+    text = "\n".join([long.strip()] * 3)
+    paragraphs = f"<p>{long}</p>" * 3
+    teasers = "<article><h3>Read on</h3></article><article><h3>Read more</h3><p>Soon here.</p></article>"
+    # real text in a div, teasers in article elements before and behind it
+    assert html_extract.main_text(f'<body><div class="content">{paragraphs}</div>{teasers}</body>') == text
+    assert html_extract.main_text(f'<body>{teasers}<div class="content">{paragraphs}</div></body>') == text
+    assert html_extract.main_text(f'<body><article>{paragraphs}</article>{teasers}</body>').startswith(text)
+    # in one article the threshold decides on a group of boxes, and headings and short paragraphs come along
+    boxes = "".join(f"<div><div>{n} views</div></div>" for n in range(8))
+    page = f"<body><article><h1>Title</h1>{paragraphs}<p>Short</p><ul><li>item</ul>{boxes}</article></body>"
+    assert html_extract.main_text(page) == f"Title\n{text}\nShort\nitem"
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(html_extract, "THRESHOLD", 0.0)
+        assert html_extract.main_text(page).endswith("7 views")
+    # a page's text in sections around a short article isn't lost
+    assert long.strip() in html_extract.main_text(f"<body><article><p>Brief note.</p></article><section><h2>Story</h2>{paragraphs}</section></body>")
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (700, 12)).astype(np.float32)

@@ -2,9 +2,11 @@
 
 A page is read into blocks: runs of text between block-level tags, each with its path of open
 elements from the root.  For every path the text length and the punctuation of its blocks are
-aggregated; both ratios are smoothed along the page, fused into one score for each path, and
-paths above a threshold are content.  A container that holds content paths brings its headings
-and short paragraphs along, since they share its part of the path.
+aggregated; both ratios are smoothed along the page (not across the borders of article and main
+elements), fused into one score for each path, and paths above a threshold are content.  Blocks in
+an article or main element weigh ``WEIGHT`` times as much as others, but none is taken or left for
+that alone.  The element that directly holds content brings its own headings, short paragraphs, list
+items and cells along; what lies in further divisions and sections below it must score by itself.
 
 Before the ratios are taken, blocks that markup declares to be something else are set aside:
 navigation, headers and footers of the site, asides, forms, dialogs, hidden elements, and
@@ -47,6 +49,12 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: A path is content from this share of the page's best score on; smoothing reaches this many blocks to each side.
 THRESHOLD, REACH = 0.1, 2
 LINKED = 0.8
+#: The score of a block in an article or main element counts so many times.
+WEIGHT = 2.0
+#: Elements that only arrange text: what directly holds a block is the next element around them.
+ARRANGING = frozenset("ul ol dl table thead tbody tfoot tr blockquote figure header hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SHORT = HEADINGS | frozenset("p li dt dd td th pre caption figcaption".split())
 
 
 @dataclass
@@ -57,6 +65,8 @@ class Block:
     aside: bool
     hinted: bool
     inside: bool  # of an article or main element
+    within: int  # the innermost article or main element, by its number on the page; 0 for none
+    holder: int  # the element that directly holds it
 
 
 def _attributes(raw: str) -> tuple[bool, bool, bool]:
@@ -82,6 +92,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # of each open element: name, whether set aside by markup, by hints, and inside an article
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    numbers, opened = [0], 0  # of the stack's elements; rises with every element of the page
     path: tuple[str, ...] = ()
     buffer: list[str] = []
     links = linked = 0
@@ -92,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(htmllib.unescape("".join(buffer)).split())
             if text:
                 _, aside, hinted, inside = stack[-1]
-                out.append(Block(path, text, linked, aside, hinted, inside))
+                out.append(Block(path, text, linked, aside, hinted, inside, *_holders(stack, numbers)))
             buffer.clear()
         linked = 0
 
@@ -127,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    del stack[i:], numbers[i:]
                     break
                 if name not in BLOCK and stack[i][0] in BLOCK:
                     break
@@ -138,7 +149,7 @@ def blocks(page: str) -> list[Block]:
             links = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    del stack[i:], numbers[i:]
                     break
                 if stack[i][0] in CONTAINERS:
                     break
@@ -146,7 +157,7 @@ def blocks(page: str) -> list[Block]:
             if ends:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in ends:
-                        del stack[i:]
+                        del stack[i:], numbers[i:]
                         break
                     if stack[i][0] in CONTAINERS and stack[i][0] not in ("td", "th"):
                         break
@@ -163,12 +174,29 @@ def blocks(page: str) -> list[Block]:
             hinted = True
         if not attributes.rstrip().endswith("/"):
             stack.append((name, aside, hinted, inside))
+            opened += 1
+            numbers.append(opened)
             if name in BLOCK:
                 path = tuple(x[0] for x in stack[1:] if x[0] in BLOCK)
     flush()
     return out
 
 
+def _holders(stack: list[tuple[str, bool, bool, bool]], numbers: list[int]) -> tuple[int, int]:
+    """Numbers of the innermost article or main element and of the element that directly holds the text at hand."""
+    at = len(stack) - 1
+    while at and stack[at][0] not in BLOCK:
+        at -= 1
+    if stack[at][0] in SHORT:
+        at -= 1
+    while at and (stack[at][0] in ARRANGING or stack[at][0] not in BLOCK):
+        at -= 1
+    within = len(stack) - 1
+    while within and stack[within][0] not in ("article", "main"):
+        within -= 1
+    return numbers[within], numbers[at]
+
+
 def _smoothed(x: np.ndarray) -> np.ndarray:
     if len(x) < 2:
         return x
@@ -178,10 +206,8 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
 
 
 def content(found: list[Block]) -> list[Block]:
-    """Blocks on content paths, and those of the containers that content paths lie in."""
+    """Blocks on content paths, and the short ones that elements with content hold beside them."""
     kept = [b for b in found if not b.aside and not b.hinted] or [b for b in found if not b.aside]
-    if any(b.inside for b in kept):
-        kept = [b for b in kept if b.inside]
     if not kept:
         return []
     number = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in kept))}
@@ -190,20 +216,22 @@ def content(found: list[Block]) -> list[Block]:
     chars = np.array([max(0, len(b.text) - b.linked) for b in kept], float)
     points = np.array([len(PUNCTUATION.findall(b.text)) if b.linked < len(b.text) else 0 for b in kept], float)
     text_ratio, point_ratio = (np.bincount(of, weights=v) / many for v in (chars, points))
-    fused = _smoothed(text_ratio[of]) * (1 + _smoothed(point_ratio[of]))
+    runs = np.split(np.arange(len(kept)), np.flatnonzero(np.diff([b.within for b in kept])) + 1)
+    fused = np.concatenate([_smoothed(text_ratio[of[r]]) * (1 + _smoothed(point_ratio[of[r]])) for r in runs])
+    fused *= np.where([b.inside for b in kept], WEIGHT, 1.0)
     score = np.bincount(of, weights=fused) / many
-    paths = list(number)
-    chosen = {paths[i] for i in np.flatnonzero(score >= THRESHOLD * score.max())}
-    roots = {_root(p) for p in chosen}
-    return [b for b in kept if (b.path in chosen or any(b.path[: len(r)] == r for r in roots)) and (b.inside or b.linked < LINKED * len(b.text) + 1)]
-
-
-def _root(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The container a content path speaks for: its innermost article or main element, or else its parent."""
-    for i in range(len(path) - 1, -1, -1):
-        if path[i] in ("article", "main"):
-            return path[: i + 1]
-    return path[:-1]
+    chosen = (score >= THRESHOLD * score.max())[of]
+    holders = {x for b, c in zip(kept, chosen, strict=True) if c for x in ((b.holder, b.within) if b.inside else (b.holder,))}
+    return [b for b, c in zip(kept, chosen, strict=True) if (_legible(b) if c else _beside(b, holders))]
+
+
+def _legible(b: Block) -> bool:
+    return b.inside or b.linked < LINKED * len(b.text) + 1
+
+
+def _beside(b: Block, holders: set[int]) -> bool:
+    """A heading, or a short text that isn't a link, directly in an element that holds content."""
+    return b.holder in holders and (b.linked < LINKED * len(b.text) + 1 or (b.inside and b.path[-1] in HEADINGS))
 
 
 def main_text(page: str | None) -> str:
