@@ -362,6 +362,23 @@ def test_encoder_matches_the_library():
     assert coder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCAB)
+    rng, coder = random.Random(4), token_store.CachedEncoder(VOCAB)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "a", " don't", "x²", "\n\n", "😀", " word"]
+    texts = ["a <|endoftext|> b", "", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(600))]
+    plain = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert plain[0] == [64, 220, 50256, 275]
+    assert coder.encode(texts) == [np.array(x, "<u2").tobytes() for x in plain]
+    rows = list(enumerate(texts[:40]))
+    got = token_store.read(token_store.write(docs_of(spark, rows), VOCAB, shards=3)).orderBy("key").collect()
+    assert [r["n_tokens"] for r in got] == [len(x) + 1 for x in plain[:40]]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in plain[:40]]
+    assert [r["start"] for r in got] == [sum(len(x) + 1 for x in plain[:n]) for n in range(40)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

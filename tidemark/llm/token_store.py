@@ -18,7 +18,9 @@ before each.  Files carry unique names and only those of committed tasks enter t
 task that runs twice does no harm.
 
 Defined results: a null text counts as empty and has the end id alone; records of a repeated key lie side by
-side, in order of their texts' hashes; a record without a key is stored first and can be listed, not looked up.
+side, in order of their texts' hashes; a record without a key is stored first and can be listed, not looked up;
+a text's ids are the library's by its defaults, so an added token of the tokenizer's file that stands in a text
+(``<|endoftext|>``) has its own id.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ class CachedEncoder:
     """Ids of texts by a ``tokenizers`` file, one pre-token at a time.
 
     Pre-tokens repeat, so each distinct one is encoded by the library once and its packed ids are kept in a
-    bounded cache.
+    bounded cache.  Texts that hold an added token's content are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -75,7 +77,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        held = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, held)) if held else r"(?!)").search
         self.bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.exact, self.odd = regex.compile(public_tokenizers.PATTERN).findall, odd().search
         self.pieces: dict[str, bytes] = {}
@@ -87,7 +90,10 @@ class CachedEncoder:
         words = [p for p in wanted if p[0] == " " and p[1:].isalpha() and not self.odd(p)]
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
-            coded = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            joined = "".join(part)
+            if self.added(joined):
+                continue
+            coded = self.tokenizer.encode(joined, add_special_tokens=False)
             packed, of = array(kind, coded.ids).tobytes(), np.array(coded.word_ids)
             if len(of) and of[-1] != len(part) - 1:
                 raise ValueError("the tokenizer's words are not the pattern's")
@@ -99,6 +105,13 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
+        whole = [n for n, t in enumerate(texts) if self.added(t)]
+        if whole:
+            kind = "H" if self.bytes == 2 else "I"
+            coded = self.tokenizer.encode_batch_fast([texts[n] for n in whole], add_special_tokens=False)
+            out = dict(zip(whole, [array(kind, e.ids).tobytes() for e in coded], strict=True))
+            rest = iter(self.encode([t for n, t in enumerate(texts) if n not in out]))
+            return [out[n] if n in out else next(rest) for n in range(len(texts))]
         found = [self.exact(t) if not t.isascii() and BEYOND(t) or self.odd(t) else FAST.findall(t) for t in texts]
         self._learn(list(set(chain.from_iterable(found)).difference(self.pieces)))
         get = self.pieces.__getitem__
