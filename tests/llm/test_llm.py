@@ -108,6 +108,20 @@ def test_topk_is_exact(spark):
     assert topk.search(use.limit(0), use.limit(0), 5).count() == 0
 
 
+def test_topk_walks_until_the_bound():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 10, (500, 64))
+    x[:10] += 1000
+    lists = topk.SortedLists(np.arange(500), x)
+    for own, q in ((0, np.ones(64)), (3, x[3].astype(float)), (499, -x[3].astype(float)), (7, np.zeros(64)), (20, x[20].astype(float))):
+        score, ids = lists.top(q, own, 5, -np.inf)
+        want = sorted((-int(s), i) for i, s in enumerate(x @ q) if i != own)[:5]
+        assert sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True))[:5] == want
+    lists = topk.SortedLists(np.arange(500), x)
+    lists.top(np.ones(64), 0, 5, -np.inf)
+    assert lists.stopped == 1 and lists.scored < 400
+
+
 def test_warc_round_trip_and_merge(spark):
     body = "<p>" + "é" * 700 + "</p>"
     pages = [(i, f"http://www.Example.com/p{i % 7}?q=%41{i}", body if i % 3 == 0 else f"<p>{i}</p>" * (i % 5) * 100) for i in range(60)] + [(None, None, None), (70, "http://ü.de/ x", "x"), (70, "http://ü.de/ x", "x")]

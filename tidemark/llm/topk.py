@@ -37,6 +37,7 @@ class SortedLists:
         self.ids, self.vectors = ids, vectors.astype(np.float64)  # integers: exact below 2**53
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # (dimensions, rows), ascending
         self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.scored = self.stopped = 0  # rows scored, and walks that the bound ended before all rows were met
 
     def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of at least all rows that are among the best k here and score ``floor`` or more."""
@@ -47,8 +48,8 @@ class SortedLists:
         depth, kth = 0, floor
         while True:
             step = min(n, max(FIRST_DEPTH, depth * GROW))
-            if not len(live) or step * len(live) >= 2 * n:
-                new = np.flatnonzero(~met)  # so many entries to come that most rows are met anyway
+            if not len(live):
+                new = np.arange(n)  # no list to walk: all scores are 0
                 step = n
             else:
                 q = query[live]
@@ -57,6 +58,7 @@ class SortedLists:
                 fresh[seen.ravel()] = True
                 new = np.flatnonzero(fresh & ~met)
             met[new] = True
+            self.scored += len(new)
             if len(new):
                 scores.append(self.vectors[new] @ query)
                 rows.append(new)
@@ -65,10 +67,11 @@ class SortedLists:
                 if len(good) >= k:
                     kth = max(kth, np.partition(good, len(good) - k)[len(good) - k])
             depth = step
-            if depth >= n:
+            if depth >= n or met.all():
                 break
             reach = np.where(query[live] > 0, self.sorted[live, n - depth], self.sorted[live, depth - 1])
             if float(query[live] @ reach) < kth:
+                self.stopped += 1
                 break
         score, row = np.concatenate(scores), np.concatenate(rows)
         good = (self.ids[row] != own) & (score >= kth)
