@@ -44,6 +44,11 @@ def test_runs(spark, name):
     assert core.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_gap_corr_p_has_every_signal_and_return(spark):
+    got = {(r["signal"], r["target"]) for r in core.QUERIES["gap_corr_p"](spark, SF).collect()}
+    assert got == {(s, t) for s in ("peak_fill", "closed", "bars_to_threshold", "bars_to_peak") for t in structures.RETURNS}
+
+
 def test_entry(spark):
     import __spark_entry__
 

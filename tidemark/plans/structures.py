@@ -106,7 +106,7 @@ def gap_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gap_corr_p")
 def gap_corr_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sy.correlations(_studied(spark, sf_dir), [("bars_to_peak", t) for t in RETURNS])
+    return sy.correlations(_studied(spark, sf_dir), [(s, t) for s in ("peak_fill", "closed", "bars_to_threshold", "bars_to_peak") for t in RETURNS])
 
 
 @query("price_pivot_pairs", ATR_HEAD + zigzag_sql(2.0) + " SELECT * FROM (SELECT ticker, kind, idx, round(value, 6) AS value, lead(idx) OVER (PARTITION BY ticker, kind ORDER BY idx) AS next_idx, round(lead(value) OVER (PARTITION BY ticker, kind ORDER BY idx), 6) AS next_value FROM turns) WHERE next_idx IS NOT NULL")
