@@ -268,10 +268,33 @@ def test_toxicity_learns_and_generalises():
     assert ((got[:100] >= 0.3) == (labels[400:] == 1)).mean() > 0.95
     assert (got[100:103] < 0.3).all() and ((got >= 0) & (got <= 1)).all()
     assert toxicity.train(["a"], np.array([1]), 0.5) is None
+    assert toxicity.train([None, ""], np.array([0, 1]), 0.5) is None
+    assert set(net.p) == {"C", "E", "v", "o", "b", "Wf", "Uf", "cf", "Wb", "Ub", "cb"}  # nothing but the network's own weights
+
+
+def test_toxicity_scores_long_texts_in_parts(monkeypatch):
+    texts, labels = toxic_sample()
+    scorer = toxicity.Scorer(toxicity.train(texts[:200], labels[:200], 0.25))
+    long = [" ".join(texts[i : i + 40]) for i in range(200, 400, 40)] + ["", None, texts[400]]
+    whole = scorer.score(long)
+    monkeypatch.setattr(toxicity, "LAID_OUT", 64)
+    assert np.allclose(scorer.score(long), whole, atol=1e-5)
+
+
+def test_toxicity_on_awkward_rows(spark):
+    texts, labels = toxic_sample()
+    net = toxicity.train(texts[:200], labels[:200], 0.25)
+    frame = docs_of(spark, AWKWARD).withColumn("predicted", F.lit("x"))
+    got = toxicity.score(frame, net, keep=["doc_id"]).toPandas()
+    assert len(got) == len(AWKWARD) and got["score"].between(0, 1).all() and list(got.columns) == ["doc_id", "score"]
+    assert got["doc_id"].isna().sum() == 2 and (got["doc_id"] == 6).sum() == 2
+    assert toxicity.score(frame.limit(0), net, keep=["doc_id"]).count() == 0
+    assert set(toxicity.score(frame, None, keep=["doc_id"]).toPandas()["score"]) == {0.0}
+    assert toxicity.fit(frame.limit(0).withColumn("toxic", F.lit(1))) is None
 
 
 def test_toxicity_gradients():
-    net = toxicity.Network.new({"a": 1}, {})
+    net = toxicity.Network.new({"a": 1})
     net.p = {k: v.astype(float) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     size = net.p["Wf"].shape[0]
@@ -279,7 +302,8 @@ def test_toxicity_gradients():
     m[1, 3:] = 0
 
     def loss():
-        p = toxicity.sigmoid(net.windows(*net.projected(x.reshape(-1, size)), np.arange(15).reshape(3, 5), m))
+        rows = np.concatenate([np.zeros((1, size)), x.reshape(-1, size)])
+        p = toxicity.sigmoid(net.windows(*net.projected(rows), np.where(m > 0, np.arange(1, 16).reshape(3, 5), 0), m))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
     g, _ = net.gradients(x, m, y, np.ones(3))
@@ -420,6 +444,10 @@ def test_queries_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     lang = queries.op6_langid(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (lang["lang"] == lang["lang_pred"]).mean() > 0.97
+    toxic = queries.op8_toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
+    rank, y = toxic["score"].rank(), toxic["toxic"] == 1
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.95  # area under the curve
+    assert (toxic["predicted"] == (toxic["score"] >= 0.3)).all()
     out = queries.op5_minhash(spark, "/root/testdata/sf0.001").toPandas()
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute_groups(list(zip(docs["doc_id"], docs["text"], strict=True)), 2)

@@ -1,25 +1,25 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the mean of its hashed character trigrams' vectors, a vector of its own where it
-is in the vocabulary, its evidence (smoothed log odds of toxic against other documents) and the
-strongest evidence of a run of ``GRAM`` characters in it, so that inflected or unseen forms count.  A
-forward and a backward gated recurrent layer read a window of ``WINDOW`` words; attention pools the
-states; a logistic unit scores the window.  Windows overlap by ``WINDOW - STRIDE`` words and every
-window of a text is scored; the text's score is the largest, calibrated.
-
-Labels belong to documents, not windows, so training alternates: score all windows of the
-training documents, then learn from each document's highest window (and a random one of clean
-documents).  Evidence used in training comes from the other half of the documents, so that the
-network learns how far to trust it.  Training takes at most ``SAMPLE_DOCS`` documents of each label.
-
-Defined results: null and empty texts, and texts without words, get the clean base rate; where
-nothing was learned every score is 0.
+A word enters as the pooled vectors of its hashed character runs (lengths ``RUNS``, its edges marked), so that
+inflected and unseen forms count, and a vector of its own where it is in the vocabulary; both are learned
+with the rest, and there are no other inputs.  A forward and a backward gated recurrent layer read a window of
+``WINDOW`` words; attention pools the states; a logistic unit scores the window.  A window begins at every
+``STRIDE``-th word, so each word but those at the ends is read in two windows, and every window of a text
+is scored; the text's score is the largest, calibrated.
+
+Labels belong to documents, not windows.  Training begins with random windows under their documents'
+labels: only words of toxic documents stand out in the mean.  Then it alternates: score all windows of the
+training documents, and learn from each document's highest window (and a random one of clean
+documents).  Training takes at most ``SAMPLE_DOCS`` documents of each label.
+
+Defined results: null and empty texts, and texts without words, get a low constant score; where
+nothing was learned every score is 0; rows with equal or null ids are all returned; columns that aren't
+kept are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -32,108 +32,144 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pieces_of
 from tidemark.llm.langid import sample
 
-SAMPLE_DOCS = 1000
-WINDOW, STRIDE = 32, 24
-HIDDEN, CHAR_DIM, WORD_DIM = 8, 8, 4
-CHAR_BUCKETS = 4096
-VOCABULARY = 4000
-EPOCHS, BATCH, RATE = 4, 128, 0.015
-GRAM = 5
-#: Pseudo-documents a word's counts are shrunk by, and the least number of documents that make evidence.
-SHRINK, SUPPORT = 2.0, 4
+SAMPLE_DOCS = 1500
+WINDOW, STRIDE = 32, 16
+HIDDEN, CHAR_DIM, WORD_DIM = 8, 16, 8
+RUNS = (3, 4, 5)
+CHAR_BUCKETS = 1 << 15
+VOCABULARY = 8000
+#: Passes over random windows, passes over the highest windows, windows a step, and the rate of learning.
+WARM, ROUNDS, BATCH, RATE = 4, 4, 128, 0.01
+#: A small sample is passed over again until the random windows gave so many steps, and each round so many.
+WARM_STEPS, ROUND_STEPS = 120, 16
 WORD_CACHE = 200_000
+#: Windows computed at once, and words of a text laid out at once.
+BLOCK, LAID_OUT = 512, 1 << 18
+#: The logit of a text without words.
+WORDLESS = -4.0
+#: The word that stands for positions past a text's end.
+PAD = " "
 WORDS = re.compile(r"[^\W_]+")
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def grams_of(word: str) -> list[str]:
-    """Character runs of a word, its edges marked; they share a dictionary with words, which have no ``<``."""
-    w = f"<{word}>"
-    return [w[i : i + GRAM] + "<" for i in range(max(1, len(w) - GRAM + 1))]
-
-
-def evidence(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Log odds of words and character runs by the documents they occur in; those of few documents or little meaning are left out."""
-    seen = (Counter(), Counter())
-    runs: dict[str, list[str]] = {}
-    for words, y in zip(docs, labels, strict=True):
-        distinct = set(words)
-        seen[int(y)].update(distinct)
-        for w in distinct:
-            if w not in runs:
-                runs[w] = grams_of(w)
-        seen[int(y)].update(set(chain.from_iterable(map(runs.__getitem__, distinct))))
-    total = [max(1, int((labels == y).sum())) for y in (0, 1)]
-    out = {}
-    for w in seen[1].keys() | seen[0].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b >= SUPPORT:
-            odds = np.log((a + SHRINK * 0.5) / (total[1] + SHRINK)) - np.log((b + SHRINK * 0.5) / (total[0] + SHRINK))
-            if abs(odds) > 0.7:
-                out[w] = float(odds) / 3
-    return out
-
-
-def strengths(words: list[str], odds: dict[str, float]) -> np.ndarray:
-    """(words, 2): each word's own evidence and the largest of its character runs'."""
-    get = odds.get
-    return np.array([(get(w, 0.0), max(get(g, 0.0) for g in grams_of(w))) for w in words], np.float32).reshape(-1, 2)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def trigrams(word: str) -> list[int]:
-    w = f"<{word}>".encode()
-    return [zlib.crc32(w[i : i + 3]) % CHAR_BUCKETS for i in range(max(1, len(w) - 2))]
+def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, first, many): hashed character runs word by word; where a word's begin, and how many it has (1 or more)."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    found, owner = [], []
+    for n in RUNS:
+        places = max(0, len(points) - n + 1)
+        h = np.full(places, n, np.uint64)
+        for k in range(n):
+            h = (h ^ points[k : places + k]) * GOLDEN
+            h ^= h >> np.uint64(29)
+        inside = word[:places] == word[n - 1 :]
+        found.append((h[inside] >> np.uint64(40)) % np.uint64(CHAR_BUCKETS))
+        owner.append(word[:places][inside])
+    of = np.concatenate(owner)
+    order = np.argsort(of, kind="stable")
+    many = np.bincount(of, minlength=len(words))
+    return np.concatenate(found).astype(np.int64)[order], np.cumsum(many) - many, many
+
+
+def pooled(table: np.ndarray, buckets: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """(words, CHAR_DIM): sums of the words' run vectors over the root of their number.
+
+    Words with equally many runs are gathered together.
+    """
+    out = np.empty((len(first), CHAR_DIM), np.float32)
+    for k in np.unique(many).tolist():
+        same = np.flatnonzero(many == k)
+        step = max(1, (1 << 16) // k)
+        for at in range(0, len(same), step):
+            w = same[at : at + step]
+            out[w] = table[buckets[first[w][:, None] + np.arange(k)]].sum(axis=1) / np.float32(np.sqrt(k))
+    return out
+
+
+def summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of ``at``, sums of the ``rows`` that share each)."""
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return ranked[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
     vocabulary: dict[str, int]
-    odds: dict[str, float]
     scale: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def new(cls, vocabulary: dict[str, int], odds: dict[str, float], seed: int = 7) -> Network:
+    def new(cls, vocabulary: dict[str, int], seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
-        size = CHAR_DIM + WORD_DIM + 2
-        p = {"C": r.normal(0, 0.1, (CHAR_BUCKETS, CHAR_DIM)), "E": r.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)), "v": r.normal(0, 0.3, 2 * HIDDEN), "o": r.normal(0, 0.3, 2 * HIDDEN), "b": np.array([-1.0])}
+        size = CHAR_DIM + WORD_DIM
+        p = {"C": r.normal(0, 0.1, (CHAR_BUCKETS, CHAR_DIM)), "E": r.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM))}
+        p |= {"v": r.normal(0, 0.3, 2 * HIDDEN), "o": r.normal(0, 0.3, 2 * HIDDEN), "b": np.array([-1.0])}
         for d in "fb":
             p |= {f"W{d}": r.normal(0, 0.3, (size, 3 * HIDDEN)), f"U{d}": r.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"c{d}": np.zeros(3 * HIDDEN)}
-        return cls({k: x.astype(np.float32) for k, x in p.items()}, vocabulary, odds)
+        return cls({k: x.astype(np.float32) for k, x in p.items()}, vocabulary)
 
-    def inputs(self, words: list[str], odds: dict[str, float] | None = None) -> np.ndarray:
+    def inputs(self, words: list[str]) -> np.ndarray:
         """(words, features), before the recurrent layers."""
-        odds = self.odds if odds is None else odds
-        grams = [trigrams(w) for w in words]
-        ends = np.cumsum([0, *map(len, grams)])
-        chars = np.add.reduceat(self.p["C"][np.fromiter(chain.from_iterable(grams), np.int64, int(ends[-1]))], ends[:-1], axis=0) / np.diff(ends)[:, None]
         own = self.p["E"][[self.vocabulary.get(w, 0) for w in words]]
-        return np.concatenate([chars, own, strengths(words, odds)], axis=1).astype(np.float32)
+        return np.concatenate([pooled(self.p["C"], *runs_of(words)), own], axis=1)
 
     def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]
+        """Inputs of both layers' gates.  Row 0 pads: its update gate stays shut, so a state passes it unchanged."""
+        out = []
+        for d in "fb":
+            y = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+            y[0] = 0
+            y[0, :HIDDEN] = -1e4
+            out.append(y)
+        return out[0], out[1]
 
     def windows(self, forward: np.ndarray, backward: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Logits of windows: ``at`` (windows, WINDOW) are rows of the projected inputs, ``mask`` marks real words."""
+        """Logits of windows: ``at`` (windows, WINDOW) are rows of the projected inputs, 0 where ``mask`` has no word.
+
+        Units run along the first axis and windows along the last, so that every step works on whole rows.
+        """
         n, length = at.shape
-        states = np.empty((length, n, 2 * HIDDEN), np.float32)
+        states = np.empty((length, 2 * HIDDEN, n), np.float32)
+        half = np.float32(0.5)
         for d, x, steps in (("f", forward, range(length)), ("b", backward, range(length - 1, -1, -1))):
-            u, h = self.p[f"U{d}"], np.zeros((n, HIDDEN), np.float32)
+            u, h = np.ascontiguousarray(self.p[f"U{d}"].T), np.zeros((HIDDEN, n), np.float32)
+            gates = np.ascontiguousarray(x[at.T].transpose(0, 2, 1))
+            low = HIDDEN * (d == "b")
             for t in steps:
-                h = _step(x[at[:, t]], h, u, mask[:, t : t + 1])[0]
-                states[t, :, HIDDEN * (d == "b") : HIDDEN * (d == "b") + HIDDEN] = h
-        weigh = states @ self.p["v"]
+                g, hu = gates[t], u @ h
+                zr = g[: 2 * HIDDEN]  # sigmoid(y) = tanh(y / 2) / 2 + 1 / 2, in place
+                zr += hu[: 2 * HIDDEN]
+                zr *= half
+                np.tanh(zr, out=zr)
+                zr *= half
+                zr += half
+                c = hu[2 * HIDDEN :]
+                c *= zr[HIDDEN:]
+                c += g[2 * HIDDEN :]
+                np.tanh(c, out=c)
+                c -= h
+                c *= zr[:HIDDEN]
+                c += h
+                h = c
+                states[t, low : low + HIDDEN] = h
+        weigh = np.matmul(self.p["v"], states)
         weigh[mask.T == 0] = -1e9
         weigh = np.exp(weigh - weigh.max(axis=0))
         weigh /= weigh.sum(axis=0)
-        return np.einsum("tn,tnh,h->n", weigh, states, self.p["o"], optimize=True) + self.p["b"][0]
+        return (np.matmul(self.p["o"], states) * weigh).sum(axis=0) + self.p["b"][0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Back through attention and both layers: (parameter gradients, gradient of x); x: (windows, length, features)."""
@@ -213,76 +249,69 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         return None
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
-    half = rng.permutation(len(docs)) % 2
-    odds = [evidence([docs[i] for i in np.flatnonzero(half != k)], labels[half != k]) for k in (0, 1)]
-    full = evidence(docs, labels)
     common = Counter(w for words in docs for w in set(words))
     vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 3}
-    net = Network.new(vocabulary, full, seed)
-    lexicon = {w: i + 1 for i, w in enumerate(sorted(common))}
-    names = ["", *lexicon]
-    grams = [trigrams(w) for w in names]
+    net = Network.new(vocabulary, seed)
+    names = [PAD, *sorted(common)]
+    lexicon = {w: i for i, w in enumerate(names)}
+    buckets, first, many = runs_of(names)
     own = np.array([vocabulary.get(w, 0) for w in names])
-    side = [strengths(names, o) for o in odds]
-    ids = [np.array([lexicon[w] for w in words], np.int64) for words in docs]
-    owner, rows, mask = window_rows(ids)
+    owner, rows, mask = window_rows([np.array([lexicon[w] for w in words], np.int64) for words in docs])
     if not len(owner):
         return None
-    fold = half[owner]
-    ends = np.cumsum([0, *map(len, grams)])
-    flat = np.fromiter(chain.from_iterable(grams), np.int64, int(ends[-1]))
-
-    def features(sides: list[np.ndarray]) -> list[np.ndarray]:
-        chars = np.add.reduceat(net.p["C"][flat], ends[:-1], axis=0) / np.diff(ends)[:, None]
-        return [np.concatenate([chars, net.p["E"][own], s], axis=1).astype(np.float32) for s in sides]
+    begin = np.searchsorted(owner, np.arange(len(docs) + 1))
+    held = np.flatnonzero(np.diff(begin))
+    y_all = labels[owner].astype(np.float32)
+    moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in net.p.items()}
+    step = 0
 
     def scores() -> np.ndarray:
-        out = np.empty(len(owner), np.float32)
-        for k, x in enumerate(features(side)):
-            pf, pb = net.projected(x)
-            mine = np.flatnonzero(fold == k)
-            for at in range(0, len(mine), 8192):
-                part = mine[at : at + 8192]
-                out[part] = net.windows(pf, pb, rows[part], mask[part])
-        return out
+        sides = net.projected(np.concatenate([pooled(net.p["C"], buckets, first, many), net.p["E"][own]], axis=1))
+        return np.concatenate([net.windows(*sides, rows[at : at + BLOCK], mask[at : at + BLOCK]) for at in range(0, len(owner), BLOCK)])
 
     def highest(s: np.ndarray) -> np.ndarray:
         order = np.lexsort((s, owner))
         return order[np.concatenate([owner[order][1:] != owner[order][:-1], [True]])]
 
-    strength = np.stack([x.sum(axis=1)[rows].max(axis=1) for x in side])[fold, np.arange(len(owner))]
-    moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in net.p.items()}
-    step = 0
-    s = strength
-    for epoch in range(EPOCHS):
-        top = highest(s)
-        other = rng.integers(0, len(owner), len(top))
-        other = other[labels[owner[other]] == 0]
-        use = rng.permutation(np.unique(np.concatenate([top, other])))
-        y_all = labels[owner].astype(np.float32)
+    def drawn() -> np.ndarray:
+        return begin[held] + (rng.random(len(held)) * np.diff(begin)[held]).astype(np.int64)
+
+    def learn(use: np.ndarray, rate: float) -> None:
+        nonlocal step
         for at in range(0, len(use), BATCH):
             part = use[at : at + BATCH]
             r, m = rows[part], mask[part]
             distinct, back = np.unique(r, return_inverse=True)
-            words = [grams[i] for i in distinct]
-            sizes = np.array([len(w) for w in words])
-            cat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
-            chars = np.add.reduceat(net.p["C"][cat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            odd = np.stack([x[r] for x in side])[fold[part], np.arange(len(part))]
-            x = np.concatenate([np.concatenate([chars, net.p["E"][own[distinct]]], axis=1)[back.reshape(r.shape)], odd], axis=2).astype(np.float32)
+            n = many[distinct]
+            ends = np.cumsum(n)
+            cat = buckets[np.arange(ends[-1]) - np.repeat(ends - n - first[distinct], n)]
+            chars = np.add.reduceat(net.p["C"][cat], ends - n, axis=0) / np.sqrt(n, dtype=np.float32)[:, None]
+            x = np.concatenate([chars, net.p["E"][own[distinct]]], axis=1)[back.reshape(r.shape)]
             g, dx = net.gradients(x, m, y_all[part], np.ones(len(part), np.float32))
-            dword = np.zeros((len(distinct), CHAR_DIM + WORD_DIM), np.float32)
-            np.add.at(dword, back.reshape(-1), dx[:, :, : CHAR_DIM + WORD_DIM].reshape(-1, CHAR_DIM + WORD_DIM))
-            g["C"], g["E"] = np.zeros_like(net.p["C"]), np.zeros_like(net.p["E"])
-            np.add.at(g["C"], cat, np.repeat(dword[:, :CHAR_DIM] / sizes[:, None], sizes, axis=0))
-            np.add.at(g["E"], own[distinct], dword[:, CHAR_DIM:])
+            _, dword = summed(dx.reshape(-1, CHAR_DIM + WORD_DIM), back.reshape(-1))
             step += 1
-            for k, p in net.p.items():
+            for k, (met, slope) in (
+                ("C", summed(np.repeat(dword[:, :CHAR_DIM] / np.sqrt(n, dtype=np.float32)[:, None], n, axis=0), cat)),
+                ("E", summed(dword[:, CHAR_DIM:], own[distinct])),
+            ):  # of the tables only rows that were met move
                 a, b = moments[k]
-                a += 0.1 * (g[k] - a)
-                b += 0.001 * (g[k] * g[k] - b)
-                p -= RATE / (1 + epoch) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-6)
-        s = scores()
+                a[met] += 0.1 * (slope - a[met])
+                b[met] += 0.01 * (slope * slope - b[met])
+                net.p[k][met] -= rate * a[met] / (np.sqrt(b[met]) + 1e-4)
+            for k, slope in g.items():
+                a, b = moments[k]
+                a += 0.1 * (slope - a)
+                b += 0.01 * (slope * slope - b)
+                net.p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+
+    for _ in range(max(WARM, -(-WARM_STEPS * BATCH // (2 * len(held))))):
+        learn(rng.permutation(np.concatenate([drawn(), drawn()])), RATE)
+    for turn in range(ROUNDS):
+        top = highest(scores())
+        for _ in range(max(1, -(-ROUND_STEPS * BATCH // (2 * len(held))))):
+            other = drawn()
+            learn(rng.permutation(np.unique(np.concatenate([top, other[labels[owner[other]] == 0]]))), RATE / (1 + turn))
+    s = scores()
     top = highest(s)
     y = labels[owner[top]].astype(float)
     weight = np.where(y == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum()))
@@ -311,31 +340,47 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.rows: dict[str, int] = {"": 0}
-        self.forward, self.backward = self.net.projected(self.net.inputs([""]))
+        self.rows: dict[str, int] = {PAD: 0}
+        self.forward, self.backward = self.net.projected(self.net.inputs([PAD]))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        found = [words_of(t) for t in texts]
+    def _known(self, found: list[list[str]]) -> list[np.ndarray]:
+        """The texts' words as rows of the projected inputs."""
         distinct = set(chain.from_iterable(found))
         new = list(distinct.difference(self.rows))
         if len(self.rows) + len(new) > WORD_CACHE:
             self._reset()
             new = list(distinct)
         if new:
-            f, b = self.net.projected(self.net.inputs(new))
+            f, b = self.net.projected(self.net.inputs([PAD, *new]))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.forward, self.backward = np.concatenate([self.forward, f]), np.concatenate([self.backward, b])
+            self.forward, self.backward = np.concatenate([self.forward, f[1:]]), np.concatenate([self.backward, b[1:]])
+        return [np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for words in found]
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
         best = np.full(len(texts), -np.inf)
-        ids = [np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for words in found]
-        owner, rows, mask = window_rows(ids)
-        for at in range(0, len(owner), 4096):
-            part = slice(at, at + 4096)
-            np.maximum.at(best, owner[part], self.net.windows(self.forward, self.backward, rows[part], mask[part]))
+        some: list[int] = []
+        laid: list[list[str]] = []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            # a text beyond LAID_OUT words comes in parts, which share what their windows share
+            for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), LAID_OUT):
+                some.append(i)
+                laid.append(words[at : at + LAID_OUT + WINDOW - STRIDE])
+                if sum(map(len, laid)) >= LAID_OUT:
+                    self._score(some, laid, best)
+                    some, laid = [], []
+        self._score(some, laid, best)
         a, b = self.net.scale
-        empty = self.net.windows(self.forward, self.backward, np.zeros((1, WINDOW), np.int64), np.ones((1, WINDOW), np.float32))[0]
-        best[~np.isfinite(best)] = min(float(empty), -4.0)
+        best[~np.isfinite(best)] = WORDLESS
         return sigmoid(a * best + b)
 
+    def _score(self, some: list[int], laid: list[list[str]], best: np.ndarray) -> None:
+        owner, rows, mask = window_rows(self._known(laid)) if laid else (np.zeros(0, np.int64),) * 3
+        whose = np.array(some, np.int64)
+        for at in range(0, len(owner), BLOCK):
+            part = slice(at, at + BLOCK)
+            np.maximum.at(best, whose[owner[part]], self.net.windows(self.forward, self.backward, rows[part], mask[part]))
+
 
 def fit(labelled: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", bound: int = SAMPLE_DOCS) -> Network | None:
     """``labelled``: rows that may be learned from, with 0 or 1 in ``label_col``; null texts and labels teach nothing."""
