@@ -91,6 +91,44 @@ def test_html_scores_decide():
     assert long.strip() in html_extract.main_text(f"<body><article><p>Brief note.</p></article><section><h2>Story</h2>{paragraphs}</section></body>")
 
 
+LONG = "Some long text, with points; and more of it, so that it counts. " * 3
+
+
+def test_html_hints_weigh_but_do_not_delete():
+    text = LONG.strip()
+    # an article-less page of comments and a sidebar has no main text
+    assert html_extract.main_text(f"<body><nav><a href=x>Home</a></nav><div class=comments><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>Side text.</p></div></body>") == ""
+    # names that hold a hint among other words are article text inside an article, names made of hints aren't
+    inner = "<div class='search-method'><p>We looked in two lists.</p></div><p class='notice-period'>Two weeks are given.</p>"
+    page = f"<body><article><h1>T</h1><p>{LONG}</p>{inner}<p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div><div class='share'>Share it</div></article></body>"
+    assert html_extract.main_text(page).split("\n") == ["T", text, "We looked in two lists.", "Two weeks are given.", text]
+    # text that scores far above all else is content in spite of its class: the score decides, not the word
+    assert text in html_extract.main_text(f"<body><div><p>Short.</p></div><div class='share'><p>{LONG * 30}</p></div></body>")
+    # quotes count only straight after an equals sign
+    assert html_extract.main_text("<p><a title=it's>one</a> two <a title=that's>three</a> four") == "one two three four"
+    assert html_extract.main_text("<p title='a > b'>one</p><p title=\"it's > c\">two</p><p x=\"open>three</p>") == "one\ntwo\nthree"
+
+
+def test_html_threshold_alone_decides():
+    """No element or class names anything: link lists, counters and a colophon go by their paths' scores, in an article and without one."""
+    links = "<ul>" + "".join(f"<li><a href=/{n}>Place {n}</a></li>" for n in range(9)) + "</ul>"
+    counters = "".join(f"<div><span>{n} views</span></div>" for n in range(6))
+    body = f"<div><ul>{links}</ul></div><section><h2>Head</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>{counters}</section><div><div>Made in 1999</div></div>"
+    want = ["Head", LONG.strip(), "Short one.", LONG.strip()]
+    for page in (f"<body>{body}</body>", f"<body><article>{body}</article></body>"):
+        assert html_extract.main_text(page).split("\n") == want
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(html_extract, "THRESHOLD", 0.0)
+            assert html_extract.main_text(page).split("\n") != want
+
+
+def test_html_on_awkward_rows(spark):
+    long = "<article>" + f"<p>{LONG}</p>" * 4000 + "</article>"
+    frame = spark.createDataFrame([(1, "u", long, "a", "b"), (2, "u", None, "a", "b")], "page_id long, url string, html string, text string, n_chars string")
+    got = {r["page_id"]: r for r in html_extract.extract(frame, keep=["page_id", "url"]).collect()}
+    assert got[1]["n_chars"] == len("\n".join([LONG.strip()] * 4000)) and got[2]["text"] == ""
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (700, 12)).astype(np.float32)
