@@ -196,6 +196,30 @@ def test_warc_keeps_repeated_captures(spark):
         assert len({(r["archive"], r["offset"]) for r in history}) == len(want)
 
 
+def test_warc_on_awkward_rows(spark):
+    """Malformed URLs, one payload on a third of the rows, columns with clashing names, a very long page."""
+    assert warc.url_key("http://[x/a") == "http://[x/a" and warc.url_key("http://example.com\u2100/") == "http://example.com\u2100/"
+    assert warc.url_key("http://u@www.Example.com:80/A?B#c") == "com,example)/a?b"
+    body, long = "<p>" + "x" * 1200 + "</p>", "<p>" + "y" * 3_000_000 + "</p>"
+    pages = [(i, ["http://[x/a", "http://example.com\u2100/", "", "::", "http://ok.example/ü"][i % 5], body if i % 3 == 0 else f"<p>{i}</p>") for i in range(900)] + [(1000, "http://a", long), (1001, "http://b", long)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for name in ("id", "digest", "size", "winner", "n", "refers"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = {r["page_id"]: r for r in warc.read(warc.merge(warc.write(warc.planned(frame)))).collect()}
+    assert len(got) == len(pages)
+    for i, url, html in pages:
+        winner = {body: 897, long: 1001}.get(html)
+        assert got[i]["url"] == url and got[i]["payload_digest"] == hashlib.sha1(html.encode()).hexdigest()
+        assert got[i]["refers_to"] == (winner if winner and i < winner else None)
+        assert got[i]["record_type"] == ("revisit" if winner and i < winner else "response")
+
+
+def test_warc_spans():
+    places = [(0, 10, "a"), (10, 5, "b"), (warc.GAP + 16, 4, "c"), (warc.GAP + 20, warc.SPAN, "d"), (warc.GAP + 20 + warc.SPAN, 3, "e")]
+    assert [[k for _, _, k in x] for x in warc.spans(places[::-1])] == [["a", "b"], ["c"], ["d"], ["e"]]
+    assert list(warc.spans([])) == []
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):

@@ -16,8 +16,9 @@ Reading: the history's rows go to their archives, where each record is read at i
 returned comes from the archive's bytes, and a response's payload is hashed again.
 
 Defined results: null html is the empty payload, a null URL the empty one; of payloads with at least
-``REVISIT_FROM`` bytes the capture with the largest id is the response (all of them, should that id repeat), and captures without an id are
-responses; smaller payloads are always responses.
+``REVISIT_FROM`` bytes the capture with the largest id is the response (all of them, should that id repeat), and captures
+without an id are responses; smaller payloads are always responses; a URL that can't be parsed is its own key; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,25 +35,29 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from urllib.parse import quote, unquote, urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import file_system, pieces_of, saved, scratch_path, text_or_empty, width
+from tidemark.llm.common import HOT_LEAST, HOT_SHARE, file_system, looked_up, pieces_of, saved, scratch_path, text_or_empty, width
 
 REVISIT_FROM = 1000
 FAN_IN = 64
 #: A run's sparse index has an entry for so many captures; splitters are drawn from at most so many entries.
 SPARSE, SPLIT_SAMPLE = 128, 20_000
+#: Captures a merged range is planned for; bytes between records that are read through, and bytes read at once.
+RANGE_CAPTURES, GAP, SPAN = 1_000_000, 1 << 16, 4 << 20
 GZIP_LEVEL = 3
 EPOCH = 1_577_836_800
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def url_key(url: str) -> str:
-    """Sort-friendly form of a URL: host labels reversed, scheme, port and fragment dropped."""
-    parts = urlsplit(url if "://" in url else f"http://{url}")
+    """Sort-friendly form of a URL: host labels reversed, scheme, port and fragment dropped; what can't be parsed stays as it is."""
+    try:
+        parts = urlsplit(url if "://" in url else f"http://{url}")
+    except ValueError:  # such as an unclosed bracket, or a host that normalises to other separators
+        return url
     host = (parts.netloc.rpartition("@")[2].partition(":")[0]).lower()
     host = host.removeprefix("www.")
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + (f"?{parts.query.lower()}" if parts.query else "")
@@ -173,12 +178,22 @@ def read_run(path: str, lo: list | None, hi: list | None) -> Iterator[Entry]:
 
 
 def planned(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, html, size, digest, refers): ``refers`` is the response's id for captures that are revisits."""
+    """(id, url, html, size, digest, refers): ``refers`` is the response's id for captures that are revisits.
+
+    Responses of repeated payloads are found from ids and digests alone.  Payloads are looked up against that
+    table, which only holds digests that repeat; small payloads, which refer to nothing, pass by, and a digest on
+    very many rows meets its response by broadcast.
+    """
     html = text_or_empty(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), text_or_empty(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("digest"))
-    again = rows.filter(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "winner")
-    met = rows.join(again, (F.col("digest") == F.col("same")) & (F.col("size") >= REVISIT_FROM), "left")
-    return met.select("id", "url", "html", "size", "digest", F.when(F.col("id") < F.col("winner"), F.col("winner")).alias("refers"))
+    large = F.col("size") >= REVISIT_FROM
+    again = saved(rows.filter(large).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-again")
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in again.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("digest").collect()]
+    met = looked_up(rows.filter(large), "digest", again.select("digest", "winner"), "left", hot=hot)
+    names = ["id", "url", "html", "size", "digest"]
+    met = met.select(*names, F.when(F.col("id") < F.col("winner"), F.col("winner")).alias("refers"))
+    return met.unionByName(rows.filter(~large).select(*names, F.lit(None).cast("long").alias("refers")))
 
 
 def write(records: DataFrame, folder: str | None = None) -> DataFrame:
@@ -221,7 +236,8 @@ def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_I
     fs.create_dir(at, recursive=True)
     draw = manifest.select(F.explode("sparse").alias("s"))
     points = sorted(json.loads(r[0]) for r in draw.orderBy(F.xxhash64("s")).limit(SPLIT_SAMPLE).collect())
-    many = min(ranges or width(spark), max(1, len(points)))
+    captures = manifest.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
+    many = min(ranges or max(width(spark), -(-captures // RANGE_CAPTURES)), max(1, len(points)))
     cuts = [points[len(points) * i // many] for i in range(1, many)]
     bounds = [(lo, hi) for lo, hi in zip([None, *cuts], [*cuts, None], strict=True) if lo != hi or lo is None]
     last = len(bounds)
@@ -266,9 +282,9 @@ def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_I
         parts = [(x, min(x + step, b)) for a, b in parts for step in [max(1, -(-(b - a) // fan_in))] for x in range(a, b, step)]
     final = [(0, r, r + 1, [holding(g, r, r + 1) for g in groups]) for r in range(last)]
     history = saved(tasks(final).mapInArrow(finish, HISTORY), "warc-history")
-    met, wanted = history.count(), manifest.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
-    if met != wanted:
-        raise ValueError(f"the history has {met} captures, the manifest {wanted}")
+    met = history.count()
+    if met != captures:
+        raise ValueError(f"the history has {met} captures, the manifest {captures}")
     return history
 
 
@@ -281,28 +297,48 @@ def _history(r: int, place: int, entries: list[Entry]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r] * len(entries), pa.int32()), pa.array(range(place, place + len(entries)), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["range", "place", "url_key", "stamp", "id", "archive", "offset", "length"])
 
 
+def spans(places: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """Records (offset, length, key) in order of place, parted where a gap or a span would grow too large for one read."""
+    held: list[tuple[int, int, str]] = []
+    for place in sorted(places):
+        if held and (place[0] - held[-1][0] - held[-1][1] > GAP or place[0] + place[1] - held[0][0] > SPAN):
+            yield held
+            held = []
+        held.append(place)
+    if held:
+        yield held
+
+
 def read(history: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, url_key, stamp) of the history's captures."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, url_key, stamp) of the history's captures.
+
+    Records that are neighbours in an archive come with one read.
+    """
 
     def run(batches):
         for b in batches:
-            pdf = b.to_pandas()
+            found: dict[str, list] = {}
+            for key, archive, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.setdefault(archive, []).append((offset, length, key))
             out: list[dict] = []
-            for archive, rows in pdf.groupby("archive", sort=False):
+            for archive, places in found.items():
                 files, inner = file_system(archive)
                 with files.open_input_file(inner) as f:
-                    for key, offset, length in rows.sort_values("offset")[["url_key", "offset", "length"]].itertuples(index=False):
-                        f.seek(offset)
-                        got = parse(zlib.decompress(f.read(length), 31))
-                        if got["kind"] == "response":
-                            digest, size = hashlib.sha1(got["payload"]).hexdigest(), len(got["payload"])
-                            if digest != got["digest"] or size != got["size"]:
-                                raise ValueError(f"{archive} at {offset}: payload does not match its digest")
-                        out.append({"page_id": got["page_id"], "payload_bytes": got["size"], "payload_digest": got["digest"], "record_type": got["kind"], "refers_to": got["refers"], "url": got["url"], "url_key": key, "stamp": got["stamp"]})
-            frame = pd.DataFrame(out, columns=READ_NAMES).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
-            yield pa.RecordBatch.from_pandas(frame, schema=READ_SCHEMA, preserve_index=False)
-
-    return history.select("url_key", "archive", "offset", "length").repartition(width(history.sparkSession), "archive").mapInArrow(run, READ)
+                    for span in spans(places):
+                        begin = span[0][0]
+                        f.seek(begin)
+                        raw = f.read(span[-1][0] + span[-1][1] - begin)
+                        for offset, length, key in span:
+                            got = parse(zlib.decompress(raw[offset - begin : offset - begin + length], 31))
+                            if got["kind"] == "response":
+                                digest, size = hashlib.sha1(got["payload"]).hexdigest(), len(got["payload"])
+                                if digest != got["digest"] or size != got["size"]:
+                                    raise ValueError(f"{archive} at {offset}: payload does not match its digest")
+                            out.append({"page_id": got["page_id"], "payload_bytes": got["size"], "payload_digest": got["digest"], "record_type": got["kind"], "refers_to": got["refers"], "url": got["url"], "url_key": key, "stamp": got["stamp"]})
+            yield pa.RecordBatch.from_pylist(out, schema=READ_SCHEMA)
+
+    places = history.select("url_key", "archive", "offset", "length")
+    return places.repartition(width(history.sparkSession), "archive").sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
 
 
 READ_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "stamp"]
