@@ -384,23 +384,70 @@ def test_windows_cover_every_word():
         assert set(rows[mask > 0].tolist()) == set(range(1, n + 1)) and (owner == 0).all()
 
 
-def test_packing(spark):
+def test_packing_plans():
     rng = np.random.default_rng(6)
-    lengths = rng.integers(1, 20_000, 3000)
-    bins, offsets, capacity = packing.best_fit(np.minimum(lengths, 16384))
-    used = np.bincount(bins, weights=np.minimum(lengths, 16384))
-    assert (used <= capacity).all() and set(capacity) <= set(packing.CAPACITIES)
-    assert all(c == min(packing.CAPACITIES) or u > packing.CAPACITIES[packing.CAPACITIES.index(c) - 1] for u, c in zip(used, capacity, strict=True))
-    assert used.sum() / capacity.sum() > 0.97
-    rows = [*AWKWARD, (20, "x" * 70_000)]
-    out = packing.pack(docs_of(spark, rows), group_items=5).toPandas()
-    assert out["n_tokens"].sum() == sum(len((t or "").encode()) + 1 for _, t in rows)
-    for _, b in out.groupby("bin_id"):
-        b = b.sort_values("bin_offset")
-        assert b["bin_offset"].tolist() == (b["n_tokens"].cumsum() - b["n_tokens"]).tolist() and b["n_tokens"].sum() == b["bin_used"].iloc[0] <= b["bin_capacity"].iloc[0]
-    long = out[out["doc_id"] == 20].sort_values("piece")
-    assert long["start"].tolist() == (long["n_tokens"].cumsum() - long["n_tokens"]).tolist()
-    assert packing.pack(docs_of(spark, [])).count() == 0
+    for lengths in (rng.integers(1, 16385, 3000), rng.integers(1, 300, 4000), np.full(500, 700), np.array([16384] * 5), np.zeros(0, np.int64)):
+        bins, offsets, capacity = packing.best_fit(lengths)
+        used = np.bincount(bins, weights=lengths, minlength=len(capacity)).astype(int)
+        assert (used <= capacity).all() and set(capacity) <= set(packing.CAPACITIES)
+        assert all(c == min(packing.CAPACITIES) or u > packing.CAPACITIES[packing.CAPACITIES.index(c) - 1] for u, c in zip(used, capacity, strict=True))
+        order = np.lexsort((offsets, bins))
+        begin = np.concatenate([[True], bins[order][1:] != bins[order][:-1]]) if len(order) else np.zeros(0, bool)
+        assert (offsets[order][begin] == 0).all() and (offsets[order][1:] == (offsets + lengths)[order][:-1])[~begin[1:]].all()
+        # no single size to open does better than the plan that was taken
+        for sizes in ([c] for c in packing.CAPACITIES if len(lengths) and c >= lengths.max()):
+            assert packing.total_cost(capacity) <= packing.total_cost(packing.best_fit(lengths, tuple(sizes))[2]) + 1e-6
+
+
+def cheapest(lengths, sizes):
+    """The least cost of any way to put a few lengths into bins."""
+
+    def go(i, bins):
+        if i == len(lengths):
+            return sum(packing.cost(min(c for c in sizes if c >= u)) for u in bins)
+        moves = [[*bins[:j], u + lengths[i], *bins[j + 1 :]] for j, u in enumerate(bins) if u + lengths[i] <= max(sizes)]
+        return min(go(i + 1, m) for m in [*moves, [*bins, lengths[i]]])
+
+    return go(0, [])
+
+
+def test_packing_is_near_the_optimum():
+    rng, ratios = np.random.default_rng(1), []
+    for n in range(90):
+        lengths = rng.integers(1, (1100, 9000, 16385)[n % 3], rng.integers(1, 7))
+        ratios.append(packing.total_cost(packing.best_fit(lengths)[2]) / cheapest(lengths.tolist(), packing.CAPACITIES))
+    assert min(ratios) > 0.999 and max(ratios) < 1.2 and np.mean(np.array(ratios) < 1.0001) > 0.9
+
+
+def test_packing_round_trip(spark):
+    """Ids in the sequences, put together again, are the library's for every text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCAB)
+    rows = [*AWKWARD, (20, "ab c! " * 20_000), (20, "twice"), (21, "x <|endoftext|> y")]
+    frame = docs_of(spark, rows).withColumn("bin_id", F.lit("clash")).withColumn("piece", F.lit("clash"))
+    for options in ({}, {"group_items": 3, "capacities": (8, 32, 64)}):
+        made = packing.sequences(frame, VOCAB, **options).collect()
+        texts = {}
+        for r in made:
+            ids = np.frombuffer(r["ids"], "<u2").tolist()
+            assert len(ids) == r["bin_used"] <= r["bin_capacity"] and sum(p["n_tokens"] for p in r["pieces"]) == r["bin_used"]
+            for p in r["pieces"]:
+                texts.setdefault(p["id"], []).append((p["piece"], p["start"], ids[p["bin_offset"] : p["bin_offset"] + p["n_tokens"]]))
+        want = sorted([*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in rows if i not in (6, 20, None))
+        assert sorted(sum((x for _, _, x in sorted(v)), []) for k, v in texts.items() if k not in (6, 20, None)) == want
+        assert sum(len(x) for _, _, x in texts[20]) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in rows if i == 20)
+        out = packing.pack(frame, VOCAB, **options).toPandas()
+        pieces = [(p["id"], p["piece"], r["bin_id"], p["bin_offset"]) for r in made for p in r["pieces"]]
+        assert len(out) == len(pieces) and out["bin_id"].nunique() == len(made)
+        for _, b in out.groupby("bin_id"):
+            b = b.sort_values("bin_offset")
+            assert b["bin_offset"].tolist() == (b["n_tokens"].cumsum() - b["n_tokens"]).tolist() and b["n_tokens"].sum() == b["bin_used"].iloc[0] <= b["bin_capacity"].iloc[0]
+        one = out[out["doc_id"] == 21].sort_values("piece")
+        assert one["start"].tolist() == (one["n_tokens"].cumsum() - one["n_tokens"]).tolist()
+        if not options:
+            assert one["ids_crc32"].tolist() == [zlib.crc32(np.array([*t.encode("x <|endoftext|> y", add_special_tokens=False).ids, 2], "<u4").tobytes())]
+    assert packing.pack(docs_of(spark, []), VOCAB).count() == 0
 
 
 def test_exact_dedup(spark):
