@@ -37,8 +37,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's pieces with their places in sequences of several permitted lengths."""
-    return packing.pack(docs)
+    """Every kept document's token ids, packed into sequences of several permitted lengths: one row a piece, with its
+    place.  A document longer than the largest sequence is several pieces; an empty table gives none."""
+    return packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [
