@@ -129,21 +129,33 @@ def test_html_on_awkward_rows(spark):
     assert got[1]["n_chars"] == len("\n".join([LONG.strip()] * 4000)) and got[2]["text"] == ""
 
 
+def brute_top(vectors, asked, k):
+    """{(query, rank, id, score)} by scoring everything; ``vectors``: (id, integers), missing components being zero."""
+    out = set()
+    for q, v in asked:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q)[:k]
+        out |= {(q, n + 1, i, -m) for n, (m, i) in enumerate(scored)}
+    return out
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (700, 12)).astype(np.float32)
     x[10:40] = x[10]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0] * 11), (902, [float("nan")] * 12), (903, [None] * 12), (None, [0.1] * 12), (904, [float("inf")] * 12)]
-    use = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = topk.search(use, use.filter("id % 50 = 0"), 5, block_rows=128, query_rows=8).collect()
-    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    want = set()
-    for q in range(0, 700, 50):
-        s = v @ v[q]
-        best = sorted((-int(s[i]), i) for i in range(700) if i != q)[:5]
-        want |= {(q, k + 1, i, -m) for k, (m, i) in enumerate(best)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
-    assert topk.search(use.limit(0), use.limit(0), 5).count() == 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (902, [float("nan")] * 12), (903, [None] * 12), (None, [0.1] * 12), (904, [float("inf")] * 12)]
+    rows += [(901, [1.0] * 11), (950, [0.5] * 3), (1000, [2.0] * 14), (1050, [])]  # other lengths take part
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("q", F.lit(1)).withColumn("v", F.lit(2))
+    use = topk.usable(frame)
+    sound = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64).tolist()) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    want = brute_top(sound, [(i, v) for i, v in sound if i % 50 == 0], 5)
+    for block_rows in (128, 8192):
+        got = topk.search(use, use.filter("id % 50 = 0"), 5, block_rows=block_rows).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    few = use.filter("id < 3")  # fewer candidates than k
+    assert {tuple(r) for r in topk.search(few, few, 5, block_rows=1).collect()} == brute_top(sound[:3], sound[:3], 5)
+    assert topk.search(use.limit(0), use.limit(0), 5).count() == 0 and topk.search(use.limit(0), use, 5).count() == 0
+    twice = use.filter("id < 60").union(use.filter("id = 50"))
+    assert topk.search(twice, twice.filter("id = 50"), 2).count() == 4
 
 
 def test_topk_walks_until_the_bound():

@@ -6,27 +6,28 @@ positive and from the bottom where it is negative.  Every row met is scored in f
 met can beat the sum of the query's components times the values the walk has reached; once that
 bound is below the query's k-th best score, the block is done.
 
-Queries are a stated set.  They meet the blocks in a grid (blocks of queries by blocks of rows), each cell
-keeps k rows a query, and a query's winners are the best k of its cells', reduced in two levels so
-that no group grows with the number of blocks alone.
-
-Scores are exact integers: components are quantised to floor(scale * x).  Vectors that are null,
-of a length other than the most common one, or hold null or non-finite components take no part.  A row is
-excluded from the results of queries with its own id; ties go to the smaller id; rows that repeat
-an id are candidates each on their own.
+Queries are a stated set.  A block's lists are built once, by the one task that has its rows, and the queries
+stream past them.  Each query meets one block first; its k-th best score there is the floor that it takes to all
+other blocks, where rows below it are neither waited for nor given out.  A query's winners are the best k of what the
+blocks gave out, reduced in two levels so that no group grows with the number of blocks alone.
+
+Scores are exact integers: components are quantised to floor(scale * x).  Vectors that are null or hold null or
+non-finite components take no part, nor do rows without an id.  Among vectors of different lengths the missing
+components count as zero.  A row is excluded from the results of queries with its own id; ties go to the smaller id;
+rows that repeat an id are candidates each on their own, and queries each with a result of its own; other columns are
+ignored, whatever their names; no queries or no candidates give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import Scratch
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
 FIRST_DEPTH, GROW = 16, 4
 
 
@@ -85,35 +86,83 @@ def usable(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(scale))).alias("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, id, score) from two (id, v) frames of :func:`usable`."""
-    vectors = saved(vectors, "topk-vectors")
-    queries = saved(queries, "topk-queries")
-    # of equal lengths only: the most common one, the smaller on a tie
-    lengths = sorted(((-r["n"], r["size"]) for r in vectors.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()))
-    size = lengths[0][1] if lengths else 0
-    vectors, queries = vectors.filter(F.size("v") == size), queries.filter(F.size("v") == size)
-    n, m = vectors.count(), queries.count()
-    rows, cols = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    spread = lambda parts: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-    left = vectors.withColumn("block", spread(rows)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    right = queries.withColumn("q", F.monotonically_increasing_id()).withColumn("part", spread(cols)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-
-    def cell(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(data) and len(asked):
-            ids = data["id"].to_numpy(np.int64)
-            order = np.argsort(ids, kind="stable")
-            lists = SortedLists(ids[order], np.stack(data["v"].to_numpy())[order])
-            for own, q, v in zip(asked["id"].to_numpy(np.int64), asked["q"], asked["v"], strict=True):
-                score, found = lists.top(np.asarray(v, np.float64), int(own), k, -np.inf)
-                best = np.lexsort((found, -score))[:k]
-                out.append(pd.DataFrame({"q": q, "query_id": own, "id": found[best], "score": score[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "query_id": [], "id": [], "score": []}).astype("int64")
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(cell, "q long, query_id long, id long, score long")
+FOUND = "q long, query_id long, id long, score long"
+
+
+def _padded(values: pa.Array, size: int) -> np.ndarray:
+    """(rows, size) of a list array, zeros behind the shorter lists."""
+    lengths = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), size), np.float64)
+    out[np.arange(size) < lengths[:, None]] = values.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _met(stream: DataFrame, size: int, k: int) -> DataFrame:
+    """What each block gives out for its queries.  ``stream``: (block, query, q, id, floor, v), a block's rows before its queries."""
+
+    def run(batches):
+        block, lists, rows = None, None, []
+        for b in batches:
+            cols = {name: b.column(name) for name in b.schema.names}
+            blocks, asked = cols["block"].to_numpy(), cols["query"].to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asked.astype(int)) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(blocks)], strict=True):
+                if lo == hi:
+                    continue
+                if blocks[lo] != block:
+                    block, lists, rows = blocks[lo], None, []
+                ids = cols["id"].to_numpy()[lo:hi]
+                vectors = _padded(cols["v"].slice(lo, hi - lo), size)
+                if not asked[lo]:
+                    rows.append((ids, vectors))
+                    continue
+                if lists is None and rows:
+                    all_ids = np.concatenate([r[0] for r in rows])
+                    order = np.argsort(all_ids, kind="stable")
+                    lists, rows = SortedLists(all_ids[order], np.concatenate([r[1] for r in rows])[order]), []
+                if lists is None:
+                    continue
+                out = []
+                for own, q, floor, v in zip(ids.tolist(), *(cols[c].slice(lo, hi - lo).to_pylist() for c in ("q", "floor")), vectors, strict=True):
+                    score, found = lists.top(v, own, k, -np.inf if floor is None else floor)
+                    best = np.lexsort((found, -score))[:k]
+                    out.append((np.full(len(best), q), np.full(len(best), own), found[best], score[best].astype(np.int64)))
+                yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["q", "query_id", "id", "score"])
+
+    return stream.mapInArrow(run, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(q, query_id, best): the k best (minus score, id) of each query, in order."""
     pair = F.struct((-F.col("score")).alias("minus"), F.col("id"))
     some = found.groupBy("q", "query_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list(pair)), 1, k).alias("some"))
-    best = some.groupBy("q", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("best"))
+    return some.groupBy("q", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("best"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, id, score) from two (id, v) frames of :func:`usable`."""
+    scratch = Scratch(vectors.sparkSession, "topk")
+    vectors = scratch.save(vectors.select("id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    queries = scratch.save(queries.select("id", "v", F.monotonically_increasing_id().alias("q")), "queries")
+    n, widest = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    size = max(widest, queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
+    blocks = max(1, -(-n // block_rows))
+    block = F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int")
+    none = F.lit(None).cast("long")
+    rows = vectors.select(block.alias("block"), F.lit(False).alias("query"), none.alias("q"), "id", none.alias("floor"), "v")
+    home = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+
+    def streamed(asked: DataFrame) -> DataFrame:
+        return rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
+
+    at_home = queries.select(home.alias("block"), F.lit(True).alias("query"), "q", "id", none.alias("floor"), "v")
+    first = scratch.save(_met(streamed(at_home), size, k), "home")
+    if blocks == 1:
+        best = _best(first, k)
+    else:
+        kth = first.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("many")).select("q", F.when(F.col("many") >= k, F.col("least")).alias("floor"))
+        others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x != home)
+        abroad = queries.join(kth, "q", "left").select(F.explode(others).alias("block"), F.lit(True).alias("query"), "q", "id", "floor", "v")
+        best = _best(first.unionByName(_met(streamed(abroad), size, k)), k)
     ranked = best.select("query_id", F.posexplode("best").alias("pos", "x"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.minus")).alias("score"))
