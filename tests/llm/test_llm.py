@@ -32,7 +32,7 @@ def test_bpe_round_trip_and_chunks(spark):
     enc = bpe.codec(RANKS)[0]
     long = " ".join(random.Random(1).choice(["alpha", "don't", "  ", "\n\n", "naïve", "123", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "!?"]) for _ in range(4000))
     rows = [*AWKWARD, (10, long), (11, "b" * 5000)]
-    coded = bpe.encode_documents(docs_of(spark, rows), RANKS, chunk_chars=400, overlap=60, spread_chars=2000)
+    coded = bpe.encode_documents(docs_of(spark, rows), RANKS, chunk_chars=400, overlap=60, spread_chars=2000, spread_chunk=500, spread_overlap=40)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["ids"])) for r in coded.collect())
     want = sorted((-1 if i is None else i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
     assert got == want
@@ -48,7 +48,29 @@ def test_bpe_stitching_random():
     for _ in range(400):
         alphabet = rng.choice(["ab '\n", "a1.  \n\t's'reé", "abc", " \n", "'lvem dt", "😀a 　"])
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300)))
-        assert bpe.encode_text(text, RANKS, rng.choice([24, 40, 64]), rng.choice([10, 16])).tolist() == enc.encode_ordinary(text)
+        chunk, overlap = rng.choice([24, 40, 64]), rng.choice([10, 16])
+        assert bpe.encode_text(text, RANKS, chunk, overlap).tolist() == enc.encode_ordinary(text)
+        # boundaries inside the overlaps are enough to stitch by
+        pattern, cut = bpe.codec(RANKS)[2], bpe.chunks(text, chunk, overlap)
+        found = [(at, bpe.starts(c, at + len(c) == len(text), pattern)) for at, c in cut]
+        few = [(at, bpe.at_edges(own, len(c), overlap)) for (at, own), (_, c) in zip(found, cut, strict=True)]
+        scan = lambda a, b, text=text: bpe.scan_on(text, a, b, pattern)
+        ids = []
+        bounds = [*bpe.stitch(few, scan), len(text)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            ids += enc.encode_ordinary(text[a:b])
+        assert ids == enc.encode_ordinary(text)
+
+
+def test_bpe_query_equals_the_library(spark):
+    enc, d = bpe.codec(RANKS)[0], "/root/testdata/sf0.001"
+    docs = pd.read_parquet(f"{d}/documents.parquet")
+    assert (docs["text"].str.len() > bpe.CHUNK_CHARS).mean() > 0.4  # ordinary texts are chunked
+    want = {}
+    for i, text in zip(docs["doc_id"], docs["text"], strict=True):
+        ids = enc.encode_ordinary(text or "")
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op1_bpe(spark, d).collect()} == want
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">

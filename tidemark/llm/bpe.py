@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than ``chunk_chars`` is cut into chunks that overlap.  Each chunk is
+A text longer than ``chunk_chars`` is cut into chunks that overlap; ``CHUNK_CHARS`` is so small that most
+documents are.  Each chunk is
 pre-tokenised on its own, beginning at an arbitrary character, so its first pre-tokens
 may be wrong.  The pre-token pattern looks only ahead, never back: once two scans share
 one boundary, all later boundaries of the two agree.  Stitching walks the chunks from
@@ -10,7 +11,7 @@ text is thereby cut into segments that begin and end at true pre-token boundarie
 every segment can be encoded apart from the others.
 
 Texts up to ``spread_chars`` go through all steps inside one task.  Longer ones are
-dealt out chunk by chunk over the cluster, stitched from their boundaries alone,
+dealt out chunk by chunk over the cluster, stitched from the boundaries inside their overlaps,
 and encoded segment by segment, so one huge text does not hold one task.
 
 Defined results: a null text counts as empty; an empty text has no ids; rows with equal
@@ -20,6 +21,7 @@ or null ids are all kept, one result for each; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces_of, saved, text_or_empty, width
 
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 2_048
+CHUNK_CHARS = 1_024
+OVERLAP_CHARS = 96
+#: Chunks of texts that are dealt out: larger, as each is a row of its own.
+SPREAD_CHUNK, SPREAD_OVERLAP = 32_768, 2_048
 SPREAD_CHARS = 100_000
 #: A match that ends so close to a chunk's end may be cut short by it: no alternative of the
 #: pattern looks further ahead than this many characters past its own match.
@@ -68,12 +72,15 @@ def starts(chunk: str, last: bool, pattern: regex.Pattern) -> np.ndarray:
 
     The final entry is where the first unsure pre-token begins (or the chunk's length, in the last chunk).
     """
-    out, sure = [0], len(chunk) if last else len(chunk) - MARGIN
-    for m in pattern.finditer(chunk):
-        if m.end() > sure:
-            break
-        out.append(m.end())
-    return np.asarray(out, dtype=np.int64)
+    ends = [0, *[m.end() for m in pattern.finditer(chunk)]]
+    if not last:
+        del ends[bisect.bisect_right(ends, len(chunk) - MARGIN) :]
+    return np.asarray(ends, dtype=np.int64)
+
+
+def at_edges(own: np.ndarray, size: int, overlap: int) -> np.ndarray:
+    """Those of a chunk's boundaries that lie in an overlap, and its last one: all that stitching reads."""
+    return own[(own <= overlap) | (own >= size - overlap) | (own == own[-1])]
 
 
 def stitch(parts: list[tuple[int, np.ndarray]], rescan) -> list[int]:
@@ -136,7 +143,7 @@ def decode_ids(ids, ranks_path: str) -> bytes:
     return b"".join(map(codec(ranks_path)[1].__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, spread_chars: int = SPREAD_CHARS, spread_chunk: int = SPREAD_CHUNK, spread_overlap: int = SPREAD_OVERLAP) -> DataFrame:
     """(id_col, ids): one row per input row, ids as packed little-endian unsigned 32-bit integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
@@ -147,7 +154,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id"
 
     size = F.char_length("text")
     near = rows.filter(size <= spread_chars).mapInArrow(whole, "id long, ids binary")
-    far = _spread(rows.filter(size > spread_chars), ranks_path, chunk_chars, overlap)
+    far = _spread(rows.filter(size > spread_chars), ranks_path, spread_chunk, spread_overlap)
     return near.unionByName(far).withColumnRenamed("id", id_col)
 
 
@@ -170,7 +177,7 @@ def _spread(rows: DataFrame, ranks_path: str, chunk_chars: int, overlap: int) ->
     def scan(batches):
         pattern = codec(ranks_path)[2]
         for b in batches:
-            found = [starts(c, last, pattern).tolist() for c, last in zip(b.column("chunk").to_pylist(), b.column("last").to_pylist(), strict=True)]
+            found = [at_edges(starts(c, last, pattern), len(c), overlap).tolist() for c, last in zip(b.column("chunk").to_pylist(), b.column("last").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("key"), b.column("at"), pa.array(found, pa.list_(pa.int64()))], ["key", "at", "own"])
 
     pieces = keyed.select("key", "text").mapInArrow(cut, "key string, at long, chunk string, last boolean").repartition(n, "key", "at")
