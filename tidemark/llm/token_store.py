@@ -20,7 +20,7 @@ task that runs twice does no harm.
 Defined results: a null text counts as empty and has the end id alone; records of a repeated key lie side by
 side, in order of their texts' hashes; a record without a key is stored first and can be listed, not looked up;
 a text's ids are the library's by its defaults, so an added token of the tokenizer's file that stands in a text
-(``<|endoftext|>``) has its own id.
+(``<|endoftext|>``) has its own id; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ MAGIC = b"TIDETOK1"
 FOOTER = struct.Struct("<6Q8s")  # id bytes, records, null keys, distinct keys, ids, hash bytes, magic
 #: Pre-tokens whose ids a worker keeps at most.
 PIECE_CACHE, JOINED = 700_000, 512
+#: Text a shard is planned for, in bytes, so that its sections fit in a task whatever the table's size; ids read at once.
+SHARD_BYTES, READ_IDS = 256 << 20, 1 << 20
 #: The pre-token pattern in terms of the ``re`` module, which scans faster; the same where a text has none of ``ODD``.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -184,13 +186,27 @@ class Shard:
         hit = (at >= 0) & (held[:, 0] == fingerprints(hashes))
         return np.where(hit, held[:, 1], 0).astype(np.int64), np.where(hit, held[:, 2], 0).astype(np.int64)
 
-    def ids(self, record: int) -> np.ndarray:
-        self.source.seek(int(self.starts[record]) * self.id_bytes)
-        return np.frombuffer(self.source.read(int(self.lengths[record]) * self.id_bytes), f"<u{self.id_bytes}")
+    def run(self, first: int, many: int) -> list[np.ndarray]:
+        """The ids of ``many`` records that lie side by side, by one read."""
+        begin, ends = int(self.starts[first]), (self.starts[first : first + many] + self.lengths[first : first + many]).tolist()
+        self.source.seek(begin * self.id_bytes)
+        ids = np.frombuffer(self.source.read((ends[-1] - begin) * self.id_bytes), f"<u{self.id_bytes}")
+        return [ids[a - begin : b - begin] for a, b in zip([begin, *ends], ends, strict=False)]
+
+    def runs(self, records: list[int]):
+        """(first, many) of the runs of neighbours in ``records``, none longer than one read should be."""
+        at = 0
+        while at < len(records):
+            first, many, size = records[at], 1, int(self.lengths[records[at]])
+            while at + many < len(records) and records[at + many] == first + many and size < READ_IDS:
+                size += int(self.lengths[first + many])
+                many += 1
+            yield first, many
+            at += many
 
     def get(self, key: int) -> list[np.ndarray]:
         first, many = self.find(np.array([key]))
-        return [self.ids(int(first[0]) + i) for i in range(int(many[0]))]
+        return self.run(int(first[0]), int(many[0])) if many[0] else []
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +216,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, en
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    order = rows.repartitionByRange(shards or width(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(width(spark), -(-size // SHARD_BYTES))
+    order = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches):
         coder, writer, stream = encoder(tokenizer_path), None, None
@@ -243,11 +262,11 @@ def read(manifest: DataFrame) -> DataFrame:
                     records = [*range(shard.nulls), *(r for f, m in zip(first[new], many[new], strict=True) for r in range(f, f + m))]
                     for at in range(0, len(records), 4096):
                         part = records[at : at + 4096]
-                        crc = [zlib.crc32(shard.ids(r).astype("<u4").tobytes()) for r in part]
+                        crc = [zlib.crc32(ids.astype("<u4")) for f, m in shard.runs(part) for ids in shard.run(f, m)]
                         keys = [None if r < shard.nulls else int(shard.keys[r]) for r in part]
                         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(base + shard.starts[part], pa.int64()), pa.array(shard.lengths[part].astype(np.int64)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "base").repartition(width(manifest.sparkSession), "path").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "base").repartition(max(width(manifest.sparkSession), manifest.count()), "path").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest: DataFrame, wanted: DataFrame, *, key_col: str = "doc_id") -> DataFrame:
@@ -263,7 +282,7 @@ def fetch(manifest: DataFrame, wanted: DataFrame, *, key_col: str = "doc_id") ->
                 with files.open_input_file(inner) as source:
                     shard = Shard(source)
                     first, many = shard.find(mine)
-                    got = [(int(k), shard.ids(r).astype(np.int64).tolist()) for k, f, m in zip(mine, first, many, strict=True) for r in range(f, f + m)]
+                    got = [(int(k), ids.astype(np.int64).tolist()) for k, f, m in zip(mine, first, many, strict=True) if m for ids in shard.run(int(f), int(m))]
                 yield pa.record_batch([pa.array([k for k, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["key", "ids"])
 
     keys = wanted.select(F.col(key_col).cast("long").alias("key")).filter("key is not null").distinct()
