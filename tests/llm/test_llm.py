@@ -343,6 +343,33 @@ def test_language_mixture():
     assert langid.Identifier(langid.NgramModel.fit([])).predict(["word"]) == (["und"], [0.0])
 
 
+def test_language_em_stands_still():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 40, 300, 7])
+    odds = rng.random((sizes.sum(), 3)).astype(np.float32)
+    odds /= odds.max(axis=1, keepdims=True)
+    starts = np.cumsum(sizes) - sizes
+    share, fit = langid._proportions(odds, starts, sizes, np.ones((4, 3)))
+    for d in range(4):
+        x, p = odds[starts[d] : starts[d] + sizes[d]].astype(float), np.full(3, 1 / 3)
+        for _ in range(3000):
+            j = x * p
+            p = (j / j.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert fit[d] > np.log((x * p).sum(axis=1)).sum() - 0.05  # as likely as the fixed point, up to the tolerance
+
+
+def test_language_on_awkward_rows(spark):
+    rows = [*AWKWARD, (20, "the house and the water of that " * 4000)]
+    frame = docs_of(spark, rows).withColumn("lang_pred", F.lit("x")).withColumn("gram", F.lit("x")).withColumn("n", F.lit("x"))
+    model = langid.fit(docs_of(spark, [(i, "the house and the water of that " * 5) for i in range(4)] + AWKWARD))
+    assert model.languages == ["en"]
+    got = langid.identify(frame, model, keep=["doc_id"]).toPandas()
+    assert len(got) == len(rows) and got["score"].between(0, 1).all() and got["doc_id"].isna().sum() == 2 and (got["doc_id"] == 6).sum() == 2
+    assert set(got.loc[got["doc_id"].isin([1, 2, 3, 9]), "lang_pred"]) == {"und"} and set(got.loc[got["doc_id"] == 20, "lang_pred"]) == {"en"}
+    assert langid.identify(frame.limit(0), model, keep=["doc_id"]).count() == 0
+    assert langid.fit(frame.limit(0)).languages == []
+
+
 def toxic_sample():
     rng = random.Random(8)
     vocab = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['', 'ing', 'er', 'on'])}" for _ in range(300)]
@@ -499,7 +526,10 @@ def test_exact_dedup(spark):
         ids = groups[norm(t)]
         want.setdefault(i, set()).add((norm(t), min((x for x in ids if x is not None), default=None), len(ids)))
     assert got == want
-    kept = sorted(r["doc_id"] for r in exact_dedup.keep_first(docs_of(spark, rows)).collect())
+    clash = docs_of(spark, rows).withColumn("_digest", F.lit("mine")).withColumn("winner", F.lit("w")).withColumn("n", F.lit("n"))
+    stay = exact_dedup.keep_first(clash).collect()
+    assert {(r["_digest"], r["winner"], r["n"]) for r in stay} == {("mine", "w", "n")}
+    kept = sorted(r["doc_id"] for r in stay)
     assert kept == sorted(min(x for x in ids if x is not None) for ids in groups.values())
     assert exact_dedup.dedup(docs_of(spark, [])).count() == 0
 

@@ -12,7 +12,8 @@ For one table, rows up to the middle of its id range are history and the rest is
 so a group's smallest id, which wins, is in history whenever any of the group is.
 
 Defined results: rows with a null id are kept and grouped like any other; a null id wins only
-where its group has no other.  Rows with equal ids and equal texts are all returned.
+where its group has no other.  Rows with equal ids and equal texts are all returned.  Other columns are ignored,
+whatever their names; :func:`keep_first` hands them through.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, text_or_empty
+from tidemark.llm.common import HOT_LEAST, HOT_SHARE, Scratch, looked_up, text_or_empty
 from tidemark.llm.mph import MinimalPerfectHash
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -117,24 +118,38 @@ def look_up(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     return left.cogroup(right).applyInPandas(run, "digest binary, winner long, n long, member boolean")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, winner, n, member) of every row, dropped ones too."""
-    rows = saved(digests(docs, id_col=id_col, text_col=text_col), "digests")
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(id, digest, winner, n, member) of every row, dropped ones too.
+
+    A digest on very many rows meets its group by broadcast, all others by a shuffle of digests.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "digests")
+    rows = scratch.save(digests(docs, id_col=id_col, text_col=text_col), "rows")
     lo, hi, total = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     middle = 0 if lo is None else (lo + hi) // 2
     shards = max(12, -(-total // SHARD_KEYS))
     old = F.coalesce(F.col("id") <= middle, F.lit(False))
-    index = saved(build_index(_winners(rows.filter(old)), shards), "digest-index")
-    groups = look_up(index, _winners(rows.filter(~old)), shards)
-    return rows.join(groups, "digest")
+    index = scratch.save(build_index(_winners(rows.filter(old)), shards), "index")
+    groups = scratch.save(look_up(index, _winners(rows.filter(~old)), shards), "groups")
+    scratch.drop(index)
+    hot = [r[0] for r in groups.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("digest").collect()]
+    return looked_up(rows, "digest", groups, hot=hot)
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the one with the smallest id (if that id repeats, one row of it)."""
-    verdict = saved(dedup(docs, id_col=id_col, text_col=text_col).filter(F.col("id").eqNullSafe(F.col("winner"))).groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies")), "dedup-stay")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_col), 256)))
-    stay = verdict.select(F.col("id").alias("_id"), F.col("digest").alias("_held"))
-    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_held")), "left_semi")
-    if verdict.filter("copies > 1").limit(1).count():  # whole rows that repeat their id and text
-        kept = kept.dropDuplicates([id_col, "_digest"])
-    return kept.drop("_digest")
+    """The rows of ``docs`` that stay: of equal texts the one with the smallest id (if that id repeats, one row of it).
+
+    Rows that go are taken out by id and digest, so texts only move where a table of those is too large to broadcast.
+    """
+    scratch = Scratch(docs.sparkSession, "digests")
+    stays = F.col("id").eqNullSafe(F.col("winner"))
+    verdict = dedup(docs, id_col=id_col, text_col=text_col, scratch=scratch).groupBy("id", "digest", stays.alias("stays")).agg(F.count(F.lit(1)).alias("copies"))
+    verdict = scratch.save(verdict.filter(~F.col("stays") | (F.col("copies") > 1)), "verdict")
+    scratch.drop_all(verdict)
+    own = next(name for name in (f"_digest{'_' * n}" for n in range(len(docs.columns) + 1)) if name not in docs.columns)
+    keyed = docs.withColumn(own, F.unhex(F.sha2(normalised(text_col), 256)))
+    gone = verdict.filter(~F.col("stays")).select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    kept = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col(own) == F.col("_gone_digest")), "left_anti")
+    if verdict.filter("stays").limit(1).count():  # whole rows that repeat their id and text
+        kept = kept.dropDuplicates([id_col, own])
+    return kept.drop(own)
