@@ -11,7 +11,8 @@ The model is fitted on at most ``SAMPLE_DOCS`` labelled documents of each langua
 use the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text
-where nothing was learned; ties go to the language that sorts first.
+where nothing was learned; ties go to the language that sorts first; rows with equal or null ids are all returned;
+columns that aren't kept are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +31,24 @@ from tidemark.llm.common import pieces_of
 
 SAMPLE_DOCS = 400
 MIN_SHARE = 0.02
-ROUNDS = 6
+#: EM goes on until no proportion of a document moves by more than this, and so many rounds at most; all documents of a
+#: batch share the first rounds.
+STILL, MOST_ROUNDS, SHARED_ROUNDS = 1e-3, 200, 6
 WORD_CACHE = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def grams_of(text: str) -> Counter:
+    """Counts of the letters of a text's words, each alone and with the one or two before it in its word."""
+    out: Counter = Counter()
+    for word, n in Counter(WORDS.findall(text.lower())).items():
+        w = f"^^{word}$"
+        for i in range(2, len(w)):
+            for order in range(3):
+                out[w[i - order : i + 1]] += n
+    return out
+
+
 @dataclass
 class NgramModel:
     languages: list[str]
@@ -43,17 +57,21 @@ class NgramModel:
 
     @classmethod
     def fit(cls, texts: list[tuple[str, str]]) -> NgramModel:
-        """From (language, text) pairs: interpolated counts, at each order shrunk towards the one below."""
-        languages = sorted({lang for lang, _ in texts})
-        counts = [[Counter() for _ in languages] for _ in range(3)]
-        at = {lang: i for i, lang in enumerate(languages)}
+        """From (language, text) pairs."""
+        counts: dict[str, Counter] = {}
         for lang, text in texts:
-            words = Counter(WORDS.findall(text.lower()))
-            for word, n in words.items():
-                w = f"^^{word}$"
-                for i in range(2, len(w)):
-                    for order in range(3):
-                        counts[order][at[lang]][w[i - order : i + 1]] += n
+            counts.setdefault(lang, Counter()).update(grams_of(text))
+        return cls.of_counts([(lang, gram, n) for lang, c in counts.items() for gram, n in c.items()] + [(lang, "", 0) for lang in counts])
+
+    @classmethod
+    def of_counts(cls, found: list[tuple[str, str, int]]) -> NgramModel:
+        """From (language, n-gram, count): interpolated, at each order shrunk towards the one below."""
+        languages = sorted({lang for lang, _, _ in found})
+        at = {lang: i for i, lang in enumerate(languages)}
+        counts = [[Counter() for _ in languages] for _ in range(3)]
+        for lang, gram, n in found:
+            if gram:
+                counts[len(gram) - 1][at[lang]][gram] += n
         index: dict[str, int] = {}
         rows = [np.full(len(languages), np.log(1e-7))]
         below: dict[str, np.ndarray] = {}
@@ -86,39 +104,56 @@ class NgramModel:
         return np.add.reduceat(self.table[flat], ends[:-1], axis=0)
 
 
-def _proportions(odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM for many documents at once: (proportions, log likelihoods up to the words' own scale).
-
-    ``odds``: words' likelihoods, each row scaled by its maximum; ``allowed``: (documents, languages), 0 or 1.
-    """
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+def _rounds(odds: np.ndarray, sizes: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions after some rounds of EM, whether they stand still) of documents whose words lie one after the other."""
+    starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    still = np.zeros(len(sizes), bool)
     for _ in range(rounds):
         joint = odds * share.astype(np.float32)[doc]
         joint /= joint.sum(axis=1, keepdims=True) + np.float32(1e-30)
-        share = np.add.reduceat(joint, starts, axis=0, dtype=np.float64) / sizes[:, None]
-    fit = np.log((odds * share.astype(np.float32)[doc]).sum(axis=1) + 1e-30)
+        new = np.add.reduceat(joint, starts, axis=0, dtype=np.float64) / sizes[:, None]
+        still, share = np.abs(new - share).max(axis=1) <= STILL, new
+        if still.all():
+            break
+    return share, still
+
+
+def _words(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows of some documents' words."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _proportions(odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for many documents at once, until it stands still: (proportions, log likelihoods up to the words' own scale).
+
+    ``odds``: words' likelihoods, each row scaled by its maximum; ``allowed``: (documents, languages), 0 or 1.
+    """
+    share, still = _rounds(odds, sizes, allowed / allowed.sum(axis=1, keepdims=True), SHARED_ROUNDS)
+    moving, done = np.flatnonzero(~still), SHARED_ROUNDS
+    while len(moving) and done < MOST_ROUNDS:
+        share[moving], still = _rounds(odds[_words(starts[moving], sizes[moving])], sizes[moving], share[moving], SHARED_ROUNDS)
+        moving, done = moving[~still], done + SHARED_ROUNDS
+    fit = np.log((odds * share.astype(np.float32)[np.repeat(np.arange(len(sizes)), sizes)]).sum(axis=1) + 1e-30)
     return share, np.add.reduceat(fit.astype(np.float64), starts)
 
 
-def mixtures(odds: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> np.ndarray:
+def mixtures(odds: np.ndarray, sizes: np.ndarray, min_share: float = MIN_SHARE) -> np.ndarray:
     """(documents, languages): the proportions in each document's chosen language set."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    share, _ = _proportions(odds, starts, sizes, np.ones((len(sizes), odds.shape[1])), rounds)
+    share, _ = _proportions(odds, starts, sizes, np.ones((len(sizes), odds.shape[1])))
     share[share < min_share] = 0
     mixed = np.flatnonzero((share > 0).sum(axis=1) > 1)
     out = (share == share.max(axis=1, keepdims=True)) & (np.cumsum(share == share.max(axis=1, keepdims=True), axis=1) == 1)
     out = out.astype(float)
     if len(mixed):
-        rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in mixed])
-        part, n = odds[rows], sizes[mixed]
+        part, n = odds[_words(starts[mixed], sizes[mixed])], sizes[mixed]
         at = np.concatenate([[0], np.cumsum(n)[:-1]])
         rank = np.argsort(np.argsort(-share[mixed], axis=1, kind="stable"), axis=1)
         many = (share[mixed] > 0).sum(axis=1)
         best = np.full(len(mixed), np.inf)
         for k in range(1, int(many.max()) + 1):
             allowed = (rank < np.minimum(k, many)[:, None]).astype(float)
-            got, fit = _proportions(part, at, n, allowed, rounds if k > 1 else 1)
+            got, fit = _proportions(part, at, n, allowed)
             price = -2 * fit + (np.minimum(k, many) - 1) * np.log(np.maximum(n, 2)) * 2
             better = price < best - 1e-9
             best[better] = price[better]
@@ -172,9 +207,22 @@ def sample(labelled: DataFrame, label: str, keys: list[str], bound: int, salt: i
 
 
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", bound: int = SAMPLE_DOCS) -> NgramModel:
-    """``labelled``: rows that may be learned from; null languages and texts teach nothing."""
+    """``labelled``: rows that may be learned from; null languages and texts teach nothing.
+
+    The sample's n-grams are counted by the cluster; what the driver gets is one row for each language and distinct n-gram.
+    """
     rows = sample(labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), lang_col, [id_col], bound)
-    return NgramModel.fit([(r[0], r[1]) for r in rows.select(lang_col, text_col).collect()])
+
+    def count(batches):
+        for b in pieces_of(batches):
+            held: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(lang, Counter({"": 0})).update(grams_of(text))
+            flat = [(lang, gram, n) for lang, c in held.items() for gram, n in c.items()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*flat, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+
+    counted = rows.select(lang_col, text_col).mapInArrow(count, "lang string, gram string, n long")
+    return NgramModel.of_counts([tuple(r) for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
 
 
 def identify(docs: DataFrame, model: NgramModel, *, keep: list[str], text_col: str = "text") -> DataFrame:
