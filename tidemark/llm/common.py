@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_ROWS = 256
@@ -21,21 +21,86 @@ def own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured, as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
+    """The folder all executors share.  Where none is configured, a local session gets one of its own;
+    on a cluster that is an error, as executors don't see each other's disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or own_dir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+class Scratch:
+    """Tables written on the way to a result.  Each is written once, so that later readers neither recompute the
+    plan above it nor depend on any one executor's disk, and goes when what was made from it is written."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag = spark, tag
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.tag}-{name}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables of ``frames`` (as :meth:`save` returned them)."""
+        for out, path in self.held:
+            if any(out is f for f in frames):
+                remove(self.spark, path)
+        self.held = [(out, path) for out, path in self.held if not any(out is f for f in frames)]
+
+    def drop_all(self, *but: DataFrame) -> None:
+        self.drop(*(out for out, _ in self.held if not any(out is f for f in but)))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as a scratch table and go on from the files: later readers neither
-    recompute the plan above nor depend on any one executor's disk."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a scratch table that stays."""
+    return Scratch(df.sparkSession, tag).save(df, "table")
+
+
+#: A key with more than one in so many rows is dealt apart from the others.
+HOT_SHARE, HOT_LEAST = 1000, 64
+
+
+def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> list:
+    """The keys that hold more than a thousandth of ``rows`` (and more than ``HOT_LEAST`` of them).
+
+    There are fewer than a thousand of them, whatever the table's size, so their list and one row for each can
+    be broadcast.
+    """
+    total = rows.count() if total is None else total
+    many = rows.groupBy(key).count().filter((F.col("count") > max(HOT_LEAST, total // HOT_SHARE)) & F.col(key).isNotNull())
+    return [r[0] for r in many.select(key).collect()]
+
+
+def among(key: str, values: list) -> Column:
+    """Whether ``key`` is one of ``values``; false where it is null."""
+    return F.coalesce(F.col(key).isin(values), F.lit(False)) if values else F.lit(False)
+
+
+def looked_up(left: DataFrame, key: str, right: DataFrame, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique.
+
+    Rows of hot keys meet their few partners where they are; all others are shuffled, no key with many rows.
+    ``left`` is read twice or three times, so it should be a written table.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    cold = left.filter(~among(key, hot)).join(right.filter(~among(key, hot)), key, how)
+    return cold.unionByName(left.filter(among(key, hot)).join(F.broadcast(right.filter(among(key, hot))), key, how))
 
 
 def width(spark: SparkSession) -> int:
