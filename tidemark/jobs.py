@@ -18,19 +18,31 @@ from tidemark.operators import gaps as gp
 from tidemark.operators import levels as lv
 from tidemark.operators import patterns as pt
 from tidemark.operators import structures as st
-from tidemark.operators.joins import differing
+from tidemark.operators.joins import differing, presence_intervals
 from tidemark.sources.store import Store
 
+#: Series that a run's warning names at most.
+WORST = 10
 DETECTORS = ("gaps", "divergences", "fib_sets", "anchors", "sr_lines", "patterns")
 
 
-def series_bars(store: Store, a: argparse.Namespace, timeframe: str) -> DataFrame:
-    """Validated bars of one source as analysis wants them: finished, not after ``--as-of``, long enough."""
-    raw = store.read("bars_1d").filter(F.col("source") == a.source).withColumn("ts", F.col("ts").cast("date"))
-    if a.ticker:
-        raw = raw.filter(F.col("ticker").isin(a.ticker))
-    ready = br.validated(br.load(raw, as_of=a.as_of, weekly=timeframe == "weekly"))
-    return ready.select("ticker", "ts", "open", "high", "low", "close", "volume")
+def series_bars(store: Store, a: argparse.Namespace, timeframe: str) -> tuple[DataFrame, DataFrame]:
+    """(validated bars of one source as analysis wants them: finished, not after ``--as-of``; their quality by series)."""
+    raw = store.bars(source=a.source, end=a.as_of, ticker=a.ticker or None, ordered=False).withColumn("ts", F.col("ts").cast("date"))
+    if "ticker" not in raw.columns:  # pinned to one
+        raw = raw.withColumn("ticker", F.lit(a.ticker))
+    ready = br.load(raw, as_of=a.as_of, weekly=timeframe == "weekly")
+    names = ["ticker", "ts", "open", "high", "low", "close", "volume"]
+    return br.validated(ready).select(*names), br.quality(ready)
+
+
+def verdict(report: DataFrame) -> tuple[int, str | None]:
+    """(rows dropped, a warning that names the least reliable series, if any is unreliable) of a quality report."""
+    dropped, many = report.agg(F.coalesce(F.sum("dropped"), F.lit(0)), F.count(F.when(F.col("unreliable"), 1))).first()
+    if not many:
+        return dropped, None
+    worst = report.filter("unreliable").orderBy(F.col("drop_rate").desc(), "ticker").limit(WORST).collect()
+    return dropped, f"{many} unreliable series: " + ", ".join(f"{r['ticker']} ({r['drop_rate']:.1%} dropped)" for r in worst)
 
 
 def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFrame:
@@ -38,7 +50,8 @@ def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFram
     if name == "gaps":
         b = br.with_atr(br.indexed(br.enough(bars, st.MIN_BARS)))
         found = gp.detect(b)
-        return gp.lifecycle(found, b).withColumn("related_id", F.lit(None).cast("string"))
+        life = gp.lifecycle(found, b)
+        return life.join(gp.reactions(life, b), gp.GAP, "left")
     if name == "divergences":
         return st.divergences(bars)
     if name == "fib_sets":
@@ -50,7 +63,7 @@ def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFram
         return at.join(st.interactions(st.anchored(br.with_atr(b), at)), ["ticker", "anchor_date"], "left")
     if name == "sr_lines":
         out = lv.detect(bars, lv.LONG_WEEKLY if weekly else lv.MEDIUM)
-        return out.withColumn("geometry", F.round(F.coalesce("center", "slope"), 2)).withColumn("events", F.transform("events", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))))
+        return out.withColumn("geometry", F.round(F.coalesce("center", "slope"), 2))
     return pt.scan(bars, spans=pt.WEEKLY if weekly else pt.DAILY)
 
 
@@ -66,14 +79,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
             store.upsert(table, made.withColumn("source", F.col("_k")[1]).withColumn("ticker", F.col("_k")[0]).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
         return store.read("bars_1w")
     if a.job == "breadth":
-        prices = store.bars(source=a.source).withColumn("ts", F.col("ts").cast("date"))
+        prices = store.bars(source=a.source, ordered=False).withColumn("ts", F.col("ts").cast("date"))
         shares, splits = store.read("shares_outstanding"), store.read("splits")
         out = xs.breadth(prices, store.members(a.index), weighting=a.weighting, shares=shares, splits=splits, start=a.start, end=a.end)
         out = out.withColumn("index_name", F.lit(a.index)).withColumn("weighting", F.lit(a.weighting))
         store.upsert("breadth", out)
         return out
     if a.job == "strength":
-        bars = store.bars(source=a.source).withColumn("ts", F.col("ts").cast("date"))
+        bars = store.bars(source=a.source, ordered=False).withColumn("ts", F.col("ts").cast("date"))
         members = store.members(a.index)
         funds = spark.createDataFrame(list(xs.SECTOR_FUNDS.items()), "sector string, fund string")
         bench = bars.filter(F.col("ticker") == a.benchmark)
@@ -88,25 +101,32 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
         out = out.withColumn("comparison", F.lit(a.tier))
         store.upsert("relative_strength", out)
         return out
+    if a.job == "membership":
+        # snapshots (index_name, ticker, snapshot) at change dates, or intervals that come as such
+        landed = spark.read.csv(a.landed, header=True)
+        if "snapshot" in landed.columns:
+            landed = presence_intervals(landed.select("index_name", "ticker", F.col("snapshot").cast("date").alias("snapshot")))
+        store.replace("index_membership", landed.select(F.coalesce("index_name", F.lit(a.index)).alias("index_name"), "ticker", F.col("start_date").cast("date").alias("start_date"), F.col("end_date").cast("date").alias("end_date")), [a.index])
+        return store.members(a.index)
     if a.job == "compare":
         daily = store.read("bars_1d")
         return differing(*(daily.filter(F.col("source") == s) for s in a.sources))
     if a.job == "market_cap":
-        prices = store.bars(source=a.source).withColumn("ts", F.col("ts").cast("date"))
+        prices = store.bars(source=a.source, ordered=False).withColumn("ts", F.col("ts").cast("date"))
         return xs.market_caps(prices, store.read("shares_outstanding"), store.read("splits"))
     for timeframe in ("daily", "weekly") if a.timeframe == "both" else (a.timeframe,):
-        bars = series_bars(store, a, timeframe)
+        bars, report = series_bars(store, a, timeframe)
         config = {"as_of": a.as_of, "source": a.source, "timeframe": timeframe}
         if a.job == "sr_lines":
             config |= asdict(replace(lv.LONG_WEEKLY if timeframe == "weekly" else lv.MEDIUM))
-        run_id = store.record_run(a.job, ",".join(a.ticker or ["*"]), timeframe, config, a.as_of)
+        run_id = store.record_run(a.job, ",".join(a.ticker or ["*"]), timeframe, config, a.as_of, *verdict(report))
         store.save_results(a.job, detect(a.job, bars, timeframe, store), run_id, timeframe)
     return store.read(a.job)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=["resample", "breadth", "strength", "compare", "market_cap", *DETECTORS])
+    p.add_argument("job", choices=["resample", "breadth", "strength", "compare", "market_cap", "membership", *DETECTORS])
     p.add_argument("--store", required=True)
     p.add_argument("--ticker", nargs="*")
     p.add_argument("--timeframe", choices=["daily", "weekly", "both"], default="daily")
@@ -119,6 +139,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--benchmark", default="SPY")
     p.add_argument("--start")
     p.add_argument("--end")
+    p.add_argument("--landed", help="CSV files a job reads: for membership (index_name, ticker, snapshot) or intervals")
     p.add_argument("--csv", help="folder to write the result to as CSV, columns of plain types only")
     return p
 

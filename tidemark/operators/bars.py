@@ -61,14 +61,14 @@ def keep_last(bars: DataFrame, *order: str) -> DataFrame:
 
 
 def load(bars: DataFrame, *, as_of: str | None = None, start: str | None = None, source: str | None = None, weekly: bool = False) -> DataFrame:
-    """Bars for analysis: one source, nothing after ``as_of`` and nothing unfinished.
+    """Bars for analysis: one source (named, or the only one, else an error), nothing after ``as_of`` and nothing unfinished.
 
     The filters stand below every window, so no later bar can colour an earlier result.  Weekly bars are made
     from the daily ones and judged complete against each series' own last bar.
     """
     out = bars
-    if source and "source" in out.columns:
-        out = out.filter(F.col("source") == source)
+    if "source" in out.columns:
+        out = out.filter(F.col("source") == source) if source else one_source(out)
     if as_of:
         out = out.filter(F.col("ts") <= F.lit(as_of).cast("date"))
     if start:
