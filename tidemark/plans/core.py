@@ -201,15 +201,42 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("ticker", "ts", "macd", "macd_signal", "macd_hist"), "macd", "macd_signal", "macd_hist")
 
 
-@query("adx_sar")
+def adx_sql(n: int) -> str:
+    """``adx``: sums of directional moves and ranges from bar n on, their index, and its smoothed mean."""
+    return f""", dm AS (SELECT ticker, idx, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus
+  FROM (SELECT *, high - lag(high) {OVER} AS up, lag(low) {OVER} - low AS down FROM tr)),
+ ds AS (SELECT ticker, {n - 1} AS idx, sum(plus) AS p, sum(minus) AS m, sum(tr) AS t, CAST(0 AS DOUBLE) AS dx FROM dm WHERE idx BETWEEN 1 AND {n - 1} GROUP BY ticker HAVING count(*) = {n - 1}
+ UNION ALL SELECT ticker, idx, p, m, t, CASE WHEN t > 0 AND p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE dx END FROM
+  (SELECT d.ticker, d.idx, s.p - s.p / {n} + d.plus AS p, s.m - s.m / {n} + d.minus AS m, s.t - s.t / {n} + d.tr AS t, s.dx FROM ds s JOIN dm d ON d.ticker = s.ticker AND d.idx = s.idx + 1)),
+ adx AS (SELECT ticker, {2 * n - 1} AS idx, avg(dx) AS adx FROM ds WHERE idx BETWEEN {n} AND {2 * n - 1} GROUP BY ticker HAVING count(*) = {n}
+ UNION ALL SELECT s.ticker, s.idx, (a.adx * {n - 1} + s.dx) / {n} FROM adx a JOIN ds s ON s.ticker = a.ticker AND s.idx = a.idx + 1)"""
+
+
+#: Each bar turns the state of the one before (side, stop, extreme point, pace) into its own; ``got`` is the bar's stop.
+SAR_SQL = f""", hl AS (SELECT ticker, idx, high, low, lag(high) {OVER} AS h0, lag(low) {OVER} AS l0 FROM walk),
+ sar AS (SELECT ticker, 0 AS idx, side, CASE WHEN side THEN l0 ELSE h0 END AS stop, CASE WHEN side THEN high ELSE low END AS extreme, CAST(0.02 AS DOUBLE) AS pace, CAST(NULL AS DOUBLE) AS got, high AS before_h, low AS before_l
+   FROM (SELECT *, NOT (l0 - low > high - h0 AND l0 - low > 0) AS side FROM hl WHERE idx = 1)
+ UNION ALL SELECT ticker, idx, side, CASE WHEN side THEN least(moved, before_l, low) ELSE greatest(moved, before_h, high) END, extreme, pace, got, high, low FROM
+  (SELECT *, got + pace * (extreme - got) AS moved FROM
+   (SELECT ticker, idx, high, low, before_h, before_l, side <> hit AS side,
+     CASE WHEN NOT hit THEN stop WHEN side THEN greatest(extreme, before_h, high) ELSE least(extreme, before_l, low) END AS got,
+     CASE WHEN hit THEN CAST(0.02 AS DOUBLE) WHEN CASE WHEN side THEN high > extreme ELSE low < extreme END THEN least(CAST(0.2 AS DOUBLE), pace + CAST(0.02 AS DOUBLE)) ELSE pace END AS pace,
+     CASE WHEN hit THEN CASE WHEN side THEN low ELSE high END WHEN side THEN greatest(extreme, high) ELSE least(extreme, low) END AS extreme
+    FROM (SELECT b.ticker, b.idx, b.high, b.low, s.side, s.stop, s.extreme, s.pace, s.before_h, s.before_l, CASE WHEN s.side THEN b.low <= s.stop ELSE b.high >= s.stop END AS hit
+      FROM sar s JOIN hl b ON b.ticker = s.ticker AND b.idx = s.idx + 1))))"""
+
+
+@query("adx_sar", ATR_HEAD + adx_sql(20) + SAR_SQL + " SELECT w.ticker, w.ts, round(adx, 6) AS adx20, round(got, 6) AS sar FROM walk w LEFT JOIN adx USING (ticker, idx) LEFT JOIN sar USING (ticker, idx)")
 def adx_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = br.with_kernel(inp.walk(spark, sf_dir), {"adx20": lambda p: kernels.adx(*br.arrays(p), 20), "sar": lambda p: kernels.sar(*br.arrays(p)[:2])})
     return rounded(out.select("ticker", "ts", "adx20", "sar"), "adx20", "sar")
 
 
-def zigzag_sql(size: float, high: str = "high", low: str = "low") -> str:
-    return f""", b AS (SELECT ticker, ts, idx, {high} AS h, {low} AS l, atr * {size} AS thr FROM bars),
- z AS (SELECT ticker, 0 AS idx, h AS ch, 0 AS chi, thr AS cht, l AS cl, 0 AS cli, thr AS clt, '' AS seek, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS at FROM b WHERE idx = 0
+def zigzag_sql(size: float, high: str = "high", low: str = "low", *, tag: str = "", source: str = "bars", first: int = 0) -> str:
+    """``turns`` (named with ``tag``) of the bars of ``source``, whose first has the number ``first``."""
+    b, z, turns = f"b{tag}", f"z{tag}", f"turns{tag}"
+    return f""", {b} AS (SELECT ticker, ts, idx, {high} AS h, {low} AS l, atr * {size} AS thr, atr FROM {source} WHERE idx >= {first}),
+ {z} AS (SELECT ticker, {first} AS idx, h AS ch, {first} AS chi, thr AS cht, l AS cl, {first} AS cli, thr AS clt, '' AS seek, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS at FROM {b} WHERE idx = {first}
  UNION ALL
  SELECT ticker, idx, CASE WHEN kind = 'low' THEN h ELSE ch END, CASE WHEN kind = 'low' THEN idx ELSE chi END, CASE WHEN kind = 'low' THEN thr ELSE cht END,
   CASE WHEN kind = 'high' THEN l ELSE cl END, CASE WHEN kind = 'high' THEN idx ELSE cli END, CASE WHEN kind = 'high' THEN thr ELSE clt END,
@@ -217,8 +244,8 @@ def zigzag_sql(size: float, high: str = "high", low: str = "low") -> str:
  FROM (SELECT *, CASE WHEN seek <> 'low' AND chi < idx AND ch - l >= cht THEN 'high' WHEN seek <> 'high' AND cli < idx AND h - cl >= clt THEN 'low' END AS kind FROM (
   SELECT b.ticker, CAST(b.idx AS INTEGER) AS idx, b.h, b.l, b.thr, z.seek, CASE WHEN b.h > z.ch THEN b.h ELSE z.ch END AS ch, CASE WHEN b.h > z.ch THEN CAST(b.idx AS INTEGER) ELSE z.chi END AS chi, CASE WHEN b.h > z.ch THEN b.thr ELSE z.cht END AS cht,
    CASE WHEN b.l < z.cl THEN b.l ELSE z.cl END AS cl, CASE WHEN b.l < z.cl THEN CAST(b.idx AS INTEGER) ELSE z.cli END AS cli, CASE WHEN b.l < z.cl THEN b.thr ELSE z.clt END AS clt
-  FROM z JOIN b ON b.ticker = z.ticker AND b.idx = z.idx + 1) s) t),
- turns AS (SELECT z.ticker, z.kind, p.ts, z.value, c.ts AS confirmed_at, p.thr AS threshold, z.at AS idx, z.idx AS confirmed_idx FROM z JOIN b p ON p.ticker = z.ticker AND p.idx = z.at JOIN b c ON c.ticker = z.ticker AND c.idx = z.idx WHERE z.kind IS NOT NULL)"""
+  FROM {z} z JOIN {b} b ON b.ticker = z.ticker AND b.idx = z.idx + 1) s) t),
+ {turns} AS (SELECT z.ticker, z.kind, p.ts, z.value, c.ts AS confirmed_at, p.thr AS threshold, p.atr, z.at AS idx, z.idx AS confirmed_idx FROM {z} z JOIN {b} p ON p.ticker = z.ticker AND p.idx = z.at JOIN {b} c ON c.ticker = z.ticker AND c.idx = z.idx WHERE z.kind IS NOT NULL)"""
 
 
 @query("zigzag_turns", ATR_HEAD + zigzag_sql(2.0) + " SELECT ticker, kind, ts, round(value, 6) AS value, confirmed_at, round(threshold, 6) AS threshold, idx, confirmed_idx FROM turns")
@@ -239,10 +266,22 @@ def constituent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.constituent_counts(inp.brand(spark, sf_dir).select("ts").distinct(), inp.membership(spark))
 
 
-@query("market_cap")
+#: Splits are applied one after the other to a ticker's list of filed counts: counts that still look like the last one
+#: before the split, up to the first that doesn't, become that count times the split's ratio.
+CAPS_SQL = ", " + inp.SPLITS_SQL + ", " + inp.SHARES_SQL + """, sp AS (SELECT ticker, execution_date, ratio, row_number() OVER (PARTITION BY ticker ORDER BY execution_date) AS k FROM splits),
+ bridged AS (SELECT ticker, CAST(0 AS BIGINT) AS k, list(ts ORDER BY ts) AS days, list(shares_outstanding ORDER BY ts) AS held FROM shares WHERE shares_outstanding IS NOT NULL GROUP BY 1
+ UNION ALL SELECT ticker, k, days, CASE WHEN n = 0 THEN held ELSE list_transform(held, lambda x, i: CASE WHEN i > n AND i < stop THEN held[n] * ratio ELSE x END) END FROM
+  (SELECT *, coalesce(list_min(list_filter(range(n + 1, len(held) + 1), lambda i: NOT (least(held[i], held[n]) > 0 AND greatest(held[i], held[n]) <= 1.2 * least(held[i], held[n])))), len(held) + 1) AS stop FROM
+   (SELECT b.ticker, s.k, b.days, b.held, s.ratio, len(list_filter(b.days, lambda d: d < s.execution_date)) AS n FROM bridged b JOIN sp s ON s.ticker = b.ticker AND s.k = b.k + 1))),
+ filed AS (SELECT ticker, unnest(days) AS ts, unnest(held) AS shares_outstanding FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY k DESC) AS last FROM bridged) WHERE last = 1),
+ later AS (SELECT b.ticker, b.ts, coalesce(product(s.ratio), 1.0) AS split_ratio FROM brand b LEFT JOIN splits s ON s.ticker = b.ticker AND s.execution_date > b.ts GROUP BY 1, 2),
+ caps AS (SELECT b.ticker, b.ts, b."close", f.shares_outstanding, l.split_ratio, b."close" * l.split_ratio * f.shares_outstanding AS market_cap FROM brand b JOIN later l USING (ticker, ts) ASOF LEFT JOIN filed f ON f.ticker = b.ticker AND f.ts <= b.ts WHERE b.ticker IN (SELECT ticker FROM filed))"""
+
+
+@query("market_cap", BRANDS + CAPS_SQL + ' SELECT ticker, ts, round("close", 6) AS "close", round(market_cap, 6) AS market_cap, shares_outstanding, split_ratio FROM caps')
 def market_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = xs.market_caps(inp.brand(spark, sf_dir), inp.shares(spark), inp.splits(spark))
-    return rounded(out, "close", "market_cap", digits=4)
+    return rounded(out, "close", "market_cap")
 
 
 @query("split_ratio", BRANDS + ", " + inp.SPLITS_SQL + " SELECT b.ticker, b.ts, coalesce(product(s.ratio), 1.0) AS split_ratio FROM brand b LEFT JOIN splits s ON s.ticker = b.ticker AND s.execution_date > b.ts GROUP BY 1, 2")
@@ -282,9 +321,29 @@ def breadth_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(xs.breadth(inp.brand(spark, sf_dir), inp.membership(spark)), *PCT, digits=9)
 
 
-@query("breadth_cap")
+def _weighted_sql(name: str, cond: str, valid: str) -> str:
+    ok = f"{valid} AND w IS NOT NULL"
+    return f"sum(CASE WHEN {ok} THEN CAST({cond} AS INTEGER) * w ELSE 0 END) / nullif(sum(CASE WHEN {ok} THEN w ELSE 0 END), 0) AS {name}"
+
+
+def _breadth_cap_sql() -> str:
+    """The equal-weighted SQL with each member's market capitalisation in place of 1."""
+    head, rest = BREADTH_SQL.split(",\n g AS (")
+    tail = rest[rest.index(",\n c AS (") :]
+    above = ", ".join(_weighted_sql(f"pct_above_{c}", f'"close" > {c}', f"{c} IS NOT NULL") for c in ("sma50", "sma200", "ema8", "ema21"))
+    golden = _weighted_sql("pct_golden_cross", "sma50 > sma200", "sma50 IS NOT NULL AND sma200 IS NOT NULL")
+    moved = ", ".join(f'coalesce(sum(w) FILTER ("close" {sign} pc), 0.0) AS {name}' for sign, name in ((">", "n_advancing"), ("<", "n_declining")))
+    weighed = ", wk AS (SELECT k.*, caps.market_cap AS w FROM k LEFT JOIN caps ON caps.ticker = k.ticker AND caps.ts = k.ts)"
+    return head + CAPS_SQL + weighed + f", g AS (SELECT ts, count(*) AS n_with_data, {above}, {golden}, {moved} FROM wk GROUP BY 1)" + tail
+
+
+MOVED = ("n_advancing", "n_declining", "net_advances")
+
+
+@query("breadth_cap", _breadth_cap_sql() + " SELECT * REPLACE (" + ", ".join(f"round({c}, 2) AS {c}" for c in MOVED) + ") FROM breadth")
 def breadth_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(xs.breadth(inp.brand(spark, sf_dir), inp.membership(spark), weighting="cap", shares=inp.shares(spark), splits=inp.splits(spark)), *PCT, digits=9)
+    out = xs.breadth(inp.brand(spark, sf_dir), inp.membership(spark), weighting="cap", shares=inp.shares(spark), splits=inp.splits(spark))
+    return rounded(rounded(out, *PCT, digits=9), *MOVED, digits=2)
 
 
 @query("ad_line", BREADTH_SQL + " SELECT ts, sum(net_advances) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ad_line FROM breadth")

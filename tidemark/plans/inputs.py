@@ -41,12 +41,20 @@ WALK_SQL = """ticks AS (
   FROM ticks GROUP BY ticker, ts
 )"""
 
-ATR_SQL = """tr AS (
-  SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, lag("close") OVER (PARTITION BY ticker ORDER BY ts) AS pc FROM walk)
-), atrs AS (
-  SELECT ticker, 14 AS idx, avg(tr) AS atr FROM tr WHERE idx BETWEEN 1 AND 14 GROUP BY ticker HAVING count(*) = 14
-  UNION ALL SELECT t.ticker, t.idx, a.atr + (t.tr - a.atr) / 14 FROM atrs a JOIN tr t ON t.ticker = a.ticker AND t.idx = a.idx + 1
-), bars AS (SELECT w.*, a.atr FROM walk w LEFT JOIN atrs a USING (ticker, idx))"""
+
+
+def atr_sql(source: str = "walk", out: str = "bars", first: int = 0) -> str:
+    """``out``: the bars of ``source`` from number ``first`` on, with an ATR that starts there."""
+    own = f"tr{first or ''}", f"atrs{first or ''}"
+    return f"""{own[0]} AS (
+  SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, lag("close") OVER (PARTITION BY ticker ORDER BY ts) AS pc FROM {source} WHERE idx >= {first})
+), {own[1]} AS (
+  SELECT ticker, {first + 14} AS idx, avg(tr) AS atr FROM {own[0]} WHERE idx BETWEEN {first + 1} AND {first + 14} GROUP BY ticker HAVING count(*) = 14
+  UNION ALL SELECT t.ticker, t.idx, a.atr + (t.tr - a.atr) / 14 FROM {own[1]} a JOIN {own[0]} t ON t.ticker = a.ticker AND t.idx = a.idx + 1
+), {out} AS (SELECT w.*, a.atr FROM {source} w LEFT JOIN {own[1]} a USING (ticker, idx) WHERE idx >= {first})"""
+
+
+ATR_SQL = atr_sql()
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ GAPS_SQL = ATR_HEAD + f""", s AS (SELECT *, lag(high, 1) {OVER} AS h1, lag(low,
 
 
 @query("gaps_detect", GAPS_SQL + """ SELECT g.ticker, g.kind, g.direction, g.created_at, g.created_idx, round(zone_bottom, 6) AS zone_bottom, round(zone_top, 6) AS zone_top, round(size_atr, 6) AS size_atr,
- g.kind = 'fvg' AND EXISTS (SELECT 1 FROM gaps c WHERE c.ticker = g.ticker AND c.created_idx = g.created_idx AND c.direction = g.direction AND c.kind = 'classic') AS related FROM gaps g""")
+ g.kind = 'fvg' AND bool_or(g.kind = 'classic') OVER (PARTITION BY g.ticker, g.created_idx, g.direction) AS related FROM gaps g""")
 def gaps_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gp.detect(bars(spark, sf_dir)).drop("atr"), "zone_bottom", "zone_top", "size_atr")
 
@@ -97,16 +97,25 @@ def gap_study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sy.summary(_studied(spark, sf_dir)), "mean_peak_fill", "median_peak_fill")
 
 
-@query("gap_corr", STUDY_SQL + " SELECT signal, target, n, CASE WHEN n >= 3 THEN round(r, 6) END AS pearson_r, CASE WHEN n >= 3 THEN round(rho, 6) END AS spearman_rho FROM (" + " UNION ALL ".join(
-    f"SELECT '{s}' AS signal, '{t}' AS target, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS rho FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT CAST({s} AS DOUBLE) AS x, round({t}, 9) AS y FROM study WHERE {s} IS NOT NULL AND {t} IS NOT NULL))" for s in ("bars_to_peak", "bars_to_threshold") for t in RETURNS[:4]) + ")")
+SIGNALS = ("peak_fill", "closed", "bars_to_threshold", "bars_to_peak")
+
+
+def _corr_sql(signal: str, target: str) -> str:
+    rank = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+    kept = f"SELECT round(CAST({signal} AS DOUBLE), 9) AS x, round({target}, 9) AS y FROM study WHERE {signal} IS NOT NULL AND {target} IS NOT NULL"
+    return f"SELECT '{signal}' AS signal, '{target}' AS target, count(*) AS n, min(x) < max(x) AND min(y) < max(y) AND count(*) >= 3 AS varied, corr(x, y) AS r, corr(rx, ry) AS rho FROM (SELECT x, y, {rank('x')} AS rx, {rank('y')} AS ry FROM ({kept}))"
+
+
+@query("gap_corr", STUDY_SQL + " SELECT signal, target, n, CASE WHEN varied THEN round(r, 6) END AS pearson_r, CASE WHEN varied THEN round(rho, 6) END AS spearman_rho FROM (" + " UNION ALL ".join(_corr_sql(s, t) for s in SIGNALS for t in RETURNS) + ")")
 def gap_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [(s, t) for s in ("bars_to_peak", "bars_to_threshold") for t in RETURNS[:4]]
-    return rounded(sy.correlations(rounded(_studied(spark, sf_dir), *RETURNS, digits=9), pairs).select("signal", "target", "n", "pearson_r", "spearman_rho"), "pearson_r", "spearman_rho")
+    pairs = [(s, t) for s in SIGNALS for t in RETURNS]
+    found = sy.correlations(rounded(_studied(spark, sf_dir), "peak_fill", *RETURNS, digits=9), pairs)
+    return rounded(found.select("signal", "target", "n", "pearson_r", "spearman_rho"), "pearson_r", "spearman_rho")
 
 
 @query("gap_corr_p")
 def gap_corr_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sy.correlations(_studied(spark, sf_dir), [(s, t) for s in ("peak_fill", "closed", "bars_to_threshold", "bars_to_peak") for t in RETURNS])
+    return sy.correlations(_studied(spark, sf_dir), [(s, t) for s in SIGNALS for t in RETURNS])
 
 
 @query("price_pivot_pairs", ATR_HEAD + zigzag_sql(2.0) + " SELECT * FROM (SELECT ticker, kind, idx, round(value, 6) AS value, lead(idx) OVER (PARTITION BY ticker, kind ORDER BY idx) AS next_idx, round(lead(value) OVER (PARTITION BY ticker, kind ORDER BY idx), 6) AS next_value FROM turns) WHERE next_idx IS NOT NULL")
@@ -124,10 +133,42 @@ def divergence_confluence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.confluence(st.divergences(inp.walk_bars(spark, sf_dir)))
 
 
-@query("fib_sets")
+def _swings_sql() -> str:
+    """Swings of closes between successive turns at each scale; of a smaller scale those that no larger scale has."""
+    out, larger = "", []
+    for scale in sorted(st.SCALES, reverse=True):
+        tag = f"_{scale:.0f}"
+        near = " AND ".join(f"NOT EXISTS (SELECT 1 FROM s{x} o WHERE o.ticker = q.ticker AND abs(o.origin_idx - q.origin_idx) <= {st.NEAR} AND abs(o.end_idx - q.end_idx) <= {st.NEAR})" for x in larger) or "true"
+        out += zigzag_sql(scale, '"close"', '"close"', tag=tag, first=st.WARM_UP)
+        out += f""", s{tag} AS (SELECT * FROM (SELECT ticker, CAST({scale} AS DOUBLE) AS scale, CASE kind WHEN 'low' THEN 'up' ELSE 'down' END AS direction, ts AS origin_date, value AS origin_price, idx AS origin_idx,
+  lead(ts) OVER w AS end_date, lead(value) OVER w AS end_price, lead(idx) OVER w AS end_idx, abs(lead(value) OVER w - value) / lead(atr) OVER w AS magnitude_atr, lead(idx) OVER w - idx AS duration_bars, lead(confirmed_at) OVER w AS confirmed_at,
+  atr > 0 AND lead(atr) OVER w > 0 AND greatest(atr, lead(atr) OVER w) <= 10 * least(atr, lead(atr) OVER w) AS consistent FROM turns{tag} WINDOW w AS (PARTITION BY ticker ORDER BY idx)) q
+  WHERE consistent AND magnitude_atr >= {st.MIN_SWING} AND {near})"""
+        larger.append(tag)
+    return out + ", long_enough AS (SELECT ticker, max(idx) AS last_idx FROM walk GROUP BY 1 HAVING count(*) >= 150), swings AS (SELECT q.* EXCLUDE (consistent), CAST(last_idx - end_idx AS INTEGER) AS age_bars FROM (" + " UNION ALL ".join(f"SELECT * FROM s{x}" for x in larger) + ") q JOIN long_enough USING (ticker))"
+
+
+FIB_SQL = ATR_HEAD + _swings_sql() + f""", weighed AS (SELECT *, 0.5 * greatest(0, least(1, magnitude_atr / 40)) + 0.2 * greatest(0, least(1, duration_bars / 250)) + 0.3 * pow(0.5, age_bars / {st.HALF_LIFE}) AS weight FROM swings),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY weight DESC, origin_idx, end_idx) AS INTEGER) AS rank FROM weighed),
+ sets AS (SELECT r.*, (SELECT min(b.ts) FROM walk b WHERE b.ticker = r.ticker AND b.ts > r.end_date AND CASE r.direction WHEN 'up' THEN b."close" < r.origin_price ELSE b."close" > r.origin_price END) AS invalidated_at FROM ranked r WHERE rank <= {st.MAX_SETS})"""
+FIB = ["ticker", "scale", "direction", "origin_date", "origin_price", "origin_idx", "end_date", "end_price", "end_idx", "magnitude_atr", "duration_bars", "confirmed_at", "age_bars", "weight", "invalidated_at", "status", "rank"]
+
+
+@query("fib_sets", FIB_SQL + " SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in ("origin_price", "end_price", "magnitude_atr", "weight") else "CASE WHEN invalidated_at IS NULL THEN 'active' ELSE 'invalidated' END AS status" if c == "status" else c for c in FIB) + " FROM sets")
 def fib_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.walk_bars(spark, sf_dir)
-    return st.fib_sets(st.swings(b), b)
+    return rounded(st.fib_sets(st.swings(b), b).select(*FIB), "origin_price", "end_price", "magnitude_atr", "weight")
+
+
+def _levels_sql() -> str:
+    level = lambda r, kind, a, b: f"{{'ratio': CAST({r} AS DOUBLE), 'kind': '{kind}', 'price': {a} + {r} * ({b} - {a})}}"
+    return ", ".join([*(level(r, "retracement", "end_price", "origin_price") for r in st.RETRACEMENTS), *(level(r, "extension", "origin_price", "end_price") for r in st.EXTENSIONS)])
+
+
+@query("fib_levels", FIB_SQL + f" SELECT ticker, origin_idx, end_idx, l.ratio AS ratio, l.kind AS kind, round(l.price, 6) AS price FROM (SELECT ticker, origin_idx, end_idx, unnest([{_levels_sql()}]) AS l FROM sets)")
+def fib_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = inp.walk_bars(spark, sf_dir)
+    return rounded(st.fib_sets(st.swings(b), b).select("ticker", "origin_idx", "end_idx", F.explode("levels").alias("l")).select("ticker", "origin_idx", "end_idx", "l.*"), "price")
 
 
 @query("fib_level_touches")
@@ -162,10 +203,17 @@ def avwap_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(st.interactions(st.anchored(b, _extremes(b))), "current_value", "pct_bars_above", "pct_bars_below"), "distance_atr", "avg_reaction_atr_on_touch", digits=5)
 
 
-@query("avwap_anchors")
+ANCHORS_SQL = ATR_HEAD + ", " + inp.atr_sql(out="late_bars", first=st.WARM_UP) + zigzag_sql(st.CYCLE_ATRS, '"close"', '"close"', tag="_c", source="late_bars", first=st.WARM_UP) + f""", back AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY idx DESC) AS b FROM walk),
+ roles AS (SELECT ticker, 'ath' AS role, arg_max(ts, {{'h': high, 'i': -idx}}) AS anchor_date FROM walk GROUP BY 1 UNION ALL SELECT ticker, 'atl', arg_max(ts, {{'l': -low, 'i': -idx}}) FROM walk GROUP BY 1
+ UNION ALL SELECT ticker, '52w_high', arg_max(ts, {{'h': high, 'i': -idx}}) FROM back WHERE b <= {st.TRAILING} GROUP BY 1 UNION ALL SELECT ticker, '52w_low', arg_max(ts, {{'l': -low, 'i': -idx}}) FROM back WHERE b <= {st.TRAILING} GROUP BY 1
+ UNION ALL SELECT ticker, 'cycle_' || kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS n FROM turns_c) WHERE n <= {st.CYCLE_ANCHORS})"""
+
+
+@query("avwap_anchors", ANCHORS_SQL + " SELECT ticker, anchor_date, string_agg(role, ',' ORDER BY role) AS roles, 'active' AS status FROM (SELECT DISTINCT * FROM roles) GROUP BY 1, 2")
 def avwap_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.walk(spark, sf_dir)
-    return st.anchors(b, br.with_turns(b.filter(F.col("idx") >= st.WARM_UP), st.CYCLE_ATRS, "close"))
+    found = st.anchors(b, br.with_turns(b.filter(F.col("idx") >= st.WARM_UP), st.CYCLE_ATRS, "close"))
+    return found.withColumn("roles", F.array_join("roles", ","))
 
 
 @query("sr_lines")
