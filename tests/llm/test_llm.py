@@ -413,7 +413,9 @@ def test_toxicity_on_awkward_rows(spark):
     assert got["doc_id"].isna().sum() == 2 and (got["doc_id"] == 6).sum() == 2
     assert toxicity.score(frame.limit(0), net, keep=["doc_id"]).count() == 0
     assert set(toxicity.score(frame, None, keep=["doc_id"]).toPandas()["score"]) == {0.0}
-    assert toxicity.fit(frame.limit(0).withColumn("toxic", F.lit(1))) is None
+    labels = spark.createDataFrame([(i, int(i % 2), "x") for i in range(1, 9)] + [(None, 1, "x"), (4, None, "x")], "doc_id long, toxic int, text string")
+    assert toxicity.fit(frame, labels.limit(0)) is None and toxicity.fit(frame.limit(0), labels) is None
+    assert toxicity.fit(frame, labels) is not None
 
 
 def test_toxicity_gradients():

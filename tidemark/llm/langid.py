@@ -196,9 +196,9 @@ class Identifier:
         return langs, scores
 
 
-def sample(labelled: DataFrame, label: str, keys: list[str], bound: int, salt: int = 0) -> DataFrame:
+def sample(labelled: DataFrame, label: str, keys: list[str], bound: int, salt: int = 0, totals: dict | None = None) -> DataFrame:
     """About ``bound`` rows of each label, by a hash of their keys: the same rows on every run."""
-    totals = {r[0]: r[1] for r in labelled.groupBy(label).count().collect() if r[0] is not None}
+    totals = totals or {r[0]: r[1] for r in labelled.groupBy(label).count().collect() if r[0] is not None}
     keep = F.lit(False)
     draw = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1_000_000))
     for value, n in totals.items():

@@ -382,14 +382,19 @@ class Scorer:
             np.maximum.at(best, whose[owner[part]], self.net.windows(self.forward, self.backward, rows[part], mask[part]))
 
 
-def fit(labelled: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", bound: int = SAMPLE_DOCS) -> Network | None:
-    """``labelled``: rows that may be learned from, with 0 or 1 in ``label_col``; null texts and labels teach nothing."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", bound: int = SAMPLE_DOCS) -> Network | None:
+    """Trained on the ``docs`` that ``labels`` (id and 0 or 1) calls; null texts and labels teach nothing.
+
+    The labels are drawn first, about ``bound`` of each kind, so what meets the documents is bounded and no text is shuffled.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    counts = {int(r[0]): r[1] for r in known.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return None
-    got = sorted(((r[0], int(r[1])) for r in sample(rows, label_col, [id_col], bound).select(text_col, label_col).collect()))
-    return train([t for t, _ in got], np.array([y for _, y in got]), counts[1] / sum(counts.values()))
+    drawn = F.broadcast(sample(known, "_label", ["_id"], bound, totals=counts))
+    met = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(drawn, F.col("_doc") == F.col("_id"))
+    got = sorted((r[0], int(r[1])) for r in met.select("_text", "_label").collect())
+    return train([t for t, _ in got], np.array([y for _, y in got], np.int64), counts[1] / sum(counts.values()))
 
 
 def score(docs: DataFrame, net: Network | None, *, keep: list[str], text_col: str = "text") -> DataFrame:
