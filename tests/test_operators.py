@@ -180,11 +180,11 @@ def test_store(spark, tmp_path):
 
 
 def test_vendors(spark, tmp_path):
-    spark.dataSource.register(vendors.LandedBars)
     (tmp_path / "a.json").write_text(json.dumps({"ticker": "A", "results": [{"t": 1704153600000, "o": 1, "h": 2, "l": 1, "c": 1.5, "v": 3}]}))
     (tmp_path / "b.json").write_text(json.dumps({"results": None}))
-    (r,) = spark.read.format("landed_bars").load(str(tmp_path)).collect()
-    assert (r["ticker"], r["ts"], r["close"]) == ("A", datetime(2024, 1, 2), 1.5)
+    (tmp_path / "day.json").write_text(json.dumps({"results": [{"T": "B", "t": 1704153600500, "c": 2.5}]}))
+    got = sorted((r["ticker"], r["ts"], r["close"], r["open"]) for r in vendors.landed_bars(spark, f"file://{tmp_path}/*.json").collect())
+    assert got == [("A", datetime(2024, 1, 2), 1.5, 1.0), ("B", datetime(2024, 1, 2, 0, 0, 0, 500_000), 2.5, None)]
     values = vendors.observations(spark.createDataFrame([("CPI", "2024-01-01", "3.5"), ("CPI", "2024-02-01", "."), ("DGS10", "2024-01-01", "4")], "series_id string, date string, value string"))
     first = spark.createDataFrame([("CPI", D(2024, 1, 1), D(2024, 2, 13), 3.4)], "series_id string, date date, published_at date, first_published_value double")
     got = {r["series_id"]: (r["published_at"], r["first_published_value"]) for r in vendors.with_publication(values, first).collect()}

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import core, more, structures  # noqa: F401
+from tidemark.plans import core, more, stores, structures  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

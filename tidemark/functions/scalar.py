@@ -80,3 +80,8 @@ def partial_on(ts: Column, as_of: str) -> Column:
 def share_class_symbol(symbol: Column) -> Column:
     """A dotted share class as the other vendor writes it: BRK.B, BRK-B."""
     return F.translate(symbol, ".", "-")
+
+
+def dotted_symbol(symbol: Column) -> Column:
+    """The way back from :func:`share_class_symbol`: BRK-B, BRK.B."""
+    return F.translate(symbol, "-", ".")

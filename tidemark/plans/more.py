@@ -28,28 +28,12 @@ def presence_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.presence_intervals(_monthly(spark, sf_dir))
 
 
-@query("universe_tickers", "WITH " + inp.MEMBERSHIP_SQL + " SELECT DISTINCT ticker FROM membership WHERE index_name IN ('IDX')")
-def universe_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inp.membership(spark).filter(F.col("index_name").isin("IDX")).select("ticker").distinct()
-
-
-@query("pending_keys", "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def pending_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = inp.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
-    return inp.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(done, "key", "left_anti")
-
-
 @query("last_weekday", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS day, CAST(CAST(l_shipdate AS DATE) - CAST(greatest(0, isodow(l_shipdate) - 5) AS INTEGER) AS DATE) AS weekday FROM lineitem")
 def last_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     return inp.table(spark, sf_dir, "lineitem").select(day.alias("day"), scalar.last_weekday(day).alias("weekday")).distinct()
 
 
-@query("dedup_keep_last", "SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
-def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inp.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice"))
-
-
 RETURNS_SQL = BRANDS + ", f AS (SELECT ticker FROM brand GROUP BY 1), ret AS (SELECT ticker, ts, coalesce(\"close\" / lag(\"close\") OVER (PARTITION BY ticker ORDER BY ts), 1.0) AS gross FROM brand)"
 
 

@@ -1,4 +1,4 @@
-"""Vendors' payloads as frames, and landed bars as a Spark data source.
+"""Vendors' payloads as frames.
 
 Fetching itself belongs to whoever has the network and the keys: responses land as JSON files, one for
 each ticker or day, and everything from there on is distributed.
@@ -6,55 +6,29 @@ each ticker or day, and everything from there on is distributed.
 
 from __future__ import annotations
 
-import json
 import time
 from collections import deque
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BAR_SCHEMA = "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 #: Series that count as published on the day they are quoted for.
 SAME_DAY = ("DFF", "DGS3MO", "DGS2", "DGS10", "T10Y2Y", "VIXCLS", "SP500")
+#: A result is a map, as its names T and t differ by case alone.
+PAYLOAD = "ticker string, results array<map<string,string>>"
 
 
-class LandedFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def landed_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of a folder of JSON payloads, one object a line: ``{"ticker": ..., "results": [{"t": epoch ms, "o", "h", "l", "c", "v"}]}``.
 
-
-class LandedBars(DataSource):
-    """``spark.read.format("landed_bars").load(folder)``: one input partition for each file of
-    ``{"ticker": ..., "results": [{"t": epoch ms, "o", "h", "l", "c", "v"}]}``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "landed_bars"
-
-    def schema(self) -> str:
-        return BAR_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return LandedReader(self.options["path"])
-
-
-class LandedReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://")
-
-    def partitions(self) -> list[InputPartition]:
-        return [LandedFile(str(p)) for p in sorted(Path(self.folder).glob("*.json"))]
-
-    def read(self, partition: LandedFile):
-        from datetime import UTC, datetime
-
-        body = json.loads(Path(partition.path).read_text())
-        for r in body.get("results") or []:
-            moment = datetime.fromtimestamp(r["t"] / 1000, UTC).replace(tzinfo=None)
-            yield (r.get("T") or body.get("ticker"), moment, *(None if r.get(c) is None else float(r[c]) for c in "ohlcv"))
+    A result may name its own ticker (``T``), as those of a whole day do; a payload without results gives no rows.
+    """
+    each = spark.read.schema(PAYLOAD).json(folder).select("ticker", F.explode("results").alias("r"))
+    field = lambda name, kind: F.col("r")[name].cast(kind)
+    moment = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (field("t", "bigint") / 1000).cast("decimal(18,6)"))
+    prices = [field(c, "double").alias(name) for c, name in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)]
+    return each.select(F.coalesce(field("T", "string"), "ticker").alias("ticker"), moment.alias("ts"), *prices)
 
 
 def splits(landed: DataFrame) -> DataFrame:
