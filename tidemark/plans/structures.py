@@ -171,10 +171,24 @@ def fib_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.fib_sets(st.swings(b), b).select("ticker", "origin_idx", "end_idx", F.explode("levels").alias("l")).select("ticker", "origin_idx", "end_idx", "l.*"), "price")
 
 
-@query("fib_level_touches")
+#: Every level walks the bars after its swing: the side of the close it came from, and since which bar a close beyond is undecided.
+TOUCH_SQL = FIB_SQL + f""", lv AS (SELECT ticker, origin_idx, end_idx, l.ratio AS ratio, l.kind AS kind, l.price AS price FROM (SELECT ticker, origin_idx, end_idx, unnest([{_levels_sql()}]) AS l FROM sets)),
+ e AS (SELECT *, end_idx AS idx, 0 AS side, CAST(NULL AS INTEGER) AS since, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS INTEGER) AS began, 0 AS came FROM lv
+ UNION ALL SELECT ticker, origin_idx, end_idx, ratio, kind, price, idx, CASE WHEN side = 0 THEN here WHEN event = 'break' THEN -side ELSE side END,
+   CASE WHEN side = 0 OR event IS NOT NULL THEN NULL WHEN since IS NOT NULL THEN since WHEN here = -side THEN idx END, event, CASE WHEN event IS NOT NULL THEN coalesce(since, idx) END, side FROM
+  (SELECT *, CASE WHEN side = 0 THEN NULL WHEN since IS NULL THEN CASE WHEN here = side AND met THEN 'meet' END WHEN here = side THEN 'return' WHEN idx = since + {st.RECLAIM} THEN 'break' END AS event FROM
+   (SELECT e.ticker, e.origin_idx, e.end_idx, e.ratio, e.kind, e.price, CAST(b.idx AS INTEGER) AS idx, e.side, e.since, CASE WHEN b."close" > e.price + half THEN 1 WHEN b."close" < e.price - half THEN -1 ELSE 0 END AS here, b.low <= e.price + half AND b.high >= e.price - half AS met
+    FROM e JOIN (SELECT *, CASE WHEN atr > 0 THEN {st.TOUCH_ATR} * atr ELSE 0 END / 2 AS half FROM bars) b ON b.ticker = e.ticker AND b.idx = e.idx + 1))),
+ ahead AS (SELECT ticker, idx, atr, "close", max(high) OVER w AS hh, min(low) OVER w AS ll FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {st.REACH} FOLLOWING)),
+ met AS (SELECT e.*, CASE WHEN e.event = 'break' THEN NULL WHEN a.atr > 0 AND a.hh IS NOT NULL THEN greatest(0, CASE WHEN came > 0 THEN a.hh - a."close" ELSE a."close" - a.ll END / a.atr) ELSE 0 END AS move FROM e JOIN ahead a ON a.ticker = e.ticker AND a.idx = e.began WHERE event IS NOT NULL),
+ touched AS (SELECT ticker, origin_idx, end_idx, ratio, kind, count(*) FILTER (event <> 'break') AS n_touches, count(*) FILTER (event = 'break') AS n_violations, min(began) FILTER (event <> 'break') AS first_idx, max(idx) FILTER (event <> 'break') AS last_idx, avg(move) AS avg_reaction_atr FROM met GROUP BY ALL)"""
+
+
+@query("fib_level_touches", TOUCH_SQL + """ SELECT l.ticker, l.origin_idx, l.end_idx, l.ratio, l.kind, round(l.price, 6) AS price, coalesce(n_touches, 0) AS n_touches, coalesce(n_violations, 0) AS n_violations, f.ts AS first_touch_date, t.ts AS last_touch_date,
+ round(avg_reaction_atr, 6) AS avg_reaction_atr, coalesce(n_touches, 0) > 0 AND coalesce(n_violations, 0) = 0 AS respected FROM lv l LEFT JOIN touched USING (ticker, origin_idx, end_idx, ratio, kind) LEFT JOIN walk f ON f.ticker = l.ticker AND f.idx = first_idx LEFT JOIN walk t ON t.ticker = l.ticker AND t.idx = last_idx""")
 def fib_level_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.walk_bars(spark, sf_dir)
-    return st.level_touches(st.fib_sets(st.swings(b), b), b)
+    return rounded(st.level_touches(st.fib_sets(st.swings(b), b), b), "price", "avg_reaction_atr")
 
 
 ANCHOR_SQL = ATR_HEAD + """, anchors AS (SELECT ticker, arg_max(ts, {'h': high, 'i': -idx}) AS anchor_date FROM bars GROUP BY 1 UNION SELECT ticker, arg_max(ts, {'l': -low, 'i': -idx}) FROM bars GROUP BY 1),
