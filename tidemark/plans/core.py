@@ -181,20 +181,24 @@ def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("ticker", "ts", "atr", (scalar.ratio(F.col("atr"), F.col("close")) * 100).alias("atr_pct")), "atr", "atr_pct")
 
 
-@query("rsi", HEAD + f""", d AS (SELECT ticker, ts, idx, greatest("close" - lag("close") {OVER}, 0) AS up, greatest(lag("close") {OVER} - "close", 0) AS down FROM walk),
+RSI_SQL = f""", d AS (SELECT ticker, ts, idx, greatest("close" - lag("close") {OVER}, 0) AS up, greatest(lag("close") {OVER} - "close", 0) AS down FROM walk),
  r AS (SELECT ticker, 14 AS idx, avg(up) AS g, avg(down) AS l FROM d WHERE idx BETWEEN 1 AND 14 GROUP BY ticker HAVING count(*) = 14
- UNION ALL SELECT d.ticker, d.idx, r.g + (d.up - r.g) / 14, r.l + (d.down - r.l) / 14 FROM r JOIN d ON d.ticker = r.ticker AND d.idx = r.idx + 1)
- SELECT ticker, ts, round(CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END, 6) AS rsi14 FROM d LEFT JOIN r USING (ticker, idx)""")
+ UNION ALL SELECT d.ticker, d.idx, r.g + (d.up - r.g) / 14, r.l + (d.down - r.l) / 14 FROM r JOIN d ON d.ticker = r.ticker AND d.idx = r.idx + 1)"""
+
+
+@query("rsi", HEAD + RSI_SQL + """ SELECT ticker, ts, round(CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END, 6) AS rsi14 FROM d LEFT JOIN r USING (ticker, idx)""")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = br.with_kernel(inp.walk(spark, sf_dir), {"rsi14": lambda p: kernels.rsi(p["close"].to_numpy(float), 14)})
     return rounded(out.select("ticker", "ts", "rsi14"), "rsi14")
 
 
-@query("macd", HEAD + """, f AS (SELECT ticker, 25 AS idx, avg("close") FILTER (idx BETWEEN 14 AND 25) AS f, avg("close") FILTER (idx < 26) AS s FROM walk GROUP BY ticker HAVING max(idx) >= 25
+MACD_SQL = """, f AS (SELECT ticker, 25 AS idx, avg("close") FILTER (idx BETWEEN 14 AND 25) AS f, avg("close") FILTER (idx < 26) AS s FROM walk GROUP BY ticker HAVING max(idx) >= 25
  UNION ALL SELECT w.ticker, w.idx, f.f + 2.0 / 13 * (w."close" - f.f), f.s + 2.0 / 27 * (w."close" - f.s) FROM f JOIN walk w ON w.ticker = f.ticker AND w.idx = f.idx + 1),
  g AS (SELECT ticker, 33 AS idx, avg(f - s) AS e FROM f WHERE idx BETWEEN 25 AND 33 GROUP BY ticker HAVING count(*) = 9
- UNION ALL SELECT f.ticker, f.idx, g.e + 2.0 / 10 * (f.f - f.s - g.e) FROM g JOIN f ON f.ticker = g.ticker AND f.idx = g.idx + 1)
- SELECT ticker, ts, round(CASE WHEN e IS NOT NULL THEN f - s END, 6) AS macd, round(e, 6) AS macd_signal, round(f - s - e, 6) AS macd_hist FROM walk LEFT JOIN f USING (ticker, idx) LEFT JOIN g USING (ticker, idx)""")
+ UNION ALL SELECT f.ticker, f.idx, g.e + 2.0 / 10 * (f.f - f.s - g.e) FROM g JOIN f ON f.ticker = g.ticker AND f.idx = g.idx + 1)"""
+
+
+@query("macd", HEAD + MACD_SQL + """ SELECT ticker, ts, round(CASE WHEN e IS NOT NULL THEN f - s END, 6) AS macd, round(e, 6) AS macd_signal, round(f - s - e, 6) AS macd_hist FROM walk LEFT JOIN f USING (ticker, idx) LEFT JOIN g USING (ticker, idx)""")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda i: lambda p: kernels.macd(p["close"].to_numpy(float))[i]
     out = br.with_kernel(inp.walk(spark, sf_dir), {"macd": part(0), "macd_signal": part(1), "macd_hist": part(2)})

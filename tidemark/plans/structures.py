@@ -12,7 +12,7 @@ from tidemark.operators import patterns as pt
 from tidemark.operators import structures as st
 from tidemark.operators import study as sy
 from tidemark.plans import inputs as inp
-from tidemark.plans.core import ATR_HEAD, OVER, query, rounded, sma_sql, zigzag_sql
+from tidemark.plans.core import ATR_HEAD, MACD_SQL, OVER, RSI_SQL, frame, query, rounded, sma_sql, zigzag_sql
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,14 +123,65 @@ def price_pivot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.turn_pairs(br.with_turns(inp.walk(spark, sf_dir), 2.0)), "value", "next_value")
 
 
-@query("divergences")
+#: Each indicator's value by bar, and the bar its study begins at.
+INDICATORS = {
+    "rsi": ("SELECT w.ticker, w.ts, w.idx, CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END AS v FROM walk w LEFT JOIN r USING (ticker, idx)", st.WARM_UP),
+    "macd_hist": ("SELECT w.ticker, w.ts, w.idx, f.f - f.s - g.e AS v FROM walk w LEFT JOIN f USING (ticker, idx) LEFT JOIN g USING (ticker, idx)", st.STD_BARS),
+    "obv": (f'SELECT ticker, ts, idx, sum(CASE WHEN p IS NULL THEN volume ELSE sign("close" - p) * volume END) {OVER} AS v FROM (SELECT *, lag("close") {OVER} AS p FROM walk)', st.STD_BARS),
+    "volume": (f"SELECT ticker, ts, idx, {sma_sql('lv', 5)} AS v FROM (SELECT *, ln(greatest(volume, 1e-9)) AS lv FROM walk)", st.STD_BARS),
+}
+
+
+def _diverging_sql(name: str) -> str:
+    """``div_NAME``: pairs of successive price turns of one kind between which the indicator turned the other way.
+
+    Price turns take their indicator turns one after the other, each the nearest that no earlier one took.
+    """
+    values, first = INDICATORS[name]
+    scale = f"CAST({st.RSI_POINTS} AS DOUBLE)" if name == "rsi" else f"CASE WHEN count(v) {frame(st.STD_BARS)} = {st.STD_BARS} THEN stddev_samp(v) {frame(st.STD_BARS)} END"
+    own = f", ind_{name} AS (SELECT *, {scale} AS atr FROM ({values}))" + zigzag_sql(1.0, "v", "v", tag=f"_{name}", source=f"ind_{name}", first=first)
+    span = "PARTITION BY ticker, kind ORDER BY idx"
+    both = ", ".join(f"{c} AS {c}1, lead({c}) OVER w AS {c}2" for c in ("ts", "value", "idx", "atr", "took", "i_value", "scale", "confirmed_idx", "i_confirmed"))
+    alike = lambda a, b: f"coalesce({a} > 0 AND {b} > 0 AND greatest({a}, {b}) <= 10 * least({a}, {b}), false)"
+    return own + f""", pt_{name} AS (SELECT t.*, row_number() OVER (PARTITION BY ticker ORDER BY idx) AS k, (SELECT list(2 * o.idx + CAST(o.kind = 'high' AS INTEGER) ORDER BY abs(o.idx - t.idx), o.idx) FROM turns_{name} o WHERE o.ticker = t.ticker AND o.kind = t.kind AND abs(o.idx - t.idx) <= {st.PAIRING}) AS near FROM turns_p{first} t),
+ pair_{name} AS (SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS gone, CAST(NULL AS INTEGER) AS took FROM pt_{name}
+ UNION ALL SELECT ticker, k, CASE WHEN took IS NULL THEN gone ELSE list_append(gone, took) END, took FROM (SELECT p.ticker, p.k, q.gone, list_filter(coalesce(p.near, CAST([] AS INTEGER[])), lambda c: NOT list_contains(q.gone, c))[1] AS took FROM pair_{name} q JOIN pt_{name} p ON p.ticker = q.ticker AND p.k = q.k + 1)),
+ mt_{name} AS (SELECT p.*, q.took, o.value AS i_value, o.confirmed_idx AS i_confirmed, m.atr AS scale FROM pt_{name} p JOIN pair_{name} q USING (ticker, k) LEFT JOIN turns_{name} o ON o.ticker = p.ticker AND o.kind = p.kind AND 2 * o.idx + CAST(o.kind = 'high' AS INTEGER) = q.took LEFT JOIN ind_{name} m ON m.ticker = p.ticker AND m.idx = p.idx),
+ div_{name} AS (SELECT ticker, '{name}' AS indicator, CASE kind WHEN 'high' THEN 'bearish' ELSE 'bullish' END AS direction, ts1, ts2, value1, value2, i_value1, i_value2, idx2, idx2 - idx1 AS span, abs(value2 - value1) / atr2 AS move, greatest(confirmed_idx2, i_confirmed2) AS seen,
+   CASE WHEN {alike('scale1', 'scale2')} THEN abs(i_value2 - i_value1) / scale2 END AS gap
+  FROM (SELECT ticker, kind, {both} FROM mt_{name} WINDOW w AS ({span})) WHERE idx2 - idx1 >= {st.SPAN} AND took1 IS NOT NULL AND took2 IS NOT NULL AND {alike('atr1', 'atr2')}
+   AND CASE kind WHEN 'high' THEN value2 > value1 AND i_value2 < i_value1 ELSE value2 < value1 AND i_value2 > i_value1 END)"""
+
+
+def _divergences_sql(names: tuple[str, ...]) -> str:
+    prices = "".join(zigzag_sql(2.0, '"close"', '"close"', tag=f"_p{n}", first=n) for n in sorted({INDICATORS[x][1] for x in names}))
+    every = " UNION ALL ".join(f"SELECT * FROM div_{x}" for x in names)
+    return ATR_HEAD + RSI_SQL + MACD_SQL + prices + "".join(map(_diverging_sql, names)) + f""", dv AS (SELECT d.*, b.ts AS confirmed_at FROM ({every}) d JOIN bars b ON b.ticker = d.ticker AND b.idx = d.seen),
+ ahead AS (SELECT d.ticker, indicator, direction, idx2, b.ts, b.idx - seen AS step, CASE direction WHEN 'bullish' THEN b.low < value2 ELSE b.high > value2 END AS broke, greatest(0, CASE direction WHEN 'bullish' THEN b.high - value2 ELSE value2 - b.low END / b.atr) AS gain
+  FROM dv d JOIN bars b ON b.ticker = d.ticker AND b.idx BETWEEN seen + 1 AND seen + {st.OUTCOME_BARS} WHERE b.atr > 0),
+ after AS (SELECT ticker, indicator, direction, idx2, max(gain) AS best, CASE WHEN max(gain) > 0 THEN arg_min(step, {{'g': -gain, 's': step}}) END AS bars_to_max, min(ts) FILTER (broke) AS invalidated_at FROM ahead GROUP BY 1, 2, 3, 4),
+ found AS (SELECT dv.*, 0.5 * least(coalesce(gap, 0) / {st.GAP_CAP}, 1) + 0.3 * least(move / {st.MOVE_CAP}, 1) + 0.2 * least(span / {st.SPAN_CAP}, 1) AS strength, a.best, a.bars_to_max, a.invalidated_at FROM dv LEFT JOIN after a USING (ticker, indicator, direction, idx2))"""
+
+
+DIVERGENCE_SQL = """ticker, indicator, direction, ts1 AS p1_date, ts2 AS p2_date, round(value1, 6) AS p1_price, round(value2, 6) AS p2_price, round(i_value1, 5) AS i1_value, round(i_value2, 5) AS i2_value, round(strength, 6) AS strength, span AS duration_bars, round(move, 6) AS price_move_atr, round(gap, 5) AS indicator_gap,
+ ts2 AS appeared_at, confirmed_at, idx2 AS p2_idx, round(best, 6) AS max_favorable_move_atr, bars_to_max, invalidated_at IS NOT NULL AS invalidated, invalidated_at"""
+
+
+def _divergence_rounded(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, "p1_price", "p2_price", "strength", "price_move_atr", "max_favorable_move_atr"), "i1_value", "i2_value", "indicator_gap", digits=5)
+
+
+@query("divergences", _divergences_sql(("rsi", "macd_hist", "obv", "volume")) + " SELECT " + DIVERGENCE_SQL + " FROM found")
 def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.divergences(inp.walk_bars(spark, sf_dir), ("rsi", "macd_hist", "obv", "volume"))
+    return _divergence_rounded(st.divergences(inp.walk_bars(spark, sf_dir), ("rsi", "macd_hist", "obv", "volume")))
 
 
-@query("divergence_confluence")
+@query("divergence_confluence", _divergences_sql(("rsi", "macd_hist", "obv")) + f""", runs AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker, direction ORDER BY idx2 RANGE UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, CASE WHEN idx2 - lag(idx2) OVER (PARTITION BY ticker, direction ORDER BY idx2) <= {st.PAIRING} THEN 0 ELSE 1 END AS fresh FROM found)),
+ named AS (SELECT ticker, direction, run, string_agg(indicator, ',' ORDER BY indicator) AS confluent, count(*) AS confluence FROM (SELECT DISTINCT ticker, direction, run, indicator FROM runs) GROUP BY 1, 2, 3)
+ SELECT ticker, indicator, direction, idx2 AS p2_idx, confluence, confluent FROM runs JOIN named USING (ticker, direction, run)""")
 def divergence_confluence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.confluence(st.divergences(inp.walk_bars(spark, sf_dir)))
+    return st.confluence(st.divergences(inp.walk_bars(spark, sf_dir))).select("ticker", "indicator", "direction", "p2_idx", "confluence", "confluent")
 
 
 def _swings_sql() -> str:
