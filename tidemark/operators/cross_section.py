@@ -13,6 +13,7 @@ from tidemark.functions.windows import percentile_rank, series, sma, weighted_re
 from tidemark.operators.bars import resample, with_kernel
 from tidemark.operators.joins import as_of, later_product, within
 
+#: A filing's tolerance, the spans and weights of the weighted return, weeks of the oscillator.
 FILING_TOLERANCE = 1.2
 RETURN_SPANS, RETURN_WEIGHTS = (63, 126, 189, 252), (0.4, 0.2, 0.2, 0.2)
 MANSFIELD_WEEKS = 52
@@ -86,7 +87,7 @@ def breadth(prices: DataFrame, membership: DataFrame, *, sma_periods: tuple[int,
     """
     if weighting not in ("equal", "cap"):
         raise ValueError(f"unknown weighting {weighting!r}")
-    closes = prices.join(F.broadcast(membership.select("ticker").distinct()), "ticker", "left_semi").select("ticker", "ts", "close")
+    closes = prices.join(membership.select("ticker").distinct(), "ticker", "left_semi").select("ticker", "ts", "close")
     marked = with_kernel(closes, {f"ema{n}": lambda p, n=n: kernels.ema(p["close"].to_numpy(float), n) for n in ema_periods}) if ema_periods else closes
     w = series()
     marked = marked.select("*", *[sma(F.col("close"), n, w).alias(f"sma{n}") for n in sma_periods], F.lag("close").over(w).alias("prior_close"))

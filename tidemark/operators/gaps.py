@@ -74,9 +74,12 @@ def fills(gaps: DataFrame, bars: DataFrame, by: str = "wick") -> DataFrame:
     return left.cogroup(bars.select("ticker", "idx", "ts", "open", "high", "low", "close").groupBy("ticker")).applyInPandas(run, FILL)
 
 
-def lifecycle(gaps: DataFrame, bars: DataFrame, by: str = "wick", soft: float = SOFT) -> DataFrame:
-    """Gaps with status, dates and bar counts of their first touch, soft close and close, approaches and volume."""
-    walked = fills(gaps, bars, by)
+def lifecycle(gaps: DataFrame, bars: DataFrame, by: str = "wick", soft: float = SOFT, walked: DataFrame | None = None) -> DataFrame:
+    """Gaps with status, dates and bar counts of their first touch, soft close and close, approaches and volume.
+
+    ``walked``: the gaps' :func:`fills`, where the caller has them.
+    """
+    walked = fills(gaps, bars, by) if walked is None else walked
     first = lambda cond, name: [F.min(F.when(cond, F.col("ts"))).alias(f"{name}_date"), F.min(F.when(cond, F.col("idx") - F.col("created_idx"))).alias(f"bars_to_{name}")]
     life = walked.groupBy(*GAP).agg(F.max("pct").alias("max_fill_pct"), *first(F.col("pct") > 0, "first_touch"), *first(F.col("max_pct") >= soft, "soft_closed"), *first(F.col("max_pct") >= 100, "closed"))
     seen = approaches(walked)

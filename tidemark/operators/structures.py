@@ -32,6 +32,7 @@ def _rolling(x: np.ndarray, n: int, how: str) -> np.ndarray:
     return getattr(pd.Series(x).rolling(n), how)().to_numpy()
 
 
+#: Fixed values of this module: spans, shares, weights and ratios that results depend on.
 # Divergences ------------------------------------------------------------------------------------
 
 PAIRING, SPAN, STD_BARS, RSI_POINTS, OUTCOME_BARS = 3, 5, 100, 5.0, 20
@@ -154,16 +155,16 @@ def swings(bars: DataFrame) -> DataFrame:
 def fib_sets(found: DataFrame, bars: DataFrame, most: int = MAX_SETS, log: bool = False) -> DataFrame:
     """The weightiest swings of each series with status and levels (an array of ratio, kind, price)."""
     weight = 0.5 * clip(F.col("magnitude_atr") / 40, 0, 1) + 0.2 * clip(F.col("duration_bars") / 250, 0, 1) + 0.3 * F.pow(F.lit(0.5), F.col("age_bars") / HALF_LIFE)
-    closes = bars.select(F.col("ticker").alias("_t"), F.col("ts").alias("_d"), "close")
-    beyond = F.when(F.col("direction") == "up", F.col("close") < F.col("origin_price")).otherwise(F.col("close") > F.col("origin_price"))
-    # the first close beyond the origin; swings are few, and each meets only later bars of its own series
-    broken = found.join(closes, (F.col("ticker") == F.col("_t")) & (F.col("_d") > F.col("end_date")) & beyond).groupBy("ticker", "origin_idx", "end_idx").agg(F.min("_d").alias("invalidated_at"))
     level = lambda r, kind, a, b: F.struct(F.lit(r).alias("ratio"), F.lit(kind).alias("kind"), interpolated(a, b, F.lit(r), log).alias("price"))
     o, e = F.col("origin_price"), F.col("end_price")
     levels = F.array(*[level(r, "retracement", e, o) for r in RETRACEMENTS], *[level(r, "extension", o, e) for r in EXTENSIONS])
     ranked = Window.partitionBy("ticker").orderBy(F.col("weight").desc(), "origin_idx", "end_idx")
-    out = found.withColumn("weight", weight).join(broken, ["ticker", "origin_idx", "end_idx"], "left")
-    return out.withColumn("status", F.when(F.col("invalidated_at").isNotNull(), "invalidated").otherwise("active")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most).withColumn("levels", levels)
+    best = found.withColumn("weight", weight).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most).withColumn("levels", levels)
+    # the first close beyond the origin: the few chosen swings of a series meet its later bars
+    closes = bars.select(F.col("ticker").alias("_t"), F.col("ts").alias("_d"), "close")
+    beyond = F.when(F.col("direction") == "up", F.col("close") < F.col("origin_price")).otherwise(F.col("close") > F.col("origin_price"))
+    broken = best.join(closes, (F.col("ticker") == F.col("_t")) & (F.col("_d") > F.col("end_date")) & beyond).groupBy("ticker", "rank").agg(F.min("_d").alias("invalidated_at"))
+    return best.join(broken, ["ticker", "rank"], "left").withColumn("status", F.when(F.col("invalidated_at").isNotNull(), "invalidated").otherwise("active"))
 
 
 TOUCH = "ticker string, origin_idx int, end_idx int, ratio double, kind string, price double, n_touches int, n_violations int, first_touch_date date, last_touch_date date, avg_reaction_atr double, respected boolean"
@@ -225,7 +226,7 @@ def anchors(bars: DataFrame, turns: DataFrame, previous: DataFrame | None = None
 def anchored(bars: DataFrame, at: DataFrame) -> DataFrame:
     """Each anchor's bars from its date on, with the volume-weighted typical price since."""
     w = Window.partitionBy("ticker", "anchor_date").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    met = bars.join(F.broadcast(at.select("ticker", "anchor_date")), "ticker").filter(F.col("ts") >= F.col("anchor_date"))
+    met = bars.join(at.select("ticker", "anchor_date"), "ticker").filter(F.col("ts") >= F.col("anchor_date"))
     price = (F.col("high") + F.col("low") + F.col("close")) / 3
     return met.withColumn("avwap", F.try_divide(F.sum(price * F.col("volume")).over(w), F.sum("volume").over(w)))
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
+from tidemark.operators import bars as br
 from tidemark.operators import joins as jn
 from tidemark.operators import portfolio as pf
 from tidemark.plans import inputs as inp
 from tidemark.plans.core import BRANDS, query, rounded
+from tidemark.streaming import bars as streams
 
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,18 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.correlation(pf.gross_returns(inp.brand(spark, sf_dir))), "corr")
 
 
-@query("portfolio_selection")
+def _selection_sql(size: int) -> str:
+    """Tickers by number in the order of their names; each step takes the free one whose largest correlation with those chosen is least."""
+    return RETURNS_SQL + f""", perf AS (SELECT ticker, product(gross) AS cumulative FROM ret GROUP BY 1), nm AS (SELECT ticker, cumulative, CAST(row_number() OVER (ORDER BY ticker) AS INTEGER) AS i FROM perf),
+ co AS (SELECT a.ticker AS a, b.ticker AS b, coalesce(abs(corr(a.gross, b.gross)), 0) AS c FROM ret a JOIN ret b ON a.ts = b.ts AND a.ticker <> b.ticker GROUP BY 1, 2),
+ line AS (SELECT n.i, n.ticker, n.cumulative, list(CASE WHEN m.i = n.i THEN 0 ELSE coalesce(c, 0) END ORDER BY m.i) AS cs FROM nm n CROSS JOIN nm m LEFT JOIN co ON co.a = n.ticker AND co.b = m.ticker GROUP BY 1, 2, 3),
+ pick AS (SELECT 1 AS pos, [i] AS chosen, cs AS worst FROM (SELECT * FROM line ORDER BY cumulative DESC, ticker DESC LIMIT 1)
+ UNION ALL SELECT pos + 1, list_append(chosen, l.i), list_transform(list_zip(worst, l.cs), lambda z: greatest(z[1], z[2])) FROM
+  (SELECT *, list_position(free, list_min(free)) AS nxt FROM (SELECT *, list_transform(worst, lambda x, i: CASE WHEN list_contains(chosen, i) THEN NULL ELSE x END) AS free FROM pick WHERE pos < {size})) q JOIN line l ON l.i = q.nxt)
+ SELECT pos, l.ticker FROM pick JOIN line l ON l.i = chosen[-1]"""
+
+
+@query("portfolio_selection", _selection_sql(8))
 def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = pf.gross_returns(inp.brand(spark, sf_dir))
     chosen = pf.select(pf.performance(returns).toPandas(), pf.correlation(returns).toPandas(), 8)
@@ -57,19 +70,41 @@ def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("portfolio_walk_forward")
 def portfolio_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), list(range(1997, 2001)))
+    return pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), YEARS)
+
+
+YEARS = list(range(1997, 2001))
+
+
+@query("portfolio_uniform", RETURNS_SQL + f""", y AS (SELECT unnest({YEARS}) AS year), p AS (SELECT DISTINCT y.year, r.ticker FROM ret r JOIN y ON year(r.ts) <= y.year), d AS (SELECT DISTINCT y.year, r.ts FROM ret r JOIN y ON year(r.ts) = y.year),
+ u AS (SELECT d.year, d.ts, avg(coalesce(r.gross, 1.0)) AS g FROM d JOIN p USING (year) LEFT JOIN ret r ON r.ticker = p.ticker AND r.ts = d.ts GROUP BY 1, 2)
+ SELECT CAST(year AS INTEGER) AS year, o.objective, round(product(g), 6) AS uniform_cumulative, round((avg(g) - 1) / (stddev_samp(g) + 1e-9) * sqrt(252), 6) AS uniform_sharpe FROM u CROSS JOIN (VALUES ('sharpe'), ('return')) AS o(objective) GROUP BY 1, 2""")
+def portfolio_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk-forward study's yardstick: equal weights in each test year."""
+    out = pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), YEARS)
+    return rounded(out.select("year", "objective", "uniform_cumulative", "uniform_sharpe"), "uniform_cumulative", "uniform_sharpe")
+
+
+@query("portfolio_single_period", BRANDS + """, m AS (SELECT ticker, CAST(date_trunc('month', ts) AS DATE) AS ts, arg_max("close", ts) AS c FROM brand WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2),
+ full_ AS (SELECT ticker FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ts) FROM m)), g AS (SELECT ticker, ts, coalesce(c / lag(c) OVER (PARTITION BY ticker ORDER BY ts), 1.0) AS gross FROM m WHERE ticker IN (SELECT ticker FROM full_))
+ SELECT ticker, round(product(gross), 6) AS cumulative, round(avg(gross), 9) AS mean, round(stddev_samp(gross), 9) AS deviation, round((avg(gross) - 1) / stddev_samp(gross) * sqrt(252), 6) AS sharpe FROM g GROUP BY 1""")
+def portfolio_single_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One period's statistics of the tickers that have a close in all of it."""
+    b = inp.brand(spark, sf_dir).filter(F.col("ts").between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")))
+    out = pf.performance(pf.gross_returns(pf.complete(br.resample(b, "month").select("ticker", "ts", "close"))))
+    return rounded(rounded(out, "cumulative", "sharpe"), "mean", "deviation", digits=9)
 
 
 @query("tumbling_bars", "SELECT event_type AS ticker, CAST(date_trunc('day', ts) AS DATE) AS ts, round(max(value), 6) AS high, round(min(value), 6) AS low, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's bars over a table as one batch."""
     e = inp.table(spark, sf_dir, "events")
-    out = e.groupBy(F.col("event_type").alias("ticker"), F.window("ts", "1 day").alias("w")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
-    return rounded(out.select("ticker", F.col("w.start").cast("date").alias("ts"), "high", "low", "n"), "high", "low")
+    out = streams.tumbling_bars(e.select(F.col("event_type").alias("ticker"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume")))
+    return rounded(out.select("ticker", F.col("ts").cast("date").alias("ts"), "high", "low", F.col("volume").alias("n")), "high", "low")
 
 
 @query("sessions", """WITH s AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
  SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, k""")
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = inp.table(spark, sf_dir, "events")
-    out = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return rounded(out.select("user_id", "n", "total"), "total", digits=4)
+    """The stream's sessions over a table as one batch."""
+    return rounded(streams.sessions(inp.table(spark, sf_dir, "events")).select("user_id", "n", "total"), "total", digits=4)

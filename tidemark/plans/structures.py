@@ -13,6 +13,7 @@ from tidemark.operators import structures as st
 from tidemark.operators import study as sy
 from tidemark.plans import inputs as inp
 from tidemark.plans.core import ATR_HEAD, MACD_SQL, OVER, RSI_SQL, frame, query, rounded, sma_sql, zigzag_sql
+from tidemark.sources.shared import written
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +76,10 @@ def gap_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _studied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
+    b = written(bars(spark, sf_dir), "study-bars")
     found = gp.detect(b)
-    return gp.study(gp.lifecycle(found, b), gp.fills(found, b), b)
+    walked = written(gp.fills(found, b), "study-fills")
+    return gp.study(gp.lifecycle(found, b, walked=walked), walked, b)
 
 
 STUDY_SQL = LIFE_SQL + f""", peak AS (SELECT {KEY}, max(pct) AS peak_fill, min(idx) FILTER (pct = mx) AS peak_idx, min(idx - created_idx) FILTER (max_pct >= 80) AS bars_to_threshold FROM (SELECT *, max(pct) OVER (PARTITION BY {KEY}) AS mx FROM fills) GROUP BY ALL),

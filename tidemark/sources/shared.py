@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(named or _own()).rstrip('/')}/tidemark/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to a fresh shared folder and read from there: what is read several times is made once."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
