@@ -78,11 +78,11 @@ YEARS = list(range(1997, 2001))
 
 @query("portfolio_uniform", RETURNS_SQL + f""", y AS (SELECT unnest({YEARS}) AS year), p AS (SELECT DISTINCT y.year, r.ticker FROM ret r JOIN y ON year(r.ts) <= y.year), d AS (SELECT DISTINCT y.year, r.ts FROM ret r JOIN y ON year(r.ts) = y.year),
  u AS (SELECT d.year, d.ts, avg(coalesce(r.gross, 1.0)) AS g FROM d JOIN p USING (year) LEFT JOIN ret r ON r.ticker = p.ticker AND r.ts = d.ts GROUP BY 1, 2)
- SELECT CAST(year AS INTEGER) AS year, o.objective, round(product(g), 6) AS uniform_cumulative, round((avg(g) - 1) / (stddev_samp(g) + 1e-9) * sqrt(252), 6) AS uniform_sharpe FROM u CROSS JOIN (VALUES ('sharpe'), ('return')) AS o(objective) GROUP BY 1, 2""")
+ SELECT CAST(year AS INTEGER) AS year, o.objective, round(log10(product(g)), 6) AS uniform_log_cumulative, round((avg(g) - 1) / (stddev_samp(g) + 1e-9) * sqrt(252), 6) AS uniform_sharpe FROM u CROSS JOIN (VALUES ('sharpe'), ('return')) AS o(objective) GROUP BY 1, 2""")
 def portfolio_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk-forward study's yardstick: equal weights in each test year."""
     out = pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), YEARS)
-    return rounded(out.select("year", "objective", "uniform_cumulative", "uniform_sharpe"), "uniform_cumulative", "uniform_sharpe")
+    return rounded(out.select("year", "objective", F.log10("uniform_cumulative").alias("uniform_log_cumulative"), "uniform_sharpe"), "uniform_log_cumulative", "uniform_sharpe")
 
 
 @query("portfolio_single_period", BRANDS + """, m AS (SELECT ticker, CAST(date_trunc('month', ts) AS DATE) AS ts, arg_max("close", ts) AS c FROM brand WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2),
