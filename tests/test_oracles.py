@@ -8,10 +8,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import bars as br
+from tidemark.operators import levels as lv
+from tidemark.operators import patterns as pt
 from tidemark.operators import portfolio as pf
-from tidemark.plans import core, more, stores, structures  # noqa: F401
+from tidemark.plans import core, more, stores, structures, wide  # noqa: F401
 from tidemark.plans import inputs as inp
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +47,7 @@ def test_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-WITHOUT_SQL = {"gap_corr_p", "portfolio_walk_forward", "sr_lines", "sr_lines_diagonal", "sr_lines_weekly", "sr_events", "patterns", "pattern_counts"}
+WITHOUT_SQL = {"gap_corr_p", "portfolio_walk_forward", "sr_lines", "sr_lines_diagonal", "sr_lines_weekly", "sr_events", "patterns", "pattern_counts", "wide_lines", "wide_pattern_counts"}
 
 
 def test_what_has_no_sql_is_checked_below():
@@ -112,6 +115,18 @@ def test_lines_hold_what_their_events_say(spark, name):
     assert met > 50
 
 
+def test_a_series_result_does_not_depend_on_the_others(spark):
+    """Lines and patterns of one supplier alone are those it has among all."""
+    bars = inp.supplier_bars(spark, SF)
+    lines, counts = (core.QUERIES[n](spark, SF).toPandas() for n in ("wide_lines", "wide_pattern_counts"))
+    ticker = lines["ticker"].min()
+    alone = bars.filter(F.col("ticker") == ticker)
+    own = lv.detect(alone, lv.MEDIUM).toPandas()
+    assert own.sort_values("rank")["strength"].tolist() == lines[lines["ticker"] == ticker].sort_values("rank")["strength"].tolist()
+    found = pt.scan(alone).toPandas().groupby("pattern").size().to_dict()
+    assert found == {r.pattern: r.n for r in counts[counts["ticker"] == ticker].itertuples()}
+
+
 def test_events_and_counts_follow_their_sources(spark):
     lines, events = (core.QUERIES[n](spark, SF).toPandas() for n in ("sr_lines", "sr_events"))
     assert sorted((t, r, e["kind"], e["start"]) for t, r, es in zip(lines["ticker"], lines["rank"], lines["events"], strict=True) for e in es) == sorted(zip(events["ticker"], events["rank"], events["kind"], events["start"], strict=True))

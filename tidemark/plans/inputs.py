@@ -6,7 +6,7 @@ brand, with sector funds and a market over the same lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("ticker", F.concat("l_returnflag", "l_linestatus"))
+def walk_bars(spark: SparkSession, sf_dir: str, ticker: Column | None = None) -> DataFrame:
+    """A random walk for each ``ticker``: by default for each return flag and line status, few long series."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("ticker", F.concat("l_returnflag", "l_linestatus") if ticker is None else ticker)
     w = Window.partitionBy("ticker").orderBy("l_shipdate", *TIES).rowsBetween(Window.unboundedPreceding, 0)
     ticks = lines.select("ticker", F.col("l_shipdate").alias("ts"), *TIES, F.col("l_quantity").alias("volume"), F.round(100 * F.exp(F.sum((F.col("l_discount") - 0.05) * 0.1).over(w)), 6).alias("price"))
     return from_ticks(ticks, *TIES)
@@ -30,10 +31,17 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(walk_bars(spark, sf_dir))
 
 
-WALK_SQL = """ticks AS (
-  SELECT l_returnflag || l_linestatus AS ticker, CAST(l_shipdate AS DATE) AS ts, l_quantity AS volume,
-    round(100 * exp(sum((l_discount - 0.05) * 0.1) OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount ROWS UNBOUNDED PRECEDING)), 6) AS price,
-    row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount) AS n
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk for each supplier: as many series as the data have, so work spreads as they grow."""
+    return walk_bars(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+
+
+def walk_sql(ticker: str = "l_returnflag || l_linestatus") -> str:
+    order = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount"
+    return f"""ticks AS (
+  SELECT {ticker} AS ticker, CAST(l_shipdate AS DATE) AS ts, l_quantity AS volume,
+    round(100 * exp(sum((l_discount - 0.05) * 0.1) OVER (PARTITION BY {ticker} ORDER BY {order} ROWS UNBOUNDED PRECEDING)), 6) AS price,
+    row_number() OVER (PARTITION BY {ticker} ORDER BY {order}) AS n
   FROM lineitem
 ), walk AS (
   SELECT ticker, ts, min_by(price, n) AS open, max(price) AS high, min(price) AS low, max_by(price, n) AS "close", sum(volume) AS volume,
@@ -42,6 +50,9 @@ WALK_SQL = """ticks AS (
 )"""
 
 
+WALK_SQL = walk_sql()
+SUPPLIER_SQL = walk_sql("'S' || l_suppkey")
+
 
 def atr_sql(source: str = "walk", out: str = "bars", first: int = 0) -> str:
     """``out``: the bars of ``source`` from number ``first`` on, with an ATR that starts there."""
