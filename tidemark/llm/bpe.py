@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of, saved, text_or_empty, width
+from tidemark.llm.common import HELD, map_arrow, pieces_of, saved, text_or_empty, width
 
 CHUNK_CHARS = 1_024
 OVERLAP_CHARS = 96
@@ -59,6 +59,9 @@ def codec(ranks_path: str):
     return enc, table, regex.compile(public_tokenizers.PATTERN)
 
 
+HELD.append(codec.cache_clear)
+
+
 def chunks(text: str, chunk_chars: int, overlap: int) -> list[tuple[int, str]]:
     """(start, chunk) with ``overlap`` characters shared by neighbours; the last one reaches the end."""
     if len(text) <= chunk_chars:
@@ -153,7 +156,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id"
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     size = F.char_length("text")
-    near = rows.filter(size <= spread_chars).mapInArrow(whole, "id long, ids binary")
+    near = map_arrow(rows.filter(size <= spread_chars), whole, "id long, ids binary", holds=True)
     far = _spread(rows.filter(size > spread_chars), ranks_path, spread_chunk, spread_overlap)
     return near.unionByName(far).withColumnRenamed("id", id_col)
 
@@ -180,8 +183,8 @@ def _spread(rows: DataFrame, ranks_path: str, chunk_chars: int, overlap: int) ->
             found = [at_edges(starts(c, last, pattern), len(c), overlap).tolist() for c, last in zip(b.column("chunk").to_pylist(), b.column("last").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("key"), b.column("at"), pa.array(found, pa.list_(pa.int64()))], ["key", "at", "own"])
 
-    pieces = keyed.select("key", "text").mapInArrow(cut, "key string, at long, chunk string, last boolean").repartition(n, "key", "at")
-    scans = pieces.mapInArrow(scan, "key string, at long, own array<long>")
+    pieces = map_arrow(keyed.select("key", "text"), cut, "key string, at long, chunk string, last boolean").repartition(n, "key", "at")
+    scans = map_arrow(pieces, scan, "key string, at long, own array<long>", holds=True)
     stitched = scans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("parts"))
 
     def segment(batches):
@@ -199,14 +202,14 @@ def _spread(rows: DataFrame, ranks_path: str, chunk_chars: int, overlap: int) ->
             ids = [enc.encode_to_numpy(s, disallowed_special=()).astype("<u4").tobytes() for s in b.column("segment").to_pylist()]
             yield pa.record_batch([b.column("key"), b.column("no"), pa.array(ids, pa.binary())], ["key", "no", "ids"])
 
-    segs = keyed.select("key", "text").join(stitched, "key").mapInArrow(segment, "key string, no int, segment string").repartition(n, "key", "no")
-    coded = segs.mapInArrow(encode, "key string, no int, ids binary").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("all"))
+    segs = map_arrow(keyed.select("key", "text").join(stitched, "key"), segment, "key string, no int, segment string", holds=True).repartition(n, "key", "no")
+    coded = map_arrow(segs, encode, "key string, no int, ids binary", holds=True).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("all"))
 
     def join_ids(batches):
         for b in batches:
             yield pa.record_batch([b.column("id"), pa.array([b"".join(p["ids"] for p in ps) for ps in b.column("all").to_pylist()], pa.binary())], ["id", "ids"])
 
-    return keyed.select("key", "id").join(coded, "key").select("id", "all").mapInArrow(join_ids, "id long, ids binary")
+    return map_arrow(keyed.select("key", "id").join(coded, "key").select("id", "all"), join_ids, "id long, ids binary")
 
 
 def decode_documents(coded: DataFrame, ranks_path: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -217,7 +220,7 @@ def decode_documents(coded: DataFrame, ranks_path: str, *, id_col: str = "doc_id
             raw = [decode_ids(np.frombuffer(x or b"", "<u4").tolist(), ranks_path) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(raw, pa.binary())], [id_col, "bytes"])
 
-    return coded.select(id_col, "ids").mapInArrow(run, f"{id_col} long, bytes binary")
+    return map_arrow(coded.select(id_col, "ids"), run, f"{id_col} long, bytes binary", holds=True)
 
 
 def digest_documents(coded: DataFrame, ranks_path: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -235,4 +238,4 @@ def digest_documents(coded: DataFrame, ranks_path: str, *, id_col: str = "doc_id
             n, a, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.select(id_col, "ids").mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(coded.select(id_col, "ids"), run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +106,36 @@ def looked_up(left: DataFrame, key: str, right: DataFrame, how: str = "inner", h
     return cold.unionByName(left.filter(among(key, hot)).join(F.broadcast(right.filter(among(key, hot))), key, how))
 
 
+#: Bits that mark ids, so at most a 64th as many rows of 16 bytes are broadcast, however many ids there are.
+MARKS = 1 << 23
+
+
+def marks_of(ids: DataFrame, id_col: str) -> DataFrame:
+    """(word, bits): a bitmap of the ids' hashes."""
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    return ids.select(at.alias("at")).select(F.expr("at div 64").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def split_by(docs: DataFrame, marks: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is surely not among the marked, rows whose id may be): an exact join is only needed for the second,
+    so rows with long texts stay where they are unless it concerns them.  With more ids than marks the second part grows
+    up to all rows; what the exact join then gives is the same.
+    """
+    word, bits = fresh("_word", docs.columns), fresh("_bits", docs.columns)
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(MARKS))
+    held = F.broadcast(marks.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    met = docs.join(held, F.floor(at / 64) == F.col(word), "left")
+    hit = F.coalesce(F.getbit(F.col(bits), (at % 64).cast("int")) == 1, F.lit(False))
+    return met.filter(~hit).select(*docs.columns), met.filter(hit).select(*docs.columns)
+
+
+def fresh(base: str, taken: list[str]) -> str:
+    """A column name like ``base`` that is none of ``taken``."""
+    lower = {t.lower() for t in taken}
+    return next(name for name in (base + "_" * n for n in range(len(taken) + 1)) if name.lower() not in lower)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle that is asked for by number, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -112,8 +145,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: How to drop what a worker holds from task to task of one operator, such as a tokenizer.
+HELD: list[Callable[[], None]] = []
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *, holds: bool = False) -> DataFrame:
+    """``mapInArrow`` that gives memory back: workers are reused by stages that need it for other things.
+
+    What a worker holds between tasks goes before a stage begins that doesn't hold anything itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            for drop in HELD:
+                drop()
+            release()
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Hand memory that is no longer used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_or_empty(col: str = "text"):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of
+from tidemark.llm.common import fresh, map_arrow, pieces_of
 
 #: An attribute's value may be quoted only straight after its equals sign; other quotes are plain characters.
 ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
@@ -274,4 +274,4 @@ def extract(pages: DataFrame, *, keep: list[str], html_col: str = "html") -> Dat
             texts = [main_text(p) for p in b.column(len(keep)).to_pylist()]
             yield pa.record_batch([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return map_arrow(pages.select(*keep, F.col(html_col).alias(fresh("_html", keep))), run, schema)

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of
+from tidemark.llm.common import fresh, map_arrow, pieces_of
 
 SAMPLE_DOCS = 400
 MIN_SHARE = 0.02
 #: EM goes on until no proportion of a document moves by more than this, and so many rounds at most; all documents of a
 #: batch share the first rounds.
 STILL, MOST_ROUNDS, SHARED_ROUNDS = 1e-3, 200, 6
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -221,20 +221,20 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
             flat = [(lang, gram, n) for lang, c in held.items() for gram, n in c.items()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*flat, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
 
-    counted = rows.select(lang_col, text_col).mapInArrow(count, "lang string, gram string, n long")
+    counted = map_arrow(rows.select(lang_col, text_col), count, "lang string, gram string, n long")
     return NgramModel.of_counts([tuple(r) for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
 
 
-def identify(docs: DataFrame, model: NgramModel, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of each row, with lang_pred and score."""
+def identify(docs: DataFrame, model: NgramModel, *, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of each row, with the predicted language and its share under ``names``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     shape = docs.select(*keep).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape] + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches):
         who = Identifier(held.value)
         for b in pieces_of(batches):
             langs, scores = who.predict(b.column(len(keep)).to_pylist())
-            yield pa.record_batch([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.record_batch([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, F.col(text_col).alias(fresh("_text", keep))), run, schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of, saved, text_or_empty
+from tidemark.llm.common import map_arrow, pieces_of, saved, text_or_empty
 from tidemark.llm.token_store import encoder
 
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
@@ -161,10 +161,11 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_col:
                     first += made.num_rows
                     yield from pieces_of([made])
                     keys, texts, held = [], [], 0
+        coder.rest()
         if keys:
             yield from pieces_of([_bins(keys, texts, width, capacities, most, first)])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, SEQUENCES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), run, SEQUENCES, holds=True)
 
 
 PIECE = pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("bin_offset", pa.int32())])
@@ -203,7 +204,7 @@ def read(packed: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 7]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return packed.select("bin_id", "bin_capacity", "bin_used", "ids", "pieces").mapInArrow(run, PIECES)
+    return map_arrow(packed.select("bin_id", "bin_capacity", "bin_used", "ids", "pieces"), run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import file_system, halve, pieces_of, saved, scratch_path, text_or_empty, width
+from tidemark.llm.common import HELD, file_system, halve, map_arrow, pieces_of, saved, scratch_path, text_or_empty, width
 from tidemark.llm.mph import MinimalPerfectHash, key_hashes
 
 MAGIC = b"TIDETOK1"
 FOOTER = struct.Struct("<6Q8s")  # id bytes, records, null keys, distinct keys, ids, hash bytes, magic
-#: Pre-tokens whose ids a worker keeps at most.
-PIECE_CACHE, JOINED = 700_000, 512
+#: Pre-tokens whose ids a worker keeps at most in a task, and between tasks.
+PIECE_CACHE, PIECES_KEPT, JOINED = 500_000, 200_000, 512
 #: Text a shard is planned for, in bytes, so that its sections fit in a task whatever the table's size; ids read at once.
 SHARD_BYTES, READ_IDS = 256 << 20, 1 << 20
 #: The pre-token pattern in terms of the ``re`` module, which scans faster; the same where a text has none of ``ODD``.
@@ -105,6 +105,11 @@ class CachedEncoder:
         coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
         self.pieces.update(zip(rest, [array(kind, e.ids).tobytes() for e in coded], strict=True))
 
+    def rest(self) -> None:
+        """Between tasks only so much is kept."""
+        while len(self.pieces) > PIECES_KEPT:
+            halve(self.pieces)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         whole = [n for n, t in enumerate(texts) if self.added(t)]
@@ -128,6 +133,9 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+HELD.append(encoder.cache_clear)
+
+
 class ShardWriter:
     """Appends records in key order; payload goes to the file as it comes."""
 
@@ -232,6 +240,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, en
                 writer = ShardWriter(stream, coder.bytes)
             for key, packed in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
                 writer.add(key, packed + end)
+        coder.rest()
         if writer is not None:
             writer.close()
             stream.close()
@@ -240,7 +249,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, en
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
             yield pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "path", "n_docs", "n_ids", "first", "last"])
 
-    made = saved(order.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, first long, last long"), "token-manifest")
+    made = saved(map_arrow(order, run, "shard long, path string, n_docs long, n_ids long, first long, last long", holds=True), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -266,7 +275,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         keys = [None if r < shard.nulls else int(shard.keys[r]) for r in part]
                         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(base + shard.starts[part], pa.int64()), pa.array(shard.lengths[part].astype(np.int64)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "base").repartition(max(width(manifest.sparkSession), manifest.count()), "path").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest.select("path", "base").repartition(max(width(manifest.sparkSession), manifest.count()), "path"), run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest: DataFrame, wanted: DataFrame, *, key_col: str = "doc_id") -> DataFrame:
@@ -287,4 +296,4 @@ def fetch(manifest: DataFrame, wanted: DataFrame, *, key_col: str = "doc_id") ->
 
     keys = wanted.select(F.col(key_col).cast("long").alias("key")).filter("key is not null").distinct()
     dealt = keys.join(manifest.select("path", "first", "last"), F.col("key").between(F.col("first"), F.col("last")))
-    return dealt.select("key", "path").repartition("path").sortWithinPartitions("path").mapInArrow(run, "key long, ids array<long>")
+    return map_arrow(dealt.select("key", "path").repartition("path").sortWithinPartitions("path"), run, "key long, ids array<long>")

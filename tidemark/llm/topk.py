@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, map_arrow
 
 BLOCK_ROWS = 8192
 FIRST_DEPTH, GROW = 16, 4
@@ -129,7 +129,7 @@ def _met(stream: DataFrame, size: int, k: int) -> DataFrame:
                     out.append((np.full(len(best), q), np.full(len(best), own), found[best], score[best].astype(np.int64)))
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["q", "query_id", "id", "score"])
 
-    return stream.mapInArrow(run, FOUND)
+    return map_arrow(stream, run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

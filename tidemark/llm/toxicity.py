@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of
+from tidemark.llm.common import fresh, map_arrow, pieces_of
 from tidemark.llm.langid import sample
 
 SAMPLE_DOCS = 1500
@@ -42,7 +42,7 @@ VOCABULARY = 8000
 WARM, ROUNDS, BATCH, RATE = 4, 4, 128, 0.01
 #: A small sample is passed over again until the random windows gave so many steps, and each round so many.
 WARM_STEPS, ROUND_STEPS = 120, 16
-WORD_CACHE = 200_000
+WORD_CACHE = 120_000
 #: Windows computed at once, and words of a text laid out at once.
 BLOCK, LAID_OUT = 512, 1 << 18
 #: The logit of a text without words.
@@ -397,15 +397,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_co
     return train([t for t, _ in got], np.array([y for _, y in got], np.int64), counts[1] / sum(counts.values()))
 
 
-def score(docs: DataFrame, net: Network | None, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of each row, with score."""
+def score(docs: DataFrame, net: Network | None, *, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """``keep`` columns of each row, with its score under ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(net)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{name}` double"])
 
     def run(batches):
         scorer = Scorer(held.value) if held.value else None
         for b in pieces_of(batches):
             got = scorer.score(b.column(len(keep)).to_pylist()) if scorer else np.zeros(b.num_rows)
-            yield pa.record_batch([*b.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, "score"])
+            yield pa.record_batch([*b.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, name])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, F.col(text_col).alias(fresh("_text", keep))), run, schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_LEAST, HOT_SHARE, file_system, looked_up, pieces_of, saved, scratch_path, text_or_empty, width
+from tidemark.llm.common import HOT_LEAST, HOT_SHARE, file_system, looked_up, map_arrow, pieces_of, saved, scratch_path, text_or_empty, width
 
 REVISIT_FROM = 1000
 FAN_IN = 64
@@ -222,7 +222,7 @@ def write(records: DataFrame, folder: str | None = None) -> DataFrame:
             sparse = write_run(f"{name}.run", iter(sorted(entries)))
             yield pa.record_batch([pa.array([f"{name}.warc.gz"]), pa.array([f"{name}.run"]), pa.array([len(entries)], pa.int64()), pa.array([[json.dumps(s[:3]) for s in sparse]], pa.list_(pa.string()))], ["archive", "run", "captures", "sparse"])
 
-    return saved(records.select("id", "url", "html", "size", "digest", "refers").mapInArrow(run, "archive string, run string, captures long, sparse array<string>"), "warc-manifest")
+    return saved(map_arrow(records.select("id", "url", "html", "size", "digest", "refers"), run, "archive string, run string, captures long, sparse array<string>"), "warc-manifest")
 
 
 def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_IN, ranges: int | None = None) -> DataFrame:
@@ -277,11 +277,11 @@ def merge(manifest: DataFrame, folder: str | None = None, *, fan_in: int = FAN_I
         met = [groups[i : i + fan_in] for i in range(0, len(groups), fan_in)]
         rows = [(g, a, b, [holding(x, a, b) for x in some]) for g, some in enumerate(met) for a, b in parts]
         groups = [{} for _ in met]
-        for row in saved(tasks(rows).mapInArrow(combine, "grp int, a int, b int, run string"), "warc-pass").collect():
+        for row in saved(map_arrow(tasks(rows), combine, "grp int, a int, b int, run string"), "warc-pass").collect():
             groups[row["grp"]][row["a"], row["b"]] = row["run"]
         parts = [(x, min(x + step, b)) for a, b in parts for step in [max(1, -(-(b - a) // fan_in))] for x in range(a, b, step)]
     final = [(0, r, r + 1, [holding(g, r, r + 1) for g in groups]) for r in range(last)]
-    history = saved(tasks(final).mapInArrow(finish, HISTORY), "warc-history")
+    history = saved(map_arrow(tasks(final), finish, HISTORY), "warc-history")
     met = history.count()
     if met != captures:
         raise ValueError(f"the history has {met} captures, the manifest {captures}")
@@ -338,7 +338,7 @@ def read(history: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=READ_SCHEMA)
 
     places = history.select("url_key", "archive", "offset", "length")
-    return places.repartition(width(history.sparkSession), "archive").sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
+    return map_arrow(places.repartition(width(history.sparkSession), "archive").sortWithinPartitions("archive", "offset"), run, READ)
 
 
 READ_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "stamp"]
