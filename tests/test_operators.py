@@ -1,6 +1,7 @@
 """Operators on small frames with hand-worked results."""
 
 import json
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -189,6 +190,13 @@ def test_vendors(spark, tmp_path):
     first = spark.createDataFrame([("CPI", D(2024, 1, 1), D(2024, 2, 13), 3.4)], "series_id string, date date, published_at date, first_published_value double")
     got = {r["series_id"]: (r["published_at"], r["first_published_value"]) for r in vendors.with_publication(values, first).collect()}
     assert got == {"CPI": (D(2024, 2, 13), 3.4), "DGS10": (D(2024, 1, 1), 4.0)}
+    pages = spark.createDataFrame([("A", "old", "CS", False, "2020-01-01"), ("A", "new", "CS", True, None), ("B", "b1", "CS", False, "2019-01-01"), ("B", "b2", "CS", False, "2021-01-01"), (None, "x", "CS", True, None)], "ticker string, name string, type string, active boolean, delisted_utc string")
+    assert {(r["ticker"], r["name"], r["active"]) for r in vendors.tickers(pages).collect()} == {("A", "new", True), ("B", "b2", False)}
+    body = json.dumps({"results": {"ticker": "A", "market_cap": 5.0, "total_employees": 7}})
+    (m,) = vendors.metadata(spark.createDataFrame([(body,), ("{}",)], "body string")).collect()
+    assert (m["ticker"], m["market_cap"], m["total_employees"], m["sic_code"]) == ("A", 5.0, 7, None)
+    assert [tuple(r) for r in vendors.sectors(spark.createDataFrame([("A", " Tech ", ""), ("B", "", None)], "ticker string, sector string, industry string")).collect()] == [("A", "Tech", None)]
+    assert vendors.source_age(spark, f"file://{tmp_path}/a.json") == 0 and vendors.source_age(spark, f"file://{tmp_path}/a.json", time.time() + 95 * 86_400) == 95
     naps, now = [], [0.0]
     limit = vendors.RateLimiter(2, 60, lambda: now[0], naps.append)
     for _ in range(3):

@@ -47,7 +47,7 @@ def test_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-WITHOUT_SQL = {"gap_corr_p", "portfolio_walk_forward", "sr_lines", "sr_lines_diagonal", "sr_lines_weekly", "sr_events", "patterns", "pattern_counts", "wide_lines", "wide_pattern_counts"}
+WITHOUT_SQL = {"gap_corr_p", "portfolio_walk_forward", "portfolio_grid", "sr_lines", "sr_lines_diagonal", "sr_lines_weekly", "sr_events", "patterns", "pattern_counts", "wide_lines", "wide_pattern_counts"}
 
 
 def test_what_has_no_sql_is_checked_below():
@@ -85,6 +85,26 @@ def test_portfolio_walk_forward(spark):
         assert abs(test.prod() / r.cumulative - 1) < 1e-9 and abs((test.mean() - 1) / (test.std(ddof=1) + 1e-9) * math.sqrt(252) - r.sharpe) < 1e-6
 
 
+def test_portfolio_grid(spark):
+    """Members as of the year's start alone, chosen one by one on the days up to it."""
+    got = core.QUERIES["portfolio_grid"](spark, SF).toPandas()
+    assert len(got) == len(more.YEARS) * len(pf.SIZES) * len(pf.PIVOTS) * 2
+    returns, members = pf.gross_returns(inp.brand(spark, SF)).toPandas(), inp.membership(spark).toPandas()
+    returns["ts"] = pd.to_datetime(returns["ts"])
+    for (year, size, pivot), own in got.groupby(["year", "size", "pivot"]):
+        day = pd.Timestamp(f"{year}-01-01")
+        start, end = pd.to_datetime(members["start_date"]), pd.to_datetime(members["end_date"])
+        there = set(members.loc[(start <= day) & (end.isna() | (end >= day)), "ticker"])
+        wide = returns[returns["ticker"].isin(there) & (returns["ts"].dt.year <= year)].pivot(index="ts", columns="ticker", values="gross").sort_index().fillna(1.0)
+        past = wide[wide.index <= day]
+        order = past.prod().sort_index().sort_values(kind="stable").index.tolist()
+        chosen, corr = [{"max": order[-1], "min": order[0], "median": order[len(order) // 2]}[pivot]], past.corr().abs().fillna(0.0)
+        while len(chosen) < min(size, len(order)):
+            chosen.append(min(sorted(set(order) - set(chosen)), key=lambda t: (corr.loc[t, chosen].max(), t)))
+        assert all(sorted(chosen) == list(t) for t in own["tickers"])
+        assert all(abs(sum(w) - 1) < 1e-9 and min(w) >= 0 for w in own["weights"])
+
+
 @pytest.mark.parametrize("name", ["sr_lines", "sr_lines_diagonal", "sr_lines_weekly"])
 def test_lines_hold_what_their_events_say(spark, name):
     """Each line's rank, counts and state, worked out again from its events (which it may have from lines it absorbed)."""

@@ -45,7 +45,7 @@ def verdict(report: DataFrame) -> tuple[int, str | None]:
     return dropped, f"{many} unreliable series: " + ", ".join(f"{r['ticker']} ({r['drop_rate']:.1%} dropped)" for r in worst)
 
 
-def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFrame:
+def detect(name: str, bars: DataFrame, timeframe: str, store: Store, as_of: str | None = None) -> DataFrame:
     weekly = timeframe == "weekly"
     if name == "gaps":
         b = br.with_atr(br.indexed(br.enough(bars, st.MIN_BARS)))
@@ -53,7 +53,7 @@ def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFram
         life = gp.lifecycle(found, b)
         return life.join(gp.reactions(life, b), gp.GAP, "left")
     if name == "divergences":
-        return st.divergences(bars)
+        return st.divergences(bars, as_of=as_of)
     if name == "fib_sets":
         return st.fib_sets(st.swings(bars), bars)
     if name == "anchors":
@@ -64,7 +64,7 @@ def detect(name: str, bars: DataFrame, timeframe: str, store: Store) -> DataFram
     if name == "sr_lines":
         out = lv.detect(bars, lv.LONG_WEEKLY if weekly else lv.MEDIUM)
         return out.withColumn("geometry", F.round(F.coalesce("center", "slope"), 2))
-    return pt.scan(bars, spans=pt.WEEKLY if weekly else pt.DAILY)
+    return pt.scan(bars, spans=pt.WEEKLY if weekly else pt.DAILY, as_of=as_of)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
@@ -120,7 +120,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
         if a.job == "sr_lines":
             config |= asdict(replace(lv.LONG_WEEKLY if timeframe == "weekly" else lv.MEDIUM))
         run_id = store.record_run(a.job, ",".join(a.ticker or ["*"]), timeframe, config, a.as_of, *verdict(report))
-        store.save_results(a.job, detect(a.job, bars, timeframe, store), run_id, timeframe)
+        store.save_results(a.job, detect(a.job, bars, timeframe, store, a.as_of), run_id, timeframe)
     return store.read(a.job)
 
 

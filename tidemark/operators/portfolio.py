@@ -92,31 +92,67 @@ def random_baseline(gross: np.ndarray, many: int = 1000, seed: int = 0) -> np.nd
     return (r.mean(axis=0) - 1) / r.std(axis=0, ddof=1) * np.sqrt(YEAR)
 
 
-WALK = "year int, objective string, tickers array<string>, weights array<double>, cumulative double, sharpe double, uniform_cumulative double, uniform_sharpe double"
+#: How many tickers a configuration selects (null: all) and where the selection begins.
+SIZES, PIVOTS = (5, 10, 15, 20), ("max", "min", "median")
+WALK = "year int, objective string, size int, pivot string, tickers array<string>, weights array<double>, cumulative double, sharpe double, uniform_cumulative double, uniform_sharpe double"
 
 
-def walk_forward(returns: DataFrame, years: list[int], objectives: tuple[str, ...] = ("sharpe", "return"), seed: int = 0) -> DataFrame:
-    """Weights fitted on all days up to a year's start (included), judged on the year; one task for each (year, objective)."""
-    plan = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(o).alias("objective")) for y in years for o in objectives]))
+def correlations_of(gross: np.ndarray) -> np.ndarray:
+    """Absolute correlations of columns; 0 where one doesn't vary."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(np.abs(np.corrcoef(gross, rowvar=False))).reshape(gross.shape[1], gross.shape[1])
+
+
+def chosen_on(past: np.ndarray, names: list[str], size: int | None, pivot: str) -> list[int]:
+    """Columns of a configuration: :func:`select` on the training days alone."""
+    if size is None:
+        return list(range(len(names)))
+    stats = pd.DataFrame({"ticker": names, "cumulative": past.prod(axis=0)})
+    m = correlations_of(past)
+    pairs = pd.DataFrame([(names[i], names[j], m[i, j]) for i in range(len(names)) for j in range(i + 1, len(names))], columns=["a", "b", "corr"])
+    at = {t: i for i, t in enumerate(names)}
+    return [at[t] for t in select(stats, pairs, size, pivot)]
+
+
+def walk_forward(returns: DataFrame, years: list[int], objectives: tuple[str, ...] = ("sharpe", "return"), seed: int = 0, *, configurations: tuple[tuple[int | None, str], ...] = ((None, "max"),), membership: DataFrame | None = None) -> DataFrame:
+    """Weights fitted on all days up to a year's start (included), judged on the year.
+
+    Each (size, pivot) configuration selects its tickers anew on each training window; with ``membership``
+    (ticker, start_date, end_date) only among the members on its last day.  One task a year has that year's history once and works off
+    the configurations; the same tickers under one objective get the same weights.
+    """
     # a fit needs its whole history: rows go out once for each year at or after them
-    dealt = returns.select("*", plan.alias("p")).select("ticker", "ts", "gross", "p.*").filter(F.year("ts") <= F.col("year"))
+    dealt = returns.select("ticker", "ts", "gross", F.explode(F.array(*map(F.lit, years))).alias("year")).filter(F.year("ts") <= F.col("year"))
+    if membership is not None:
+        day = F.make_date("year", F.lit(1), F.lit(1))
+        held = membership.select(F.col("ticker").alias("_t"), "start_date", "end_date")
+        inside = (F.col("ticker") == F.col("_t")) & (F.col("start_date") <= day) & (F.col("end_date").isNull() | (F.col("end_date") >= day))
+        dealt = dealt.join(held, inside, "left_semi")
+    columns = [c.split()[0] for c in WALK.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        year, objective = int(pdf["year"].iloc[0]), pdf["objective"].iloc[0]
+        year = int(pdf["year"].iloc[0])
         wide = pdf.pivot_table(index="ts", columns="ticker", values="gross").sort_index().fillna(1.0)
         begin = np.datetime64(f"{year}-01-01")
         days = pd.to_datetime(wide.index).to_numpy()
-        past, test = wide.to_numpy()[days <= begin], wide.to_numpy()[days >= begin]
+        past, test, names = wide.to_numpy()[days <= begin], wide.to_numpy()[days >= begin], list(wide.columns)
         if len(past) < 3 or len(test) < 3:
-            return pd.DataFrame(columns=[c.split()[0] for c in WALK.split(", ")])
-        w = evolve(past, objective, seed + year)
-        out = []
-        for x in (w, np.full(len(w), 1 / len(w))):
-            r = test @ x
-            out += [float(r.prod()), float((r.mean() - 1) / (r.std(ddof=1) + 1e-9) * np.sqrt(YEAR))]
-        return pd.DataFrame([(year, objective, list(wide.columns), w.tolist(), *out)], columns=[c.split()[0] for c in WALK.split(", ")])
-
-    return dealt.groupBy("year", "objective").applyInPandas(run, WALK)
+            return pd.DataFrame(columns=columns)
+        rows, fitted = [], {}
+        for size, pivot in configurations:
+            own = chosen_on(past, names, size, pivot)
+            for objective in objectives:
+                key = (tuple(sorted(own)), objective)
+                if key not in fitted:
+                    fitted[key] = evolve(past[:, list(key[0])], objective, seed + year)
+                w, judged, out = fitted[key], test[:, list(key[0])], []
+                for x in (w, np.full(len(w), 1 / len(w))):
+                    r = judged @ x
+                    out += [float(r.prod()), float((r.mean() - 1) / (r.std(ddof=1) + 1e-9) * np.sqrt(YEAR))]
+                rows.append((year, objective, size, pivot, [names[i] for i in key[0]], w.tolist(), *out))
+        return pd.DataFrame(rows, columns=columns).astype({"size": "Int32"})
+
+    return dealt.groupBy("year").applyInPandas(run, WALK)
 
 
 def constituents_on(current: DataFrame, changes: DataFrame, day: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -198,6 +198,20 @@ def level_touches(sets: DataFrame, bars: DataFrame) -> DataFrame:
 CYCLE_ATRS, CYCLE_ANCHORS, MAX_ANCHORS, TRAILING, BAND = 8.0, 4, 8, 252, 0.3
 
 
+#: How senior a role is, the most senior first; cycle turns come last.
+SENIORITY = {"ath": 0, "atl": 0, "52w_high": 1, "52w_low": 1, "cycle_high": 2, "cycle_low": 2}
+
+
+def seniority(roles: Column) -> Column:
+    """The seniority of an anchor: that of its most senior role; null without a known one."""
+    rank = F.create_map(*[F.lit(x) for pair in SENIORITY.items() for x in pair])
+    return F.array_min(F.transform(roles, lambda r: rank[r]))
+
+
+def only_cycle(roles: Column) -> Column:
+    return F.forall(roles, lambda r: r.startswith("cycle_"))
+
+
 def anchors(bars: DataFrame, turns: DataFrame, previous: DataFrame | None = None, trailing: int = TRAILING, most: int = MAX_ANCHORS) -> DataFrame:
     """(ticker, anchor_date, roles, status): all-time and trailing extremes and the latest cycle turns.
 
@@ -215,7 +229,7 @@ def anchors(bars: DataFrame, turns: DataFrame, previous: DataFrame | None = None
     if previous is not None:
         gone = previous.select("ticker", "anchor_date", "roles").join(now, ["ticker", "anchor_date"], "left_anti").withColumn("status", F.lit("stale"))
         now = now.unionByName(gone)
-    minor = F.forall("roles", lambda r: r.startswith("cycle_"))
+    minor = only_cycle(F.col("roles"))
     w = Window.partitionBy("ticker")
     over = F.greatest(F.sum((F.col("status") == "active").cast("int")).over(w) - most, F.lit(0))
     age = F.row_number().over(Window.partitionBy("ticker", "_minor").orderBy("anchor_date"))

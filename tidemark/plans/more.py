@@ -76,6 +76,13 @@ def portfolio_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEARS = list(range(1997, 2001))
 
 
+@query("portfolio_grid")
+def portfolio_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk-forward study over all sizes and pivots, among the index's members as of each year's start."""
+    grid = tuple((size, pivot) for size in pf.SIZES for pivot in pf.PIVOTS)
+    return pf.walk_forward(pf.gross_returns(inp.brand(spark, sf_dir)), YEARS, configurations=grid, membership=inp.membership(spark))
+
+
 @query("portfolio_uniform", RETURNS_SQL + f""", y AS (SELECT unnest({YEARS}) AS year), p AS (SELECT DISTINCT y.year, r.ticker FROM ret r JOIN y ON year(r.ts) <= y.year), d AS (SELECT DISTINCT y.year, r.ts FROM ret r JOIN y ON year(r.ts) = y.year),
  u AS (SELECT d.year, d.ts, avg(coalesce(r.gross, 1.0)) AS g FROM d JOIN p USING (year) LEFT JOIN ret r ON r.ticker = p.ticker AND r.ts = d.ts GROUP BY 1, 2)
  SELECT CAST(year AS INTEGER) AS year, o.objective, round(log10(product(g)), 6) AS uniform_log_cumulative, round((avg(g) - 1) / (stddev_samp(g) + 1e-9) * sqrt(252), 6) AS uniform_sharpe FROM u CROSS JOIN (VALUES ('sharpe'), ('return')) AS o(objective) GROUP BY 1, 2""")

@@ -276,11 +276,11 @@ ANCHORS_SQL = ATR_HEAD + ", " + inp.atr_sql(out="late_bars", first=st.WARM_UP) +
  UNION ALL SELECT ticker, 'cycle_' || kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS n FROM turns_c) WHERE n <= {st.CYCLE_ANCHORS})"""
 
 
-@query("avwap_anchors", ANCHORS_SQL + " SELECT ticker, anchor_date, string_agg(role, ',' ORDER BY role) AS roles, 'active' AS status FROM (SELECT DISTINCT * FROM roles) GROUP BY 1, 2")
+@query("avwap_anchors", ANCHORS_SQL + " SELECT ticker, anchor_date, string_agg(role, ',' ORDER BY role) AS roles, 'active' AS status, min(CASE WHEN role IN ('ath', 'atl') THEN 0 WHEN role LIKE '52w%' THEN 1 ELSE 2 END) AS seniority, bool_and(role LIKE 'cycle%') AS only_cycle FROM (SELECT DISTINCT * FROM roles) GROUP BY 1, 2")
 def avwap_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = inp.walk(spark, sf_dir)
     found = st.anchors(b, br.with_turns(b.filter(F.col("idx") >= st.WARM_UP), st.CYCLE_ATRS, "close"))
-    return found.withColumn("roles", F.array_join("roles", ","))
+    return found.withColumn("seniority", st.seniority(F.col("roles"))).withColumn("only_cycle", st.only_cycle(F.col("roles"))).withColumn("roles", F.array_join("roles", ","))
 
 
 @query("sr_lines")

@@ -36,6 +36,24 @@ def splits(landed: DataFrame) -> DataFrame:
     return landed.select("ticker", F.col("execution_date").cast("date"), F.col("split_from").cast("double"), F.col("split_to").cast("double")).withColumn("ratio", F.try_divide("split_to", "split_from")).orderBy("ticker", "execution_date")
 
 
+def tickers(landed: DataFrame) -> DataFrame:
+    """The universe's pages (ticker, name, type, active, delisted_utc) as one row a ticker: the active one, else the one delisted last."""
+    best = F.struct(F.coalesce(F.col("active").cast("boolean"), F.lit(False)).alias("active"), F.col("delisted_utc"), F.col("name"), F.col("type"))
+    return landed.filter("ticker is not null").groupBy("ticker").agg(F.max(best).alias("b")).select("ticker", "b.name", "b.type", "b.active", "b.delisted_utc")
+
+
+def metadata(landed: DataFrame) -> DataFrame:
+    """Details of tickers as a vendor nests them under ``results``; fields it leaves out are null."""
+    fields = {"market_cap": "double", "sic_code": "string", "sic_description": "string", "share_class_shares_outstanding": "double", "weighted_shares_outstanding": "double", "total_employees": "bigint", "primary_exchange": "string", "list_date": "string"}
+    kinds = ", ".join(f"{c} {k}" for c, k in {"ticker": "string", **fields}.items())
+    return landed.select(F.from_json(F.get_json_object("body", "$.results"), kinds).alias("r")).select("r.*").filter("ticker is not null")
+
+
+def sectors(landed: DataFrame) -> DataFrame:
+    """(ticker, sector, industry) where either is known."""
+    return landed.select("ticker", F.nullif(F.trim("sector"), F.lit("")).alias("sector"), F.nullif(F.trim("industry"), F.lit("")).alias("industry")).filter("sector is not null or industry is not null")
+
+
 def observations(landed: DataFrame) -> DataFrame:
     """Macro observations (series_id, date, value) without the vendor's missing-value mark."""
     return landed.filter(F.col("value") != ".").select("series_id", F.col("date").cast("date"), F.col("value").cast("double"))
@@ -68,6 +86,13 @@ def membership_csv(spark: SparkSession, path: str, index: str) -> DataFrame:
     return spark.read.csv(path, header=True).select(F.lit(index).alias("index_name"), "ticker", F.col("start_date").cast("date"), F.col("end_date").cast("date"))
 
 
+def source_age(spark: SparkSession, path: str, now: float | None = None) -> int:
+    """Whole days since a landed file or folder last changed, by its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime() / 1000
+    return int(((time.time() if now is None else now) - changed) // 86_400)
+
+
 def stale_source(age_days: int, most: int = 90) -> str | None:
     return f"source has not changed for {age_days} days" if age_days > most else None
 
