@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_LEAST, HOT_SHARE, Scratch, looked_up, text_or_empty
+from tidemark.llm.common import HOT_LEAST, HOT_SHARE, Scratch, fresh, looked_up, marks_of, split_by, text_or_empty
 from tidemark.llm.mph import MinimalPerfectHash
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -139,17 +139,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the smallest id (if that id repeats, one row of it).
 
-    Rows that go are taken out by id and digest, so texts only move where a table of those is too large to broadcast.
+    Rows that go are taken out by id and digest, and only rows whose ids are marked as perhaps going take part in that.
     """
     scratch = Scratch(docs.sparkSession, "digests")
     stays = F.col("id").eqNullSafe(F.col("winner"))
     verdict = dedup(docs, id_col=id_col, text_col=text_col, scratch=scratch).groupBy("id", "digest", stays.alias("stays")).agg(F.count(F.lit(1)).alias("copies"))
     verdict = scratch.save(verdict.filter(~F.col("stays") | (F.col("copies") > 1)), "verdict")
-    scratch.drop_all(verdict)
-    own = next(name for name in (f"_digest{'_' * n}" for n in range(len(docs.columns) + 1)) if name not in docs.columns)
-    keyed = docs.withColumn(own, F.unhex(F.sha2(normalised(text_col), 256)))
-    gone = verdict.filter(~F.col("stays")).select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-    kept = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col(own) == F.col("_gone_digest")), "left_anti")
+    marks = scratch.save(marks_of(verdict, "id"), "marks")
+    scratch.drop_all(verdict, marks)
+    sure, open_ = split_by(docs, marks, id_col)
+    own, gone_id, gone_digest = (fresh(name, docs.columns) for name in ("_digest", "_gone_id", "_gone_digest"))
+    keyed = open_.withColumn(own, F.unhex(F.sha2(normalised(text_col), 256)))
+    gone = verdict.filter(~F.col("stays")).select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest))
+    kept = keyed.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest)), "left_anti")
     if verdict.filter("stays").limit(1).count():  # whole rows that repeat their id and text
         kept = kept.dropDuplicates([id_col, own])
-    return kept.drop(own)
+    return sure.unionByName(kept.drop(own))
