@@ -2,7 +2,9 @@
 
 In each round a node takes the smallest label among its neighbours and itself, then the label of
 its label.  Labels travel along paths whose length doubles, so rounds grow with the logarithm of
-the longest path.  Every round is written to the shared folder; nothing is collected.
+the longest path.  Every round is written to the shared folder, and the one before it goes; nothing is
+collected but the hot nodes and labels (fewer than a thousand, see ``hot_keys``), which joins deal apart: the centre of a
+star with a third of all edges is looked up by broadcast, not shuffled into one task.
 """
 
 from __future__ import annotations
@@ -10,23 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import Scratch, hot_keys, looked_up
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b); root is the smallest node of its component."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = saved(both, "cc-edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"), "cc-labels")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    crowded = hot_keys(both, "b")
+    labels = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = saved(step.join(up, "root").select("node", "old", F.least("root", "top").alias("root")), "cc-labels")
+        near = looked_up(both, "b", labels.withColumnRenamed("node", "b"), hot=crowded).groupBy("a").agg(F.min("root").alias("near"))
+        step = scratch.save(labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
+        new = scratch.save(looked_up(step, "root", labels.select(F.col("node").alias("root"), F.col("root").alias("top"))).select("node", "old", F.least("root", "top").alias("root")), "labels")
         moved = new.filter("root <> old").limit(1).count()
-        labels = new.select("node", "root")
+        scratch.drop(labels, step)
+        labels = new
         if not moved:
-            return labels
+            scratch.drop(both)
+            return labels.select("node", "root")
 
 
 def rooted(nodes: DataFrame, node: str, labels: DataFrame, root: str = "root") -> DataFrame:

@@ -5,19 +5,25 @@ ASCII white space only); with fewer words, the whole sequence as one.  Documents
 intersect in at least ``percent`` hundredths of their union are linked, and groups are the connected
 components of the links.
 
-1. Documents with equal sets form a class; from here on only classes count.
+1. Documents with equal sets (by a 128-bit digest) form a class, named by the number of its first row; from here
+   on only classes count.
 2. Each class's set is sketched, and ``BANDS`` keys of ``WIDTH`` coordinates each are drawn from the sketch.
-   Two sets at similarity 0.8 share no key with probability 1e-5, closer ones far less often.
-3. Two rounds compare the members of each bucket with one member: first the smallest by a common
-   order, so that a group meets in one representative, then one drawn for each bucket, skipping what is
-   already together.  Compared means: intersected in full.
+   Two sets at similarity 0.8 share no key with probability 5e-6, closer ones far less often.  Keys are shuffled once:
+   every member learns its bucket's size and smallest member there.
+3. Two rounds compare the members of each bucket with one member: first the smallest, so that a group meets in one
+   representative, then one drawn for each bucket, skipping what is already together and what sizes alone rule out.
+   Compared means: intersected in full.
 4. Buckets that still hold more than one component are compared exhaustively, in cells of at most
-   ``CELL`` members on a side; a cell gives out links, never its pairs.
+   ``CELL`` members on a side; a cell gives out links, never its pairs.  Of buckets with the very same members one is enough.
 
-Links are confirmed on full sets of 64-bit shingle hashes.  Components never leave the cluster.
+Links are confirmed on full sets of 64-bit shingle hashes.  Components never leave the cluster.  No join or aggregate relies
+on the engine to split hot keys: keys with more than a thousandth of all rows (fewer than a thousand keys, by
+arithmetic) are looked up by broadcast, sets with very many partners are salted.  Tables on the way go as soon as
+what was made from them is written.
 
 Defined results: null and wordless texts have the empty set and are linked with nothing;
-rows with equal ids are all returned, and a group's id is the smallest non-null one in it.
+rows with equal ids are all returned, and a group's id is the smallest non-null one in it; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +36,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import mix64, pieces_of, saved
+from tidemark.llm.common import Scratch, among, fresh, hot_keys, looked_up, map_arrow, marks_of, mix64, pieces_of, split_by
 from tidemark.llm.components import components, rooted
 from tidemark.llm.sketch import Sketcher, bands
 
-BANDS, WIDTH = 64, 8
+BANDS, WIDTH = 40, 6
 CELL = 1024
-WORD_CACHE = 300_000
+DIGEST_BYTES = 16
+#: Copies of a set that very many others are compared with; of so many classes one is looked at to find hot buckets.
+SALTS, HOT_DRAW = 32, 16
+WORD_CACHE = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,40 +76,67 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def node_of(elements: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=DIGEST_BYTES).digest()
 
 
 def signatures(docs: DataFrame, words: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, node, keys): size of the set, a 64-bit digest of it and its band keys (null for the empty set)."""
+    """(row, id, n, digest, keys): a number of the row, the size of its set, a 128-bit digest of it and its band keys
+    (both null for the empty set)."""
 
     def run(batches):
         hashes, sketch = WordHashes(), Sketcher(BANDS * WIDTH)
         for b in pieces_of(batches):
-            sizes, nodes, keys = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, words, hashes)
-                sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-                keys.append(bands(sketch(s), BANDS, WIDTH) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "node", "keys"])
+            sets = [shingle_set(text, words, hashes) for text in b.column(2).to_pylist()]
+            digests = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
+            keys = pa.array([bands(sketch(s), BANDS, WIDTH) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), digests, keys], ["row", "id", "n", "digest", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n long, node long, keys array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col))
+    return map_arrow(rows, run, "row long, id long, n long, digest binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, elements) of the ``wanted`` (id, node) classes, their sets made again from the texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame, marks: DataFrame, words: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, elements) of the ``wanted`` (id, digest, node) classes, their sets made again from the texts.
+
+    ``marks``: those of the wanted ids; other texts are not moved.
+    """
 
     def run(batches):
         hashes = WordHashes()
         for b in pieces_of(batches):
-            sets = [shingle_set(t, words, hashes) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["id", "node", "elements"])
+            sets = [shingle_set(t, words, hashes) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(map(digest_of, sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "elements"])
 
     ids = wanted.select(F.col("id").alias("_id")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    made = rows.mapInArrow(run, "id long, node long, elements binary")
-    return made.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "elements")
+    _, perhaps = split_by(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), marks, "id")
+    rows = perhaps.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    made = map_arrow(rows.select("text"), run, "digest binary, elements binary")
+    return made.join(wanted.select("digest", "node"), "digest").dropDuplicates(["digest"]).select("node", "elements")
+
+
+def per_bucket(rows: DataFrame, hot: list[int], **totals) -> DataFrame:
+    """``rows`` with ``totals``, aggregates over their bucket (``key``), after one shuffle by key.
+
+    Hot buckets are not shuffled: their totals are summed up task by task and come back by broadcast, one
+    row for each hot key.
+    """
+    window = Window.partitionBy("key")
+    out = rows.filter(~among("key", hot)).select("*", *(x.over(window).alias(name) for name, x in totals.items()))
+    if hot:
+        apart = rows.filter(among("key", hot))
+        few = apart.groupBy("key").agg(*(x.alias(name) for name, x in totals.items()))
+        out = out.unionByName(apart.join(F.broadcast(few), "key"))
+    return out
+
+
+def hot_buckets(classes: DataFrame) -> list[int]:
+    """Keys of buckets with more than about a thousandth of all key rows, found on one class in ``HOT_DRAW``.
+
+    Which buckets are dealt as hot changes no result, only the tasks in which they are worked off.
+    """
+    drawn = classes.filter(F.pmod(F.xxhash64("node"), F.lit(HOT_DRAW)) == 0).select(F.explode("keys").alias("key"))
+    return hot_keys(drawn, "key")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -111,31 +148,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def alike(a: str, b: str, percent: int):
+    """Whether two sizes allow the similarity asked for."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
+    """The (a, b) of ``pairs``, a written table, whose full sets are similar enough.
+
+    The set of an ``a`` with very many partners is copied into ``SALTS`` parts, and each partner meets one of them.
+    """
+    hot = hot_keys(pairs, "a")
+    salt = F.when(among("a", hot), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(among("node", hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = sets.select(F.col("node").alias("a"), F.explode(salts).alias("salt"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    bytes_x, bytes_y = F.octet_length("x"), F.octet_length("y")
-    near = F.least(bytes_x, bytes_y) * 100 >= F.greatest(bytes_x, bytes_y) * percent
 
     def run(batches):
         for b in pieces_of(batches):
             good = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def star_pairs(members: DataFrame, order) -> DataFrame:
-    """Each bucket's first member by ``order``, paired with the members of other components: (a, b)."""
-    first = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("root").alias("root_a"))).alias("f")).select("key", "f.a", "f.root_a")
-    return members.join(first, "key").filter(F.col("root") != F.col("root_a")).select("a", F.col("node").alias("b")).distinct()
-
-
-def unresolved(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, each with its bucket's size."""
-    open_ = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
-    return members.join(open_, "key")
+    met = pairs.withColumn("salt", salt).join(left, ["a", "salt"]).join(right, "b")
+    return map_arrow(met.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def cell_links(members: DataFrame, sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
@@ -152,8 +187,7 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int, cell: int = CE
         nodes, roots = pdf["node"].to_numpy(), pdf["root"].to_numpy()
         sets_ = [np.frombuffer(x, "<u8") for x in pdf["elements"]]
         sizes = np.array([len(s) for s in sets_])
-        flat = np.concatenate(sets_)
-        values, inverse = np.unique(flat, return_inverse=True)
+        values, inverse = np.unique(np.concatenate(sets_), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         label = np.unique(roots, return_inverse=True)[1]
         side = pdf["part"].to_numpy()
@@ -179,44 +213,109 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int, cell: int = CE
     return cells.join(sets, "node").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
-def group(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, group): size of each row's set, and the smallest id of its group."""
+def distinct_buckets(left: DataFrame) -> DataFrame:
+    """One of the buckets that hold the very same members, by two 64-bit sums of them; others compare nothing new."""
+    keep = left.groupBy("same", "again", "size").agg(F.min("key").alias("key")).select("key")
+    return left.join(keep, "key", "left_semi")
+
+
+def group(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(id, n, group, digest): size of each row's set, the smallest id of its group, and the set's digest."""
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     cols = {"id_col": id_col, "text_col": text_col}
-    sigs = saved(signatures(docs, words, **cols), "minhash-signatures")
-    classes = saved(sigs.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "minhash-classes")
-    spread = classes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    members = saved(spread.join(shared, "key"), "minhash-buckets").withColumn("root", F.col("node"))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "node")
-    sets = saved(full_sets(docs, wanted, words, **cols), "minhash-sets")
-    common_order = F.xxhash64("node")
-    labels = components(saved(confirmed(star_pairs(members, common_order), sets, percent), "minhash-links"))
+    sigs = scratch.save(signatures(docs, words, **cols), "signatures")
+    classes = sigs.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = scratch.save(classes, "classes")
+    rows = scratch.save(sigs.select("id", "n", "digest"), "rows")
+    scratch.drop(sigs)
+    hot = hot_buckets(classes)
+    spread = classes.select("node", "n", F.explode("keys").alias("key"))
+    met = per_bucket(spread, hot, size=F.count(F.lit(1)), first=F.min(F.struct("node", "n"))).filter("size > 1")
+    members = scratch.save(met.select("key", "node", "n", "size", F.col("first.node").alias("a"), F.col("first.n").alias("a_n")), "buckets")
+    if not members.limit(1).count():  # no two sets share a key
+        scratch.drop_all(rows, classes)
+        return looked_up(rows, "digest", classes.select("digest", F.col("id").alias("group")), "left").select("id", "n", F.coalesce("group", "id").alias("group"), "digest")
+    classes_, classes = classes, scratch.save(classes.select("digest", "node", "id"), "names")
+    scratch.drop(classes_)
+    wanted = scratch.save(classes.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = scratch.save(full_sets(docs, wanted, scratch.save(marks_of(wanted, "id"), "marks"), words, **cols), "sets")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs.distinct(), "pairs")
+        links = scratch.save(confirmed(pairs, sets, percent), "links")
+        scratch.drop(pairs)
+        return links
+
+    # a bucket of two is settled by its first comparison
+    links = links_of(members.filter((F.col("node") != F.col("a")) & alike("n", "a_n", percent)).select("a", F.col("node").alias("b")))
+    labels = components(links, scratch)
+    scratch.drop(links)
+    members_, members = members, scratch.save(members.filter("size > 2").select("key", "node", "n"), "buckets")
+    scratch.drop(members_)
+    drawn = F.min(F.struct(F.xxhash64("node", "key").alias("o"), "node", "n", "root"))
     for again in (1, 2):
-        left = saved(unresolved(rooted(members.select("key", "node"), "node", labels)), "minhash-left")
+        open_ = {"lo": F.min("root"), "hi": F.max("root"), "size": F.count(F.lit(1))}
+        seen = rooted(members, "node", labels)
         if again == 1:
-            links = confirmed(star_pairs(left.filter("size > 2"), F.xxhash64("node", "key")), sets, percent)
+            left = scratch.save(per_bucket(seen, hot, star=drawn, **open_).filter("lo <> hi"), "left")
+            if not left.limit(1).count():
+                break
+            pairs = left.filter((F.col("root") != F.col("star.root")) & alike("n", "star.n", percent))
+            links = links_of(pairs.select(F.col("star.node").alias("a"), F.col("node").alias("b")))
         else:
-            links = cell_links(left, sets, percent)
-        labels = _merged(labels, saved(links, "minhash-links"))
-    ids = rooted(classes.select("node", "id"), "node", labels)
+            marks = {"same": F.bit_xor(F.xxhash64("node")), "again": F.bit_xor(F.xxhash64("node", F.lit(1)))}
+            left = scratch.save(per_bucket(seen, hot, **marks, **open_).filter("lo <> hi"), "left")
+            links = scratch.save(cell_links(distinct_buckets(left), sets, percent), "links")
+        labels = _merged(labels, links, scratch)
+        members = left.select("key", "node", "n")
+    ids = scratch.save(rooted(classes, "node", labels), "roots")
     best = ids.groupBy("root").agg(F.min("id").alias("group"))
-    named = ids.join(best, "root").select("node", "group")
-    return sigs.select("id", "n", "node").join(named, "node", "left").select("id", "n", F.coalesce("group", "id").alias("group"))
+    named = scratch.save(looked_up(ids, "root", best).select("digest", "group"), "groups")
+    scratch.drop_all(rows, named)
+    return looked_up(rows, "digest", named, "left").select("id", "n", F.coalesce("group", "id").alias("group"), "digest")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Labels after further links, worked out on the components found so far."""
     if not links.limit(1).count():
         return labels
     edges = rooted(rooted(links, "a", labels, "ra"), "b", labels, "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    over = components(edges)
+    over = components(edges, scratch)
     known = labels.union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).union(links.select("b", "b")).distinct().join(labels, "node", "left_anti"))
-    return saved(rooted(known.withColumnRenamed("root", "was"), "was", over).select("node", "root"), "minhash-labels")
+    known = scratch.save(known.select("node", F.col("root").alias("was")), "labels")
+    over = over.select(F.col("node").alias("was"), "root")
+    return scratch.save(looked_up(known, "was", over, "left").select("node", F.coalesce("root", "was").alias("root")), "labels")
+
+
+def with_digest(docs: DataFrame, name: str, words: int, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with the digest of each row's set under ``name``; null for the empty set."""
+    kept = docs.columns
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in pieces_of(batches):
+            sets = [shingle_set(t, words, hashes) for t in b.column(len(kept)).to_pylist()]
+            yield pa.record_batch([*b.columns[: len(kept)], pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())], [*kept, name])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{name}` binary"])
+    return map_arrow(docs.select(*kept, F.col(text_col).alias(fresh("_text", kept))), run, schema)
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with its smallest id (rows without an id stay
-    unless their group has one)."""
-    verdict = saved(group(docs, words=words, percent=percent, id_col=id_col, text_col=text_col), "minhash-verdict")
-    gone = verdict.filter(~F.col("id").eqNullSafe(F.col("group"))).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that stay: of each group those with its smallest id (a row without an id goes only where
+    its group has one).
+
+    A row goes by its id and its set together, so rows that share an id are judged apart; only rows whose ids are marked as
+    perhaps going are looked at.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    verdict = group(docs, words=words, percent=percent, id_col=id_col, text_col=text_col, scratch=scratch)
+    gone_id, gone_set, own = (fresh(name, docs.columns) for name in ("_gone_id", "_gone_set", "_set"))
+    gone = verdict.filter(~F.col("id").eqNullSafe(F.col("group"))).select(F.col("id").alias(gone_id), F.col("digest").alias(gone_set)).distinct()
+    gone = scratch.save(gone, "gone")
+    marks = scratch.save(marks_of(gone, gone_id), "marks")
+    scratch.drop_all(gone, marks)
+    sure, open_ = split_by(docs, marks, id_col)
+    judged = with_digest(open_, own, words, text_col=text_col)
+    kept = judged.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_set)), "left_anti")
+    return sure.unionByName(kept.drop(own))
