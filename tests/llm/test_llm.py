@@ -707,3 +707,15 @@ def test_queries_on_held_out_rows(spark):
     docs = pd.read_parquet(f"{d}/documents.parquet")
     want = brute_groups(list(zip(docs["doc_id"], docs["text"], strict=True)), 2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.itertuples()} == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, d).toPandas(), con.execute(queries.ORACLES[name]).df()
+    rows = lambda df: sorted(tuple("null" if pd.isna(v) else str(int(v) if isinstance(v, float) else v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)

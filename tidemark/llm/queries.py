@@ -75,6 +75,22 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("id").eqNullSafe(F.col("group")).alias("kept"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM t
+), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS root FROM s
+  UNION SELECT l.b, r.root FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) l ON l.a = r.doc_id
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(root) AS component_id, min(root) = s.doc_id AS kept FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
@@ -131,5 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_topk": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op5_minhash": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
