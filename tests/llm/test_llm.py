@@ -428,6 +428,22 @@ def test_toxicity_on_awkward_rows(spark):
     assert toxicity.fit(frame, labels) is not None
 
 
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, prior: taken.append((texts, labels.tolist(), prior)))
+    docs = spark.createDataFrame([(i, f"word{i} " * (3 + i)) for i in range(40)] * 6, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 5, "doc_id long, toxic int")
+    toxicity.fit(docs, labels)  # ids repeat in both tables: 1,200 pairs, but 40 that differ
+    assert len(taken[0][0]) == 40 and sum(taken[0][1]) == 20 and taken[0][2] == 0.5
+    many = spark.createDataFrame([(i % 4, f"word{i} " * 3) for i in range(400)], "doc_id long, text string")
+    toxicity.fit(many, labels.distinct(), bound=20)  # an id of many texts
+    assert 0 < taken[1][1].count(0) <= 25 and 0 < taken[1][1].count(1) <= 25
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 600)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 100)
+    toxicity.fit(docs, labels)
+    assert all(len(t) <= 100 for t in taken[2][0]) and 0 < sum(len(t) for t in taken[2][0]) <= 1200
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.new({"a": 1})
     net.p = {k: v.astype(float) for k, v in net.p.items()}

@@ -10,7 +10,8 @@ is scored; the text's score is the largest, calibrated.
 Labels belong to documents, not windows.  Training begins with random windows under their documents'
 labels: only words of toxic documents stand out in the mean.  Then it alternates: score all windows of the
 training documents, and learn from each document's highest window (and a random one of clean
-documents).  Training takes at most ``SAMPLE_DOCS`` documents of each label.
+documents).  Training takes about ``SAMPLE_DOCS`` documents of each label, up to ``SAMPLE_CHARS`` characters of them
+and ``SAMPLE_TEXT`` of one, whatever repeats or is long; every text is scored whole.
 
 Defined results: null and empty texts, and texts without words, get a low constant score; where
 nothing was learned every score is 0; rows with equal or null ids are all returned; columns that aren't
@@ -20,7 +21,6 @@ kept are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -28,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, map_arrow, pieces_of
+from tidemark.llm.common import fresh, map_arrow, pieces_of, release
 from tidemark.llm.langid import sample
 
 SAMPLE_DOCS = 1500
+#: What the driver holds for training: characters of a label's documents together, and of one document.
+SAMPLE_CHARS, SAMPLE_TEXT = 8_000_000, 1 << 17
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHAR_DIM, WORD_DIM = 8, 16, 8
 RUNS = (3, 4, 5)
@@ -237,7 +240,7 @@ def window_rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
     inside = first[:, None] + np.arange(WINDOW)
     mask = inside < sizes[owner][:, None]
-    flat = np.concatenate([*ids, np.zeros(1, np.int64)])
+    flat = np.concatenate([*ids, np.zeros(1, np.int32)])
     begin = (np.cumsum(sizes) - sizes)[owner][:, None]
     rows = np.where(mask, flat[np.minimum(begin + inside, len(flat) - 1)], 0)
     return owner, rows, mask.astype(np.float32)
@@ -248,15 +251,19 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    common = Counter(w for words in docs for w in set(words))
-    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 3}
+    met: dict[str, int] = {}  # words are held once, documents as numbers
+    docs = [np.array([met.setdefault(w, len(met)) for w in words_of(t)], np.int32) for t in texts]
+    among = np.zeros(len(met), np.int64)
+    for words in docs:
+        among[np.unique(words)] += 1
+    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(zip(met, among.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 3}
     net = Network.new(vocabulary, seed)
-    names = [PAD, *sorted(common)]
-    lexicon = {w: i for i, w in enumerate(names)}
+    names = [PAD, *sorted(met)]
+    place = np.zeros(len(met), np.int32)
+    place[[met[w] for w in names[1:]]] = np.arange(1, len(names))
     buckets, first, many = runs_of(names)
     own = np.array([vocabulary.get(w, 0) for w in names])
-    owner, rows, mask = window_rows([np.array([lexicon[w] for w in words], np.int64) for words in docs])
+    owner, rows, mask = window_rows([place[words] for words in docs])
     if not len(owner):
         return None
     begin = np.searchsorted(owner, np.arange(len(docs) + 1))
@@ -385,16 +392,24 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", bound: int = SAMPLE_DOCS) -> Network | None:
     """Trained on the ``docs`` that ``labels`` (id and 0 or 1) calls; null texts and labels teach nothing.
 
-    The labels are drawn first, about ``bound`` of each kind, so what meets the documents is bounded and no text is shuffled.
+    The labels are drawn first, about ``bound`` of each kind, so no text is shuffled but those drawn.  An id may have many
+    rows in either table, and texts any length: rows that repeat id, label and text count once, and what the driver gets is
+    bounded in rows and characters.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
     counts = {int(r[0]): r[1] for r in known.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return None
     drawn = F.broadcast(sample(known, "_label", ["_id"], bound, totals=counts))
-    met = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(drawn, F.col("_doc") == F.col("_id"))
-    got = sorted((r[0], int(r[1])) for r in met.select("_text", "_label").collect())
-    return train([t for t, _ in got], np.array([y for _, y in got], np.int64), counts[1] / sum(counts.values()))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.substring(text_col, 1, SAMPLE_TEXT).alias("_text"))
+    met = texts.join(drawn, F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").distinct()
+    w = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumns({"_n": F.count(F.lit(1)).over(w), "_chars": F.sum(F.length("_text")).over(w)})
+    few = placed.filter((F.col("_n") <= bound * 5 // 4) & (F.col("_chars") <= SAMPLE_CHARS))
+    got = sorted((r[0], int(r[1])) for r in few.select("_text", "_label").collect())
+    net = train([t for t, _ in got], np.array([y for _, y in got], np.int64), counts[1] / sum(counts.values()))
+    release()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, *, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
