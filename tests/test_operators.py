@@ -1,6 +1,7 @@
 """Operators on small frames with hand-worked results."""
 
 import json
+import math
 import time
 from datetime import date, datetime, timedelta
 
@@ -240,3 +241,16 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = spark.sql("SELECT kind, value FROM turned ORDER BY confirmed_at").collect()
     assert [tuple(r) for r in got] == [("low", 99.5), ("high", 120.5), ("low", 99.5)]
+
+
+def test_walk_prices_keep_their_digits_over_long_series(spark, tmp_path):
+    """A running sum that has been large and is small again has lost nothing."""
+    from tidemark.plans import inputs as inp
+
+    discounts = [5000.05] + [0.0513] * 4000 + [-4999.95 + 100.0 - 0.52]
+    rows = [(i, 1, 1, 1, 1.0, 1.0, d, "A", "F", pd.Timestamp("1996-01-01") + pd.Timedelta(days=i)) for i, d in enumerate(discounts)]
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    last = inp.walk_bars(spark, str(tmp_path)).orderBy(F.col("ts").desc()).first()
+    want = 100 * math.exp(math.fsum((d - 0.05) * 0.1 for d in discounts))
+    assert 1e6 < want < 1e8 and abs(last["close"] - want) < 2e-6

@@ -27,6 +27,15 @@ def sma(x: Column, n: int, w: WindowSpec) -> Column:
     return _full(F.avg(x).over(_rows(n, w)), x, n, w)
 
 
+def running_sum(x: Column, w: WindowSpec) -> Column:
+    """Sum over ``w``'s frame without the error that one rounding a row adds up to over a long series.
+
+    Multiples of 2^-40 are summed exactly up to 8192; what is left of each row is so small that its sum's error vanishes.
+    """
+    coarse = F.rint(x * F.lit(2.0**40)) * F.lit(2.0**-40)
+    return F.sum(coarse).over(w) + F.sum(x - coarse).over(w)
+
+
 def rolling_std(x: Column, n: int, w: WindowSpec) -> Column:
     """Sample deviation."""
     return _full(F.stddev_samp(x).over(_rows(n, w)), x, n, w)

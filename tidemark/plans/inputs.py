@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.windows import running_sum
 from tidemark.operators.bars import from_ticks, indexed
 
 TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
@@ -23,7 +24,7 @@ def walk_bars(spark: SparkSession, sf_dir: str, ticker: Column | None = None) ->
     """A random walk for each ``ticker``: by default for each return flag and line status, few long series."""
     lines = table(spark, sf_dir, "lineitem").withColumn("ticker", F.concat("l_returnflag", "l_linestatus") if ticker is None else ticker)
     w = Window.partitionBy("ticker").orderBy("l_shipdate", *TIES).rowsBetween(Window.unboundedPreceding, 0)
-    ticks = lines.select("ticker", F.col("l_shipdate").alias("ts"), *TIES, F.col("l_quantity").alias("volume"), F.round(100 * F.exp(F.sum((F.col("l_discount") - 0.05) * 0.1).over(w)), 6).alias("price"))
+    ticks = lines.select("ticker", F.col("l_shipdate").alias("ts"), *TIES, F.col("l_quantity").alias("volume"), F.round(100 * F.exp(running_sum((F.col("l_discount") - 0.05) * 0.1, w)), 6).alias("price"))
     return from_ticks(ticks, *TIES)
 
 
