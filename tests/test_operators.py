@@ -254,3 +254,17 @@ def test_walk_prices_keep_their_digits_over_long_series(spark, tmp_path):
     last = inp.walk_bars(spark, str(tmp_path)).orderBy(F.col("ts").desc()).first()
     want = 100 * math.exp(math.fsum((d - 0.05) * 0.1 for d in discounts))
     assert 1e6 < want < 1e8 and abs(last["close"] - want) < 2e-6
+
+
+def test_returns_from_a_price_of_zero_are_not_dropped(spark):
+    """Floating-point division, as the SQL divides: infinite, or NaN for 0 / 0."""
+    from tidemark.functions import scalar
+
+    rows = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (6.0, 3.0), (None, 0.0)], "a double, b double")
+    got = [r[0] for r in rows.select(scalar.quotient(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == math.inf and math.isnan(got[1]) and got[2:] == [2.0, None]
+    n = 80
+    b = spark.createDataFrame([("A", i, D(2020, 1, 1) + timedelta(days=i), 0.0 if i == 2 else 1.0) for i in range(n)], "ticker string, idx int, ts date, close double")
+    life = spark.createDataFrame([("A", "fvg", "bearish", 2, "open")], "ticker string, kind string, direction string, created_idx int, status string")
+    walked = spark.createDataFrame([("A", "fvg", "bearish", 2, 3, 10.0, 10.0)], "ticker string, kind string, direction string, created_idx int, idx int, pct double, max_pct double")
+    assert gp.study(life, walked, b).first()["return_5_from_created"] == -math.inf

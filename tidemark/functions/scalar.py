@@ -11,6 +11,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: by 0 infinite, or NaN for 0 / 0; null only where a or b is null."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
+def ln(x: Column) -> Column:
+    """Natural logarithm, minus infinity at 0; null below."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def band_width(upper: Column, lower: Column, middle: Column) -> Column:
     return ratio(upper - lower, middle) * 100
 
@@ -40,7 +51,7 @@ def typical_price(kind: str = "hlc3") -> Column:
 def interpolated(a: Column, b: Column, share: Column, log: bool = False) -> Column:
     """The point at ``share`` of the way from a to b, in prices or in log prices."""
     if log:
-        return F.exp(F.log(a) + share * (F.log(b) - F.log(a)))
+        return F.exp(ln(a) + share * (ln(b) - ln(a)))
     return a + share * (b - a)
 
 

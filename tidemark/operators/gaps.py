@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.scalar import quotient
 from tidemark.functions.windows import series, sma
 from tidemark.operators.joins import islands
 
@@ -108,10 +109,11 @@ def reactions(life: DataFrame, bars: DataFrame, reach: int = REACH) -> DataFrame
 
 
 def study(life: DataFrame, walked: DataFrame, bars: DataFrame, threshold: float = SOFT, horizons: tuple[int, ...] = STUDY_HORIZONS) -> DataFrame:
-    """Per gap: its peak fill, when that and the threshold came, and signed returns (in %) after creation and peak."""
+    """Per gap: its peak fill, when that and the threshold came, and signed returns (in %) after creation and peak;
+    from a price of 0 they are infinite or NaN."""
     peak = walked.groupBy(*GAP).agg(F.max("pct").alias("peak_fill"), F.min_by("idx", F.struct(-F.col("pct"), F.col("idx"))).alias("peak_idx"), F.min(F.when(F.col("max_pct") >= threshold, F.col("idx") - F.col("created_idx"))).alias("bars_to_threshold"))
     w = series()
-    ahead = bars.select("ticker", "idx", *[((F.try_divide(F.lead("close", h).over(w), F.col("close")) - 1) * 100).alias(f"f{h}") for h in horizons])
+    ahead = bars.select("ticker", "idx", *[((quotient(F.lead("close", h).over(w), F.col("close")) - 1) * 100).alias(f"f{h}") for h in horizons])
     out = life.select(*GAP, (F.col("status") == "closed").alias("closed")).join(peak, GAP)
     sign = F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
     for at, name in (("created_idx", "created"), ("peak_idx", "peak")):
