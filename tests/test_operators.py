@@ -268,3 +268,11 @@ def test_returns_from_a_price_of_zero_are_not_dropped(spark):
     life = spark.createDataFrame([("A", "fvg", "bearish", 2, "open")], "ticker string, kind string, direction string, created_idx int, status string")
     walked = spark.createDataFrame([("A", "fvg", "bearish", 2, 3, 10.0, 10.0)], "ticker string, kind string, direction string, created_idx int, idx int, pct double, max_pct double")
     assert gp.study(life, walked, b).first()["return_5_from_created"] == -math.inf
+
+
+def test_logarithms_of_prices_of_zero(spark):
+    from tidemark.functions import scalar
+
+    rows = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "a double, b double")
+    got = [tuple(r) for r in rows.select(scalar.ln(F.col("a")), scalar.interpolated(F.col("a"), F.col("b"), F.lit(0.5), True)).collect()]
+    assert got[0][0] == -math.inf and math.isnan(got[0][1]) and got[1] == (0.0, 1.0)

@@ -293,7 +293,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = w.rowsBetween(-19, 0)
     dev = F.when(F.count("close").over(last) == 20, F.stddev_pop("close").over(last))
     b = b.select("*", F.lag("atr").over(w).alias("atr0"), F.lag("close").over(w).alias("c0"), F.lag("close", 2).over(w).alias("c1"), wd.sma(F.col("volume"), 20, w).alias("v20"), wd.sma(F.col("close"), 20, w).alias("mid"), dev.alias("dev"))
-    c, atr, slope, slope0 = F.col("close"), F.col("atr"), F.log(F.col("close") / F.col("c0")), F.log(F.col("c0") / F.col("c1"))
+    c, atr, slope, slope0 = F.col("close"), F.col("atr"), scalar.ln(scalar.quotient(F.col("close"), F.col("c0"))), scalar.ln(scalar.quotient(F.col("c0"), F.col("c1")))
     rel = scalar.relative_volume(F.col("volume"), F.col("v20"))
     tol = scalar.level_tolerance(atr, c, 0.3, 0.001)
     met = (F.abs(F.col("high") - F.col("c0")) <= tol) | (F.abs(F.col("low") - F.col("c0")) <= tol)
