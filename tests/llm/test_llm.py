@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -444,6 +445,19 @@ def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
     assert all(len(t) <= 100 for t in taken[2][0]) and 0 < sum(len(t) for t in taken[2][0]) <= 1200
 
 
+def test_toxicity_memory_is_bounded_whatever_the_words(monkeypatch):
+    for name in ("WARM", "ROUNDS", "WARM_STEPS", "ROUND_STEPS"):
+        monkeypatch.setattr(toxicity, name, 1)
+    labels = np.arange(24) % 2
+    for texts in (["x" * (100_000 + i) for i in range(24)], [" ".join(f"w{i * 20_000 + k}" for k in range(20_000)) for i in range(24)]):
+        tracemalloc.start()
+        net = toxicity.train(texts, labels, 0.5)
+        got = toxicity.Scorer(net).score(["y" * 1_500_000, texts[0]])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6 and ((got >= 0) & (got <= 1)).all()
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.new({"a": 1})
     net.p = {k: v.astype(float) for k, v in net.p.items()}

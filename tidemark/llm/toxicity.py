@@ -21,11 +21,13 @@ kept are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +48,10 @@ WARM, ROUNDS, BATCH, RATE = 4, 4, 128, 0.01
 #: A small sample is passed over again until the random windows gave so many steps, and each round so many.
 WARM_STEPS, ROUND_STEPS = 120, 16
 WORD_CACHE = 120_000
-#: Windows computed at once, and words of a text laid out at once.
-BLOCK, LAID_OUT = 512, 1 << 18
+#: Windows computed at once, training windows whose words are projected at once, and words of a text laid out at once.
+BLOCK, TURN, LAID_OUT = 512, 1 << 13, 1 << 18
+#: Character runs hashed or gathered at once, whatever the words.
+GATHERED = 1 << 18
 #: The logit of a text without words.
 WORDLESS = -4.0
 #: The word that stands for positions past a text's end.
@@ -64,35 +68,80 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def parts_of(sizes: np.ndarray, most: int = GATHERED) -> Iterator[slice]:
+    """Slices of neighbours with at most ``most`` together; a larger one comes alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def hashed(points: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the runs of ``n`` characters, by where they begin."""
+    places = max(0, len(points) - n + 1)
+    h = np.full(places, n, np.uint64)
+    for k in range(n):
+        h = (h ^ points[k : places + k]) * GOLDEN
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(40)) % np.uint64(CHAR_BUCKETS)).astype(np.uint16)
+
+
 def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, first, many): hashed character runs word by word; where a word's begin, and how many it has (1 or more)."""
-    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    """(buckets, first, many): hashed character runs word by word; where a word's begin, and how many it has (1 or more).
+
+    Beside the result it holds what ``GATHERED`` characters need, however many or long the words are.
+    """
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), sizes)
-    found, owner = [], []
-    for n in RUNS:
-        places = max(0, len(points) - n + 1)
-        h = np.full(places, n, np.uint64)
-        for k in range(n):
-            h = (h ^ points[k : places + k]) * GOLDEN
-            h ^= h >> np.uint64(29)
-        inside = word[:places] == word[n - 1 :]
-        found.append((h[inside] >> np.uint64(40)) % np.uint64(CHAR_BUCKETS))
-        owner.append(word[:places][inside])
-    of = np.concatenate(owner)
-    order = np.argsort(of, kind="stable")
-    many = np.bincount(of, minlength=len(words))
-    return np.concatenate(found).astype(np.int64)[order], np.cumsum(many) - many, many
+    many = sum(np.maximum(0, sizes - n + 1) for n in RUNS)
+    first = np.cumsum(many) - many
+    out = np.empty(int(many.sum()), np.uint16)
+    for part in parts_of(sizes):
+        to = int(first[part.start])
+        if sizes[part.start] > GATHERED:
+            marked = f"<{words[part.start]}>"
+            for n in RUNS:
+                for at in range(0, len(marked) - n + 1, GATHERED):
+                    got = hashed(points_of(marked[at : at + GATHERED + n - 1]), n)
+                    out[to : to + len(got)] = got
+                    to += len(got)
+            continue
+        points = points_of("".join(f"<{w}>" for w in words[part]))
+        word = np.repeat(np.arange(part.stop - part.start), sizes[part])
+        found, owner = [], []
+        for n in RUNS:
+            inside = word[: max(0, len(points) - n + 1)] == word[n - 1 :]
+            found.append(hashed(points, n)[inside])
+            owner.append(word[: len(inside)][inside])
+        got = np.concatenate(found)[np.argsort(np.concatenate(owner), kind="stable")]
+        out[to : to + len(got)] = got
+    return out, first, many
+
+
+def tally(buckets: np.ndarray) -> np.ndarray:
+    """How often each bucket is among them."""
+    out = np.zeros(CHAR_BUCKETS, np.int64)
+    for at in range(0, len(buckets), GATHERED):
+        out += np.bincount(buckets[at : at + GATHERED], minlength=CHAR_BUCKETS)
+    return out.astype(np.float32)
 
 
 def pooled(table: np.ndarray, buckets: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """(words, CHAR_DIM): sums of the words' run vectors over the root of their number.
 
-    Words with equally many runs are gathered together.
+    Words with equally many runs are gathered together; one with more runs than there are buckets goes by its buckets' tally.
     """
     out = np.empty((len(first), CHAR_DIM), np.float32)
     for k in np.unique(many).tolist():
         same = np.flatnonzero(many == k)
+        if k > CHAR_BUCKETS:
+            for w in same:
+                out[w] = tally(buckets[first[w] : first[w] + k]) @ table / np.float32(np.sqrt(k))
+            continue
         step = max(1, (1 << 16) // k)
         for at in range(0, len(same), step):
             w = same[at : at + step]
@@ -234,16 +283,49 @@ def window_starts(n: int) -> range:
 
 def window_rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, rows, mask) of every window of several texts; row 0 pads."""
-    sizes = np.array([len(x) for x in ids])
-    many = np.array([len(window_starts(n)) if n else 0 for n in sizes])
-    owner = np.repeat(np.arange(len(ids)), many)
+    owner, begin, left = window_places([len(x) for x in ids])
+    return owner, *rows_at(np.concatenate([*ids, np.zeros(1, np.int32)]), begin, left)
+
+
+def window_places(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, begin, left) of every window of several texts that lie one after the other: its first place, and the words from there to the text's end."""
+    sizes = np.array(sizes, np.int64)
+    many = np.array([len(window_starts(n)) if n else 0 for n in sizes], np.int64)
+    owner = np.repeat(np.arange(len(sizes)), many)
     first = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
-    inside = first[:, None] + np.arange(WINDOW)
-    mask = inside < sizes[owner][:, None]
-    flat = np.concatenate([*ids, np.zeros(1, np.int32)])
-    begin = (np.cumsum(sizes) - sizes)[owner][:, None]
-    rows = np.where(mask, flat[np.minimum(begin + inside, len(flat) - 1)], 0)
-    return owner, rows, mask.astype(np.float32)
+    return owner, (np.cumsum(sizes) - sizes)[owner] + first, sizes[owner] - first
+
+
+def rows_at(flat: np.ndarray, begin: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, mask) of windows; ``flat``: all texts' rows and one more."""
+    mask = np.arange(WINDOW) < left[:, None]
+    return np.where(mask, flat[np.minimum(begin[:, None] + np.arange(WINDOW), len(flat) - 1)], 0), mask.astype(np.float32)
+
+
+def numbered(texts: list[str]) -> tuple[np.ndarray, list[int], pa.Array]:
+    """(rows, sizes, words): every word of the texts as its place among the sorted distinct ``words``, from 1, and a 0 at the end; words of each text.
+
+    Words are held as bytes in one array, not as objects.
+    """
+    chunks = [pa.array([w.encode("utf-8", "surrogatepass") for w in words_of(t)], pa.binary()) for t in texts]
+    sizes = [len(c) for c in chunks]
+    coded = pa.chunked_array(chunks, pa.binary()).combine_chunks()
+    del chunks
+    coded = coded.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(1, len(order) + 1)
+    flat = np.append(place[coded.indices.to_numpy()], np.int32(0)) if len(order) else np.zeros(1, np.int32)
+    return flat, sizes, coded.dictionary.take(pa.array(order))
+
+
+def runs_of_all(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`runs_of` of the padding and all ``words``, of which few are text at a time."""
+    found = [runs_of([PAD])]
+    for at in range(0, len(words), LAID_OUT // 8):
+        found.append(runs_of([w.decode("utf-8", "surrogatepass") for w in words.slice(at, LAID_OUT // 8).to_pylist()]))
+    many = np.concatenate([m for _, _, m in found])
+    return np.concatenate([b for b, _, _ in found]), np.cumsum(many) - many, many
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Network | None:
@@ -251,30 +333,37 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    met: dict[str, int] = {}  # words are held once, documents as numbers
-    docs = [np.array([met.setdefault(w, len(met)) for w in words_of(t)], np.int32) for t in texts]
-    among = np.zeros(len(met), np.int64)
-    for words in docs:
-        among[np.unique(words)] += 1
-    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(zip(met, among.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 3}
+    flat, sizes, words = numbered(texts)
+    among = np.zeros(len(words), np.int64)
+    ends = np.cumsum(sizes)
+    for at, size in zip(ends - sizes, sizes, strict=True):
+        among[np.unique(flat[at : at + size]) - 1] += 1
+    common = np.flatnonzero(among >= 3)
+    named = [x.decode("utf-8", "surrogatepass") for x in words.take(pa.array(common)).to_pylist()]
+    ranked = sorted(zip(named, common.tolist(), strict=True), key=lambda x: (-among[x[1]], x[0]))[:VOCABULARY]
+    vocabulary = {w: i + 1 for i, (w, _) in enumerate(ranked)}
     net = Network.new(vocabulary, seed)
-    names = [PAD, *sorted(met)]
-    place = np.zeros(len(met), np.int32)
-    place[[met[w] for w in names[1:]]] = np.arange(1, len(names))
-    buckets, first, many = runs_of(names)
-    own = np.array([vocabulary.get(w, 0) for w in names])
-    owner, rows, mask = window_rows([place[words] for words in docs])
+    own = np.zeros(len(words) + 1, np.int32)
+    own[[i + 1 for _, i in ranked]] = np.arange(1, len(ranked) + 1)
+    buckets, first, many = runs_of_all(words)
+    owner, places, left = window_places(sizes)
     if not len(owner):
         return None
-    begin = np.searchsorted(owner, np.arange(len(docs) + 1))
+    begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     held = np.flatnonzero(np.diff(begin))
     y_all = labels[owner].astype(np.float32)
     moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in net.p.items()}
     step = 0
 
     def scores() -> np.ndarray:
-        sides = net.projected(np.concatenate([pooled(net.p["C"], buckets, first, many), net.p["E"][own]], axis=1))
-        return np.concatenate([net.windows(*sides, rows[at : at + BLOCK], mask[at : at + BLOCK]) for at in range(0, len(owner), BLOCK)])
+        out = []
+        for turn in range(0, len(owner), TURN):
+            rows, mask = rows_at(flat, places[turn : turn + TURN], left[turn : turn + TURN])
+            distinct, back = np.unique(np.append(rows, 0), return_inverse=True)  # row 0 pads
+            rows = back[:-1].reshape(rows.shape)
+            sides = net.projected(np.concatenate([pooled(net.p["C"], buckets, first[distinct], many[distinct]), net.p["E"][own[distinct]]], axis=1))
+            out += [net.windows(*sides, rows[at : at + BLOCK], mask[at : at + BLOCK]) for at in range(0, len(rows), BLOCK)]
+        return np.concatenate(out)
 
     def highest(s: np.ndarray) -> np.ndarray:
         order = np.lexsort((s, owner))
@@ -283,22 +372,44 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     def drawn() -> np.ndarray:
         return begin[held] + (rng.random(len(held)) * np.diff(begin)[held]).astype(np.int64)
 
+    def gathered(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(some of ``words``, their buckets one after the other, where each one's begin), but for words with more runs than buckets."""
+        rest = np.flatnonzero(many[words] <= CHAR_BUCKETS)
+        for part in parts_of(many[words[rest]]):
+            some = rest[part]
+            n = many[words[some]]
+            ends = np.cumsum(n)
+            yield some, buckets[np.arange(ends[-1]) - np.repeat(ends - n - first[words[some]], n)], ends - n
+
     def learn(use: np.ndarray, rate: float) -> None:
         nonlocal step
         for at in range(0, len(use), BATCH):
             part = use[at : at + BATCH]
-            r, m = rows[part], mask[part]
+            r, m = rows_at(flat, places[part], left[part])
             distinct, back = np.unique(r, return_inverse=True)
-            n = many[distinct]
-            ends = np.cumsum(n)
-            cat = buckets[np.arange(ends[-1]) - np.repeat(ends - n - first[distinct], n)]
-            chars = np.add.reduceat(net.p["C"][cat], ends - n, axis=0) / np.sqrt(n, dtype=np.float32)[:, None]
+            n, root = many[distinct], np.sqrt(many[distinct], dtype=np.float32)[:, None]
+            chars = np.empty((len(distinct), CHAR_DIM), np.float32)
+            for some, cat, starts in gathered(distinct):
+                chars[some] = np.add.reduceat(net.p["C"][cat], starts, axis=0) / root[some]
+            large = np.flatnonzero(n > CHAR_BUCKETS)
+            if len(large):
+                chars[large] = pooled(net.p["C"], buckets, first[distinct[large]], n[large])
             x = np.concatenate([chars, net.p["E"][own[distinct]]], axis=1)[back.reshape(r.shape)]
             g, dx = net.gradients(x, m, y_all[part], np.ones(len(part), np.float32))
             _, dword = summed(dx.reshape(-1, CHAR_DIM + WORD_DIM), back.reshape(-1))
             step += 1
+            spelled, along = np.zeros(CHAR_BUCKETS, bool), np.zeros((CHAR_BUCKETS, CHAR_DIM), np.float32)
+            dchars = dword[:, :CHAR_DIM] / root
+            for some, cat, _ in gathered(distinct):
+                met, slope = summed(np.repeat(dchars[some], n[some], axis=0), cat)
+                spelled[met] = True
+                along[met] += slope
+            for i in large:
+                counts = tally(buckets[first[distinct[i]] : first[distinct[i]] + n[i]])
+                spelled |= counts > 0
+                along += counts[:, None] * dchars[i]
             for k, (met, slope) in (
-                ("C", summed(np.repeat(dword[:, :CHAR_DIM] / np.sqrt(n, dtype=np.float32)[:, None], n, axis=0), cat)),
+                ("C", (np.flatnonzero(spelled), along[spelled])),
                 ("E", summed(dword[:, CHAR_DIM:], own[distinct])),
             ):  # of the tables only rows that were met move
                 a, b = moments[k]
