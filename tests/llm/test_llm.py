@@ -615,6 +615,36 @@ def test_encoder_matches_the_library():
     assert coder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
 
 
+def test_encoder_scans_only_what_is_new(monkeypatch):
+    """Even texts are cut at spaces, points and commas, so the pattern meets each distinct remainder and no whole text."""
+    from tokenizers import Tokenizer
+
+    t, rng, scanned, plain = Tokenizer.from_file(VOCAB), random.Random(6), [], token_store.FAST
+
+    class Counting:
+        def findall(self, text):
+            scanned.append(len(text))
+            return plain.findall(text)
+
+    monkeypatch.setattr(token_store, "FAST", Counting())
+    words = ["the", "cat,", "sat.", "3.5", "x1", "don't", "(so)", "naïve", "end.\nNew", "год,"]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(50)]
+    coder = token_store.CachedEncoder(VOCAB)
+    assert coder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    assert sum(scanned) < sum(map(len, texts)) / 50
+
+
+def test_encoder_cuts_where_the_library_does():
+    from tokenizers import Tokenizer
+
+    t, rng, coder = Tokenizer.from_file(VOCAB), random.Random(7), token_store.CachedEncoder(VOCAB)
+    parts = [*" .,,. \n'", "  ", " .", ",.", "\0", "\t", "\xa0", "\x1c", "_", "a", " be", "'s", "7", "²", "é", "e\u0301", "नि", "文字", "😀", "𐐀", "\n ", "...", " the"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)] + ["a" * 300, "b " * 300, "<|endoftext|>, a.b ,c"]
+    for at in range(0, len(texts), 500):
+        assert coder.encode(texts[at : at + 500]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts[at : at + 500]]
+    assert max(map(len, coder.pieces)) <= 64
+
+
 def test_added_tokens_as_the_library_has_them(spark):
     from tokenizers import Tokenizer
 

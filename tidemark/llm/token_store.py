@@ -25,12 +25,14 @@ a text's ids are the library's by its defaults, so an added token of the tokeniz
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import unicodedata
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -47,7 +49,9 @@ from tidemark.llm.mph import MinimalPerfectHash, key_hashes
 MAGIC = b"TIDETOK1"
 FOOTER = struct.Struct("<6Q8s")  # id bytes, records, null keys, distinct keys, ids, hash bytes, magic
 #: Pre-tokens whose ids a worker keeps at most in a task, and between tasks.
-PIECE_CACHE, PIECES_KEPT, JOINED = 500_000, 200_000, 512
+PIECE_CACHE, PIECES_KEPT = 500_000, 200_000
+#: Characters of the longest pre-token that is kept.
+LONGEST = 64
 #: Text a shard is planned for, in bytes, so that its sections fit in a task whatever the table's size; ids read at once.
 SHARD_BYTES, READ_IDS = 256 << 20, 1 << 20
 #: The pre-token pattern in terms of the ``re`` module, which scans faster; the same where a text has none of ``ODD``.
@@ -64,46 +68,66 @@ def odd() -> re.Pattern:
 
 
 BEYOND = re.compile("[\U00010000-\U0010ffff]").search
+#: A pre-token begins at every space before something else than white space, and at every point and comma after a letter
+#: or number.  A text without the first of these is cut at its spaces, one without the second at its points and commas too.
+UNEVEN, LOOSE = re.compile(r" \s|\0").search, re.compile(r"[.,](?<![^\W_].)").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
 class CachedEncoder:
     """Ids of texts by a ``tokenizers`` file, one pre-token at a time.
 
-    Pre-tokens repeat, so each distinct one is encoded by the library once and its packed ids are kept in a
-    bounded cache.  Texts that hold an added token's content are encoded whole.
+    Texts are cut at spaces, and what is no single word there by the pre-token pattern.  Pre-tokens repeat, so each
+    distinct one is encoded by the library's model once and its packed ids are kept in a bounded cache.  Texts that
+    hold an added token's content are encoded whole.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        before = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space or not before.use_regex:
+            raise ValueError("not a plain byte-level tokenizer")
         held = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, held)) if held else r"(?!)").search
         self.bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.exact, self.odd = regex.compile(public_tokenizers.PATTERN).findall, odd().search
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, wanted: list[str]) -> None:
-        """Encode new pre-tokens.  Those of a space and letters stay apart when strung together, so the library
-        gets them by the hundred and its word numbers part the ids; the others go one by one."""
-        kind = "H" if self.bytes == 2 else "I"
-        words = [p for p in wanted if p[0] == " " and p[1:].isalpha() and not self.odd(p)]
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            joined = "".join(part)
-            if self.added(joined):
-                continue
-            coded = self.tokenizer.encode(joined, add_special_tokens=False)
-            packed, of = array(kind, coded.ids).tobytes(), np.array(coded.word_ids)
-            if len(of) and of[-1] != len(part) - 1:
-                raise ValueError("the tokenizer's words are not the pattern's")
-            cuts = (np.searchsorted(of, np.arange(len(part) + 1)) * self.bytes).tolist()
-            self.pieces.update(zip(part, [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        rest = [p for p in wanted if p not in self.pieces]
-        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        self.pieces.update(zip(rest, [array(kind, e.ids).tobytes() for e in coded], strict=True))
+    def _learn(self, wanted: Iterable[str]) -> None:
+        """Encode new pre-tokens: the model takes each by the letters of its bytes."""
+        kind, tokens, letters = "H" if self.bytes == 2 else "I", self.model.tokenize, self.letters
+        for piece in wanted:
+            word = piece[piece[0] == " " :]
+            if word.isalpha() and word.isascii():
+                plain = word if word is piece else "\u0120" + word
+            else:
+                plain = piece.encode().decode("latin-1").translate(letters)
+            self.pieces[piece] = array(kind, [t.id for t in tokens(plain)]).tobytes()
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        return self.exact(text) if not text.isascii() and BEYOND(text) or self.odd(text) else FAST.findall(text)
+
+    def _cut(self, text: str) -> list[str]:
+        """The text in pieces that end where pre-tokens end."""
+        if UNEVEN(text):
+            return self._pre_tokens(text)
+        if not LOOSE(text):
+            text = text.replace(".", "\0.").replace(",", "\0,")
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _new(self, found: Iterable[list[str]]) -> set[str]:
+        return set(chain.from_iterable(found)).difference(self.pieces)
 
     def rest(self) -> None:
         """Between tasks only so much is kept."""
@@ -119,10 +143,27 @@ class CachedEncoder:
             out = dict(zip(whole, [array(kind, e.ids).tobytes() for e in coded], strict=True))
             rest = iter(self.encode([t for n, t in enumerate(texts) if n not in out]))
             return [out[n] if n in out else next(rest) for n in range(len(texts))]
-        found = [self.exact(t) if not t.isascii() and BEYOND(t) or self.odd(t) else FAST.findall(t) for t in texts]
-        self._learn(list(set(chain.from_iterable(found)).difference(self.pieces)))
+        on = gc.isenabled()
+        gc.disable()  # millions of strings in lists, and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = [self._cut(t) for t in texts]
+        new = self._new(found)
+        cut = {p: self._pre_tokens(p) for p in new if not p[p[:1] == " " :].isalpha()}
+        new.difference_update(cut)
+        new |= self._new(cut.values())
+        self._learn(new)
         get = self.pieces.__getitem__
+        passing = {p: b"".join(map(get, i)) for p, i in cut.items() if p not in self.pieces}
+        self.pieces.update(passing)
         out = [b"".join(map(get, pieces)) for pieces in found]
+        for p in chain(passing, (p for p in new if len(p) > LONGEST)):
+            del self.pieces[p]
         if len(self.pieces) > PIECE_CACHE:
             halve(self.pieces)
         return out
