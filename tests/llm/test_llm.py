@@ -634,6 +634,29 @@ def test_encoder_scans_only_what_is_new(monkeypatch):
     assert sum(scanned) < sum(map(len, texts)) / 50
 
 
+def test_packing_scans_only_what_is_new(spark, monkeypatch):
+    """The function that packs a task's rows, run here: no whole text meets the pattern, and no id is lost."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    scanned, taken, plain = [], [], token_store.FAST
+    monkeypatch.setattr(token_store, "FAST", SimpleNamespace(findall=lambda x: scanned.append(len(x)) or plain.findall(x)))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "map_arrow", lambda df, fn, schema, **options: taken.append(fn))
+    t, rng = Tokenizer.from_file(VOCAB), random.Random(8)
+    texts = [" ".join(rng.choice(["the", "cat,", "sat.", "3.5", "(so)", "end.\nNew", "год,"]) for _ in range(200)) for _ in range(50)]
+    token_store.encoder.cache_clear()
+    packing.sequences(docs_of(spark, []), VOCAB)
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array(texts)], ["id", "text"])
+    made = [row for b in taken[0](iter([batch])) for row in b.to_pylist()]
+    token_store.encoder.cache_clear()
+    got = {p["id"]: np.frombuffer(r["ids"], "<u2")[p["bin_offset"] :][: p["n_tokens"]].tolist() for r in made for p in r["pieces"]}
+    assert got == {n: [*t.encode(x, add_special_tokens=False).ids, 2] for n, x in enumerate(texts)}
+    assert sum(scanned) < sum(map(len, texts)) / 50
+
+
 def test_encoder_cuts_where_the_library_does():
     from tokenizers import Tokenizer
 
